@@ -45,3 +45,8 @@ def plain_path(path: Column, project: Column) -> Column:
     home = F.concat(F.lit("workspace/"), F.lower(project), F.lit("/"))
     inside = F.startswith(p, F.lit("/")) & F.startswith(F.lower(plain), home)
     return F.when(inside, F.substr(plain, F.length(home) + 1)).when(F.startswith(p, F.lit("/")), F.concat(F.lit("/"), plain)).otherwise(plain)
+
+
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a time stamp with or without zone (without: in the session's zone)."""
+    return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
