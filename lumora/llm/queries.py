@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.functions.text import folded, plain_path
+from lumora.functions.text import folded, is_blank, micros, plain_path, trimmed
+from lumora.llm import survivor
+from lumora.llm.canonical import closest_entry
 from lumora.llm.common import bounded_broadcast
 from lumora.llm.cooccurrence import pair_counts
 from lumora.llm.mixing import Mix
 from lumora.llm.tokenize import text_of_ids, token_counts, token_ids
+from lumora.llm.varied import varied_subset
 from lumora.tables import table
 
 LIFT_OVER, PAIR_SUPPORT = 3, 5
@@ -19,6 +22,62 @@ def _episodes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "episodes")
 
 
+# -- 2: freely typed tags
+
+
+def _entered_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Each episode's distinct entries that are not blank and no canonical tag as they stand, with the tag they mean."""
+    tags = table(spark, d, "domain_tags")
+    e = _episodes(spark, d).select(F.col("id").alias("episode_id"), F.explode("intent.domain").alias("entered"))
+    e = e.filter(F.col("episode_id").isNotNull() & ~is_blank("entered"))
+    canonical = bounded_broadcast(tags.select(F.col("tag").alias("entered")))
+    odd = e.join(canonical, "entered", "left_anti").select("episode_id", "entered").distinct()
+    return odd.withColumn("tag_id", closest_entry(spark, "entered", tags.select("tag_id", "tag", "aliases")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _entered_tags(spark, d).select("episode_id", "entered", F.coalesce("tag_id", F.lit(-1)).alias("tag_id"))
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The report of entries that mean no tag, with the number of episodes that hold them."""
+    e = p2_found(spark, d).filter(F.col("tag_id") == -1)
+    return e.groupBy(folded("entered").alias("entered")).agg(F.count(F.lit(1)).alias("n_episodes"))
+
+
+# -- 3: best representatives
+
+LIST_FIELDS = {"domain": "domain", "files_modified": "files_modified", "errors_encountered": "messages"}
+
+
+def _captures(spark: SparkSession, d: str) -> DataFrame:
+    m = survivor.members(table(spark, d, "duplicate_clusters"), table(spark, d, "capture_channels"))
+    e = _episodes(spark, d).filter(F.col("id").isNotNull()).select(
+        F.col("id").alias("episode_id"), "outcome.status",
+        survivor.informative(F.col("intent.domain")).alias("domain"),
+        survivor.informative(F.col("context.files_modified")).alias("files_modified"),
+        survivor.informative(F.col("context.errors_encountered.message")).alias("messages"),
+        survivor.usable_end(F.col("timestamp_start"), F.col("timestamp_end")).alias("ended"),
+    )
+    # only members are kept before repeated rows of an episode are united
+    e = e.join(m.select("episode_id").distinct(), "episode_id", "left_semi").distinct()
+    return m.join(e, "episode_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    trust, ended = -F.col("trust"), -micros("ended")
+    fields = {name: (F.col(c) > 0, [-F.col(c), trust, ended]) for name, c in LIST_FIELDS.items()}
+    fields["timestamp_end"] = (F.col("ended").isNotNull(), [ended, trust])
+    return survivor.survivors(_captures(spark, d), fields, "cluster_id", "episode_id")
+
+
+def p3_current(spark: SparkSession, d: str) -> DataFrame:
+    """The most current outcome of each cluster, by time stamps and, where they are missing, by learned precedence."""
+    c = _captures(spark, d)
+    learned = survivor.precedence(c, "cluster_id", "status", "ended")
+    return survivor.latest_values(c, learned, "cluster_id", "status", "ended")
+
+
 # -- 4: items that appear together
 
 
@@ -26,8 +85,8 @@ def _tag_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = _episodes(spark, d).select("id", "intent.domain").filter(F.col("id").isNotNull())
     tags = table(spark, d, "domain_tags").select(F.lower("tag").alias("entry"), F.col("tag_id").alias("item"))
     items = e.select("id", F.explode(F.transform("domain", folded)).alias("entry")).join(bounded_broadcast(tags), "entry")
-    sizes = e.agg(F.countDistinct("id").alias("n")).select(F.lit("").alias("part"), "n")
-    return items.select(F.lit("").alias("part"), F.col("id").alias("record"), "item"), sizes
+    sizes = e.agg(F.countDistinct("id").alias("n")).select(F.lit("tag").alias("part"), "n")
+    return items.select(F.lit("tag").alias("part"), F.col("id").alias("record"), "item"), sizes
 
 
 def _file_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -35,13 +94,16 @@ def _file_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files = table(spark, d, "project_files").select(F.lower("project").alias("part"), "path", F.col("file_id").alias("item"))
     entries = e.select("id", "part", F.explode("files_modified").alias("f")).select("id", "part", plain_path(F.col("f"), F.col("part")).alias("path"))
     items = entries.join(bounded_broadcast(files), ["part", "path"])
-    return items.select("part", F.col("id").alias("record"), "item"), e.groupBy("part").agg(F.countDistinct("id").alias("n"))
+    part = F.concat(F.lit("file "), F.col("part")).alias("part")
+    return items.select(part, F.col("id").alias("record"), "item"), e.groupBy(part).agg(F.countDistinct("id").alias("n"))
 
 
 def _pairs(spark: SparkSession, d: str, min_support: int = PAIR_SUPPORT) -> DataFrame:
-    kinds = {"tag": _tag_items(spark, d), "file": _file_items(spark, d)}
-    tag, file = (pair_counts(*v, min_support=min_support).select(F.lit(k).alias("item_kind"), "*") for k, v in kinds.items())
-    return tag.unionByName(file)
+    """Tags over all episodes and files within each project, counted in one go."""
+    (tags, all_episodes), (files, by_project) = _tag_items(spark, d), _file_items(spark, d)
+    got = pair_counts(tags.unionByName(files), all_episodes.unionByName(by_project), min_support)
+    kind, project = F.substring_index("part", " ", 1), F.when(F.col("part") != "tag", F.expr("substring(part, 6)"))
+    return got.select(kind.alias("item_kind"), project.alias("project"), *[c for c in got.columns if c != "part"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -52,10 +114,26 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of items that occurs, with its scores."""
     return _pairs(spark, d, 1).select(
-        "item_kind", "part", "item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction")
+        "item_kind", "project", "item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction")
     )
 
 
+# -- 5: a varied subset
+
+
+def p5_subset(spark: SparkSession, d: str, share: float = 0.01) -> DataFrame:
+    """1 % of the episodes, varied in intent and tags; of alike ones the most helpful and most complete."""
+    e = _episodes(spark, d).select("id", "project", F.col("intent.extracted_intent").alias("extracted_intent"), F.col("intent.domain").alias("domain"), "utility", "timestamp_start")
+    n = e.select("id").distinct().count()
+    best = [
+        is_blank("extracted_intent"),
+        -F.coalesce(F.least("utility.helpful_count", "utility.retrieval_count"), F.lit(0)),
+        -F.coalesce(micros("timestamp_start"), F.lit(0)),
+    ]
+    got = varied_subset(e, "id", F.col("extracted_intent"), F.col("domain"), best, -(-n * int(share * 10_000) // 10_000))
+    return got.select("id", "project", trimmed("extracted_intent").alias("extracted_intent"), F.col("_cell").alias("cell"), F.col("_cell_rank").alias("cell_rank"))
+
+
 # -- 7: token ids
 
 
@@ -94,5 +172,5 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).assignments
 
 
-QUERIES = {q.__name__: q for q in (p4_found, p4_pairs, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix)}
 ORACLES: dict[str, str] = {}
