@@ -84,7 +84,8 @@ class Mix:
         # written once: the counts, sums and positions below all start from it
         from lumora.session import cut
 
-        self._docs = cut(slim.join(F.broadcast(keys), "key").filter(F.col("tokens") > 0).withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets))))
+        known = slim.join(F.broadcast(keys), "key").withColumn("h", F.xxhash64("doc_id"))
+        self._docs = cut(known.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 32), F.lit(buckets)))).filter("tokens > 0")
         sums = self._docs.groupBy("key", "bucket").agg(F.sum("tokens").alias("t"))
         before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         self._bucket_starts = sums.withColumn("bucket_start", F.coalesce(F.sum("t").over(before), F.lit(0))).drop("t")

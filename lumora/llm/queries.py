@@ -11,6 +11,7 @@ from lumora.llm.canonical import closest_entry
 from lumora.llm.common import bounded_broadcast
 from lumora.llm.cooccurrence import pair_counts
 from lumora.llm.mixing import Mix
+from lumora.llm.neighbours import neighbours
 from lumora.llm.tokenize import text_of_ids, token_counts, token_ids
 from lumora.llm.varied import varied_subset
 from lumora.tables import table
@@ -134,6 +135,22 @@ def p5_subset(spark: SparkSession, d: str, share: float = 0.01) -> DataFrame:
     return got.select("id", "project", trimmed("extracted_intent").alias("extracted_intent"), F.col("_cell").alias("cell"), F.col("_cell_rank").alias("cell_rank"))
 
 
+# -- 6: most similar vectors
+
+
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours(table(spark, d, "vectors"), "episode_id", "vector", "indexed_at", k=5, min_similarity=0.85)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    n = _neighbours(spark, d)
+    return n.select(F.least("episode_id", "neighbour").alias("episode_a"), F.greatest("episode_id", "neighbour").alias("episode_b")).distinct()
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return _neighbours(spark, d).select("episode_id", "neighbour", "hit_rank", F.round("similarity", 4).alias("similarity_score"))
+
+
 # -- 7: token ids
 
 
@@ -172,5 +189,5 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).assignments
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p6_found, p6_neighbours, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix)}
 ORACLES: dict[str, str] = {}
