@@ -13,6 +13,7 @@ from lumora.llm.cooccurrence import pair_counts
 from lumora.llm.mixing import Mix
 from lumora.llm.neighbours import neighbours
 from lumora.llm.tokenize import text_of_ids, token_counts, token_ids
+from lumora.llm.truncation import endings, judged, length_hazards
 from lumora.llm.varied import varied_subset
 from lumora.tables import table
 
@@ -189,5 +190,27 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d).assignments
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p6_found, p6_neighbours, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix)}
+# -- 9: texts cut off
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return judged(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates, and how many of its cut texts stand at a field limit."""
+    j = judged(table(spark, d, "documents"))
+    n_cut = F.count_if("cut")
+    return j.groupBy(F.col("key").alias("source")).agg(
+        F.count(F.lit(1)).alias("n_texts"), n_cut.alias("n_cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_at_limit"), F.round(n_cut / F.count(F.lit(1)), 6).alias("cut_rate")
+    )
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths at which texts of a source end more often than at the lengths around."""
+    h = length_hazards(endings(table(spark, d, "documents")))
+    return h.select(F.col("key").alias("source"), "unit", "length", "n", F.round("expected", 4).alias("expected"), "at_risk")
+
+
+QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p6_found, p6_neighbours, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix, p9_found, p9_rates, p9_limits)}
 ORACLES: dict[str, str] = {}
