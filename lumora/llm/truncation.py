@@ -40,6 +40,11 @@ _SPEAKER = r"^(?:User|Assistant|System|Human): "
 _DANGLING = r"(?:^|\n) *(?:#{1,6}(?: .*)?|[-*•>|]|\p{L}+:)$|[,;:(\[{“«&+=<\\]$|(?:^|\s)[-–—]$|/[^/\s.]+\.$|(?:^|[\s,(])(?:[\w.-]+/)+[\w-]*$"
 
 
+def _body(text: Column | str) -> Column:
+    """A text without the white space after it; a run of white space is tried once, from its start."""
+    return F.regexp_replace(text, r"(?<![\s\p{Z}\p{Cf}])[\s\p{Z}\p{Cf}]+\z", "")
+
+
 def _count(text: Column, piece: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)
 
@@ -53,10 +58,9 @@ def _word(token: Column) -> Column:
 def endings(documents: DataFrame) -> DataFrame:
     """doc_id, source key, lengths, the form of each ending, its last line's shape and last word."""
     d = documents.filter(~is_blank("text")).select("doc_id", F.coalesce(folded("source"), F.lit("")).alias("key"), "text")
-    body = F.regexp_replace("text", r"[\s\p{Z}\p{Cf}]+$", "")
     # the lines are found in the text without the white space that follows it
-    d = d.select("*", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), body.alias("body"))
-    d = d.withColumn("last", F.regexp_extract("body", r"([^\n\r]*)$", 1))
+    d = d.select("*", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), _body("text").alias("body"))
+    d = d.withColumn("last", F.substring_index(F.translate("body", "\r", "\n"), "\n", -1))
     b, last = F.col("body"), F.col("last")
     looks_json = b.rlike(r"^\s*[\[{]\s*[\"\[{]")
     table = last.rlike(r"^\|") & ~last.rlike(r"\|$")
@@ -71,13 +75,13 @@ def endings(documents: DataFrame) -> DataFrame:
     form = last.rlike(_FORMS) | (last.rlike(_TRAILER) & ~last.rlike(_SPEAKER)) | one_line
     kind = F.when(broken, "broken").when(ellipsis, "ellipsis").when(b.rlike(_CLOSED) | (last.rlike(r"\)$") & ~looks_json) | (looks_json & b.rlike(r"[\]}]$")), "closed").when(form, "line").otherwise("open")
     shape = F.xxhash64(F.regexp_replace(last, r"\d+", "0"))
-    return d.select("doc_id", "key", "chars", "bytes", "h", kind.alias("kind"), shape.alias("shape"), _word(F.regexp_extract("body", r"(\S+)$", 1)).alias("word"))
+    return d.select("doc_id", "key", "chars", "bytes", "h", kind.alias("kind"), shape.alias("shape"), _word(F.element_at(F.split("last", r"\s+"), -1)).alias("word"))
 
 
 def _inner_words(documents: DataFrame) -> DataFrame:
     """(word, n): how often each word stands inside a text, its last word left out."""
-    body = F.regexp_replace("text", r"[\s\p{Z}\p{Cf}]*\S+[\s\p{Z}\p{Cf}]*$", "")
-    token = documents.filter(~is_blank("text")).select(F.explode(F.split(body, r"\s+")).alias("t"))
+    tokens = F.split(_body("text"), r"\s+")
+    token = documents.filter(~is_blank("text")).select(tokens.alias("ts")).select(F.explode(F.slice("ts", F.lit(1), F.size("ts") - 1)).alias("t"))
     # equal tokens are counted before their punctuation is taken off
     counted = token.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(_word(F.col("t")).alias("word"), "n").filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
@@ -138,7 +142,9 @@ def judged(documents: DataFrame, least_incomplete: float = 0.3, usual_share: flo
     shapes = ends.groupBy("key", "shape").agg(F.count(F.lit(1)).alias("n_shape"))
     sizes = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
     usual = shapes.join(sizes, "key").filter((F.col("n_shape") >= 3) & (F.col("n_shape") >= usual_share * F.col("n_key")))
-    lines = ends.filter(F.col("kind").isin("line", "open")).select("key", "shape").distinct().join(usual, ["key", "shape"], "left_semi").withColumn("usual", F.lit(True))
+    # what is usual at the end of some source is usual for texts whose source isn't known
+    anywhere = usual.filter(F.col("key") != "").groupBy("shape").agg(F.max("n_shape").alias("n_shape")).withColumn("key", F.lit("")).withColumn("n_key", F.lit(None).cast("bigint"))
+    lines = ends.filter(F.col("kind").isin("line", "open")).select("key", "shape").distinct().join(usual.unionByName(anywhere), ["key", "shape"], "left_semi").withColumn("usual", F.lit(True))
     fixed = usual.join(lines.select("key", "shape"), ["key", "shape"], "left_semi").groupBy("key").agg((F.sum("n_shape") / F.max("n_key")).alias("s")).filter(F.col("s") >= fixed_share).select("key", F.lit(True).alias("fixed"))
     seen = ends.join(halves, "word", "left").join(lines, ["key", "shape"], "left").join(fixed, "key", "left")
     is_usual, is_half = F.coalesce("usual", F.lit(False)), F.coalesce("half", F.lit(False)) & (F.col("kind") == "line")
