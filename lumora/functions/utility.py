@@ -16,7 +16,8 @@ def wilson(helpful: Column, n: Column) -> Column:
     k, m = helpful.cast("double"), n.cast("double")
     p = k / F.nullif(m, F.lit(0.0))
     bound = (p + Z * Z / (2 * m) - Z * F.sqrt((p * (1 - p) + Z * Z / (4 * m)) / m)) / (1 + Z * Z / m)
-    return F.when(n > 0, bound).otherwise(F.lit(0.5))
+    # rounding can leave the bound a hair below 0
+    return F.when(n > 0, F.greatest(bound, F.lit(0.0))).otherwise(F.lit(0.5))
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
@@ -44,6 +45,6 @@ def share(part: Column, total: Column) -> Column:
 
 #: ``wilson`` over columns helpful and retrievals, for the SQL checks.
 WILSON_SQL = (
-    "(CASE WHEN retrievals > 0 THEN (helpful/retrievals::DOUBLE + 3.8416/(2.0*retrievals) - 1.96*sqrt((helpful/retrievals::DOUBLE*(1-helpful/retrievals::DOUBLE)"
-    " + 3.8416/(4.0*retrievals))/retrievals)) / (1 + 3.8416/retrievals) ELSE 0.5 END)"
+    "(CASE WHEN retrievals > 0 THEN greatest(0.0, (helpful/retrievals::DOUBLE + 3.8416/(2.0*retrievals) - 1.96*sqrt((helpful/retrievals::DOUBLE*(1-helpful/retrievals::DOUBLE)"
+    " + 3.8416/(4.0*retrievals))/retrievals)) / (1 + 3.8416/retrievals)) ELSE 0.5 END)"
 )

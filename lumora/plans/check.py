@@ -18,8 +18,9 @@ class Registry:
         def add(query):
             self.queries[query.__name__] = query
             if sql is not None:
-                start = "WITH " + EPISODES_SQL + (", " if sql.lstrip().startswith("AND ") else " ")
-                self.oracles[query.__name__] = (start + sql.lstrip().removeprefix("AND ")) if episodes else sql
+                text = sql.replace("__EP__", EPISODES_SQL)
+                start = "WITH " + EPISODES_SQL + (", " if text.lstrip().startswith("AND ") else " ")
+                self.oracles[query.__name__] = (start + text.lstrip().removeprefix("AND ")) if episodes else text
             return query
 
         return add

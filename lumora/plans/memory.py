@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.functions.text import micros
 from lumora.functions.utility import WILSON_SQL, combined, confidence, decay, share, whole_days, wilson
 from lumora.operators import store
+from lumora.operators.propagation import decayed, prunable
 from lumora.plans.check import Registry
 from lumora.schema import AS_OF, episodes
 from lumora.tables import table
@@ -153,15 +153,11 @@ _FACTOR = f"pow(0.99, greatest({_days_sql(_LAST)}, 0))"
 
 @registered(f"SELECT id, {_days_sql(_LAST)}::BIGINT AS days, round({WILSON_SQL} * {_FACTOR}, 6) AS learned FROM ep WHERE {_LAST} IS NOT NULL AND {_FACTOR} < 0.99", episodes=True)
 def utility_decay(spark: SparkSession, d: str) -> DataFrame:
-    from lumora.operators.propagation import decayed
-
     return decayed(episodes(spark, d), NOW).filter("decays").select("id", "days", F.round("new_learned", 6).alias("learned"))
 
 
 @registered(f"SELECT count(*) AS n_decayed, round(coalesce(sum({WILSON_SQL} * {_FACTOR} - {WILSON_SQL}), 0), 4) AS total_change FROM ep WHERE {_LAST} IS NOT NULL AND {_FACTOR} < 0.99", episodes=True)
 def decay_metrics(spark: SparkSession, d: str) -> DataFrame:
-    from lumora.operators.propagation import decayed
-
     e = decayed(episodes(spark, d), NOW).filter("decays")
     return e.agg(F.count(F.lit(1)).alias("n_decayed"), F.round(F.coalesce(F.sum(F.col("new_learned") - W), F.lit(0.0)), 4).alias("total_change"))
 
@@ -176,15 +172,11 @@ FROM ep WHERE {_PRUNE}""",
     episodes=True,
 )
 def prune_candidates(spark: SparkSession, d: str) -> DataFrame:
-    from lumora.operators.propagation import prunable
-
     return prunable(episodes(spark, d), NOW, max_age=200, min_utility=0.3).filter("pruned").select("id", "short_id", "title", "reasons")
 
 
 @registered(f"SELECT count(*) AS n, count_if({_PRUNE}) AS n_pruned, count_if(NOT coalesce({_PRUNE}, false)) AS n_retained FROM ep", episodes=True)
 def prune_retained(spark: SparkSession, d: str) -> DataFrame:
-    from lumora.operators.propagation import prunable
-
     p = prunable(episodes(spark, d), NOW, max_age=200, min_utility=0.3)
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_if("pruned").alias("n_pruned"), F.count_if(~F.col("pruned")).alias("n_retained"))
 
@@ -205,7 +197,7 @@ def retrieval_counters(spark: SparkSession, d: str) -> DataFrame:
 @registered(
     """AND f AS (SELECT DISTINCT feedback_id, episode_id, ts, helpful FROM feedback), keys AS (SELECT DISTINCT episode_id AS key FROM f),
 named AS (SELECT key, id FROM (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY started DESC NULLS LAST, id) AS r FROM keys JOIN ep ON left(id, 8) = left(key, 8) AND starts_with(id, key)) WHERE r = 1)
-SELECT id, count(*) AS n_feedback, count_if(helpful) AS n_helpful, count_if(helpful IS NULL) AS n_mixed, arg_max(CASE WHEN helpful THEN 'helpful' WHEN helpful IS NULL THEN 'mixed' ELSE 'not helpful' END, (ts, feedback_id)) AS last_verdict
+SELECT id, count(*) AS n_feedback, count_if(coalesce(helpful, false)) AS n_helpful, count_if(helpful IS NULL) AS n_mixed, arg_max(CASE WHEN helpful THEN 'helpful' WHEN helpful IS NULL THEN 'mixed' ELSE 'not helpful' END, (ts, feedback_id)) AS last_verdict
 FROM f JOIN named ON f.episode_id = named.key GROUP BY id""",
     episodes=True,
 )
@@ -268,6 +260,3 @@ def resolved_errors(spark: SparkSession, d: str) -> DataFrame:
 @registered("SELECT user_id, event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS largest FROM events GROUP BY user_id, event_type")
 def event_counters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("largest"))
-
-
-__all__ = ["QUERIES", "ORACLES", "micros"]
