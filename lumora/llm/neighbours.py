@@ -69,15 +69,29 @@ def _digests(x: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(xxhash.xxh3_128_digest(r) for r in x), np.int64).reshape(-1, 2) if len(x) else np.empty((0, 2), np.int64)
 
 
-def _packed(x: np.ndarray) -> list[bytes]:
-    """Vectors as bytes for a shuffle: the four bytes of all numbers apart, then compressed; nothing is lost."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1))
-    press = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
-    return [press(r) for r in planes]
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The four bytes of all numbers of a vector apart."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1))
 
 
-def _unpacked(column: pa.Array, dims: int) -> np.ndarray:
-    press = zstandard.ZstdDecompressor().decompress
+def fit_codes(sample: np.ndarray, size: int = 16_384) -> bytes:
+    """A compression dictionary from sampled vectors; empty where there are too few of them."""
+    try:
+        return zstandard.train_dictionary(size, [r.tobytes() for r in _planes(sample[:4096])]).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _packed(x: np.ndarray, codes: bytes) -> list[bytes]:
+    """Vectors as bytes for a shuffle, compressed by a common dictionary; nothing is lost."""
+    shared = {"dict_data": zstandard.ZstdCompressionDict(codes)} if codes else {}
+    press = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, write_dict_id=False, **shared).compress
+    return [press(r) for r in _planes(x)]
+
+
+def _unpacked(column: pa.Array, dims: int, codes: bytes) -> np.ndarray:
+    shared = {"dict_data": zstandard.ZstdCompressionDict(codes)} if codes else {}
+    press = zstandard.ZstdDecompressor(**shared).decompress
     raw = b"".join(press(b, max_output_size=4 * dims) for b in column.to_pylist())
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, 4, dims).transpose(0, 2, 1)).view(np.float32).reshape(-1, dims)
 
@@ -197,14 +211,17 @@ def neighbours(
     share = min(1.0, max(4096, 16 * n_cells) * 1.1 / max(n, 1), SAMPLE_ROWS / max(n, 1))
     some = given.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE_ROWS)
     sample = [_rows(b.column(0), dims)[1] for b in some.toArrow().to_batches()]
+    codes = fit_codes(np.concatenate(sample)) if sample else b""
     sample = _unit(np.concatenate(sample)) if sample and sum(map(len, sample)) else np.eye(1, dims, dtype=np.float32)
     centroids = fit_centroids(sample, n_cells)
-    load = np.bincount(np.argmax(sample @ centroids.T, axis=1), minlength=len(centroids)) * (n / len(sample))
+    # copies take part k + 1 times at most, so they don't add to the load of a cell
+    distinct = np.unique(sample, axis=0)
+    load = np.bincount(np.argmax(distinct @ centroids.T, axis=1), minlength=len(centroids)) * (n / len(sample))
     pieces = np.maximum(1, np.ceil(load / (6 * cell_rows))).astype(int).tolist()
-    shared = spark.sparkContext.broadcast((centroids, pieces))
+    shared = spark.sparkContext.broadcast((centroids, pieces, codes))
 
     def place(batches):
-        cents, parts = shared.value
+        cents, parts, codes = shared.value
         for batch in batches:
             right, x = _rows(batch.column(2), dims)
             if not len(right):
@@ -232,21 +249,21 @@ def neighbours(
                 visits.append([(g << 2) | role for g, role in groups.items()])
             pick = pa.array(right)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(_packed(x), pa.binary()), pa.array(visits, pa.list_(pa.int64()))],
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(_packed(x, codes), pa.binary()), pa.array(visits, pa.list_(pa.int64()))],
                 ["id", "at", "h1", "h2", "packed", "visits"],
             )
 
     placed = given.mapInArrow(place, f"id {kind}, at bigint, h1 bigint, h2 bigint, packed binary, visits array<bigint>")
-    # null times are equal here: they can be the latest
-    on = [placed["id"] == searched["id"], placed["at"].eqNullSafe(searched["at"]), placed["h1"] == searched["h1"], placed["h2"] == searched["h2"]]
-    chosen = placed.join(searched, on, "left_semi").select("id", "packed", F.explode("visits").alias("visit"))
+    # a row is known by its id and one digest of the rest, which is null times' too: they can be the latest
+    row = F.xxhash64("at", "h1", "h2").alias("row")
+    chosen = placed.select("id", row, "packed", "visits").join(searched.select("id", row), ["id", "row"], "left_semi").select("id", "packed", F.explode("visits").alias("visit"))
     visits = chosen.select("id", "packed", F.shiftright("visit", 2).alias("cell"), (F.col("visit") % 4).cast("int").alias("role"))
 
     def search(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id").to_pylist(), dtype=object)
         roles = group.column("role").to_numpy()
         _, once = np.unique(ids.astype(str), return_index=True)
-        x = _unit(_unpacked(group.column("packed").combine_chunks().take(pa.array(once)), dims))
+        x = _unit(_unpacked(group.column("packed").combine_chunks().take(pa.array(once)), dims, shared.value[2]))
         ids, roles = ids[once], roles[once]
         is_b, is_q = np.flatnonzero(roles & 2), np.flatnonzero(roles & 1)
         at_b = np.full(len(ids), -1)
