@@ -44,11 +44,10 @@ def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float, block:
     return best(scored.filter((F.col("m") > 0) & (F.col("similarity") >= least)), "query_id", "id", "similarity", k).select("query_id", "id", "similarity", "hit_rank")
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, unit vectors) of the entries of the commonest length that are finite and not all zero."""
+def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, unit vectors) of the entries of ``dims`` numbers that are finite and not all zero."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-    dims = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
-    right = np.flatnonzero(lengths == dims) if dims else np.empty(0, np.int64)
+    right = np.flatnonzero(lengths == dims)
     if not len(right):
         return right, np.empty((0, dims))
     x = column.take(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
@@ -57,7 +56,7 @@ def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return right[good], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, dims: int, least: float = -1.0) -> DataFrame:
     """(query_id, id, similarity, hit_rank): the exact ``k`` most similar vectors of each query, by cosine.
 
     ``queries``: (query_id, vector), a stated set; ``vectors``: (id, vector). The queries are broadcast in blocks of
@@ -70,14 +69,14 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, least: float = -
     found: DataFrame | None = None
     for b in range(n_blocks):
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "vector").toArrow()
-        right, matrix = _matrix(own.column("vector").combine_chunks())
+        right, matrix = _matrix(own.column("vector").combine_chunks(), dims)
         shared = spark.sparkContext.broadcast((own.column("query_id").combine_chunks().take(pa.array(right)), matrix))
 
         def search(batches, shared=shared):
             names, q = shared.value
             for batch in batches:
-                at, x = _matrix(batch.column(1))
-                if not len(at) or not len(q) or x.shape[1] != q.shape[1]:
+                at, x = _matrix(batch.column(1), dims)
+                if not len(at) or not len(q):
                     continue
                 sims = q @ x.T
                 width = min(k + 8, sims.shape[1])  # a few more than k, so that ties can end at the smaller id

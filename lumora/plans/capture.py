@@ -148,4 +148,4 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
     from lumora.plans.search import retrieve_scored
 
     got = retrieve_scored(spark, d)
-    return got.select("search_id", "hit_rank", F.to_json(F.struct("id", "combined")).alias("json"))
+    return got.select("search_id", "hit_rank", F.to_json(F.struct("id", "score")).alias("json"))

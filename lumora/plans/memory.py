@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.utility import WILSON_SQL, combined, confidence, decay, share, whole_days, wilson
@@ -14,8 +14,15 @@ from lumora.tables import table
 
 registered = Registry()
 QUERIES, ORACLES = registered.queries, registered.oracles
-W = wilson(F.col("helpful"), F.col("retrievals"))
-NOW = F.lit(AS_OF).cast("timestamp")
+
+
+def _w() -> Column:
+    return wilson(F.col("helpful"), F.col("retrievals"))
+
+
+def _now() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
 NOW_SQL = f"TIMESTAMP '{AS_OF}'"
 
 
@@ -26,13 +33,13 @@ def _days_sql(t: str) -> str:
 @registered(f"SELECT id, round({WILSON_SQL}, 6) AS utility, CASE WHEN retrievals = 0 THEN 'untested' WHEN retrievals <= 2 THEN 'low confidence' WHEN retrievals <= 5 THEN 'moderate confidence' ELSE 'high confidence' END AS confidence, retrievals FROM ep ORDER BY {WILSON_SQL} DESC, id LIMIT 10", episodes=True)
 def utility_leaderboard(spark: SparkSession, d: str) -> DataFrame:
     """The ten most useful episodes."""
-    scored = episodes(spark, d).select("id", F.round(W, 6).alias("utility"), confidence(F.col("retrievals")).alias("confidence"), "retrievals", W.alias("w"))
+    scored = episodes(spark, d).select("id", F.round(_w(), 6).alias("utility"), confidence(F.col("retrievals")).alias("confidence"), "retrievals", _w().alias("w"))
     return scored.orderBy(F.desc("w"), "id").limit(10).drop("w")
 
 
 @registered(f"SELECT id, helpful, retrievals, round({WILSON_SQL}, 6) AS wilson FROM ep", episodes=True)
 def wilson_by_episode(spark: SparkSession, d: str) -> DataFrame:
-    return episodes(spark, d).select("id", "helpful", "retrievals", F.round(W, 6).alias("wilson"))
+    return episodes(spark, d).select("id", "helpful", "retrievals", F.round(_w(), 6).alias("wilson"))
 
 
 _STATS_SQL = f"count(*) AS n, count_if(status = 'success') AS n_success, count_if(status = 'partial') AS n_partial, count_if(status = 'failure') AS n_failure, sum(retrievals)::BIGINT AS retrievals, sum(helpful)::BIGINT AS helpful, round(avg({WILSON_SQL}), 6) AS avg_utility"
@@ -122,29 +129,29 @@ FROM ep WHERE lower(project) = 'indigo-kiln'""",
 )
 def memory_status(spark: SparkSession, d: str) -> DataFrame:
     e = episodes(spark, d).filter(store.project_matches(F.col("project"), "Indigo-Kiln", "equal_folded"))
-    unused = F.count_if(store.is_unused(NOW))
-    since = whole_days(NOW, F.max("started"))
+    unused = F.count_if(store.is_unused(_now()))
+    since = whole_days(_now(), F.max("started"))
     return e.agg(
-        F.count(F.lit(1)).alias("n"), since.alias("days_since_capture"), unused.alias("n_unused"), F.count_if(W > 0.4).alias("n_high_value"),
-        F.round(F.coalesce(F.avg(W), F.lit(0.0)), 6).alias("avg_utility"), F.round(share(F.sum("helpful"), F.sum("retrievals")), 6).alias("feedback_rate"),
+        F.count(F.lit(1)).alias("n"), since.alias("days_since_capture"), unused.alias("n_unused"), F.count_if(_w() > 0.4).alias("n_high_value"),
+        F.round(F.coalesce(F.avg(_w()), F.lit(0.0)), 6).alias("avg_utility"), F.round(share(F.sum("helpful"), F.sum("retrievals")), 6).alias("feedback_rate"),
         (since > 7).alias("hint_capture"), (unused > F.floor(F.count(F.lit(1)) / 2)).alias("hint_unused"),
     )
 
 
 @registered(f"SELECT id, {_days_sql('last_retrieval')}::BIGINT AS idle_days FROM ep WHERE retrievals = 0 OR last_retrieval IS NULL OR {_days_sql('last_retrieval')} > 30", episodes=True)
 def unused_memories(spark: SparkSession, d: str) -> DataFrame:
-    return episodes(spark, d).filter(store.is_unused(NOW)).select("id", whole_days(NOW, F.col("last_retrieval")).alias("idle_days"))
+    return episodes(spark, d).filter(store.is_unused(_now())).select("id", whole_days(_now(), F.col("last_retrieval")).alias("idle_days"))
 
 
 @registered(f"SELECT id, {_days_sql('started')}::BIGINT AS age_days, round({WILSON_SQL}, 6) AS wilson FROM ep WHERE {_days_sql('started')} > 30 AND {WILSON_SQL} < 0.2", episodes=True)
 def stale_memories(spark: SparkSession, d: str) -> DataFrame:
-    age = whole_days(NOW, F.col("started"))
-    return episodes(spark, d).filter((age > 30) & (W < 0.2)).select("id", age.alias("age_days"), F.round(W, 6).alias("wilson"))
+    age = whole_days(_now(), F.col("started"))
+    return episodes(spark, d).filter((age > 30) & (_w() < 0.2)).select("id", age.alias("age_days"), F.round(_w(), 6).alias("wilson"))
 
 
 @registered(f"SELECT id, round({WILSON_SQL}, 6) AS wilson, retrievals = 0 AS untested FROM ep WHERE {WILSON_SQL} > 0.4", episodes=True)
 def high_value(spark: SparkSession, d: str) -> DataFrame:
-    return episodes(spark, d).filter(W > 0.4).select("id", F.round(W, 6).alias("wilson"), (F.col("retrievals") == 0).alias("untested"))
+    return episodes(spark, d).filter(_w() > 0.4).select("id", F.round(_w(), 6).alias("wilson"), (F.col("retrievals") == 0).alias("untested"))
 
 
 _LAST = "coalesce(last_retrieval, ended)"
@@ -153,13 +160,13 @@ _FACTOR = f"pow(0.99, greatest({_days_sql(_LAST)}, 0))"
 
 @registered(f"SELECT id, {_days_sql(_LAST)}::BIGINT AS days, round({WILSON_SQL} * {_FACTOR}, 6) AS learned FROM ep WHERE {_LAST} IS NOT NULL AND {_FACTOR} < 0.99", episodes=True)
 def utility_decay(spark: SparkSession, d: str) -> DataFrame:
-    return decayed(episodes(spark, d), NOW).filter("decays").select("id", "days", F.round("new_learned", 6).alias("learned"))
+    return decayed(episodes(spark, d), _now()).filter("decays").select("id", "days", F.round("new_learned", 6).alias("learned"))
 
 
 @registered(f"SELECT count(*) AS n_decayed, round(coalesce(sum({WILSON_SQL} * {_FACTOR} - {WILSON_SQL}), 0), 4) AS total_change FROM ep WHERE {_LAST} IS NOT NULL AND {_FACTOR} < 0.99", episodes=True)
 def decay_metrics(spark: SparkSession, d: str) -> DataFrame:
-    e = decayed(episodes(spark, d), NOW).filter("decays")
-    return e.agg(F.count(F.lit(1)).alias("n_decayed"), F.round(F.coalesce(F.sum(F.col("new_learned") - W), F.lit(0.0)), 4).alias("total_change"))
+    e = decayed(episodes(spark, d), _now()).filter("decays")
+    return e.agg(F.count(F.lit(1)).alias("n_decayed"), F.round(F.coalesce(F.sum(F.col("new_learned") - _w()), F.lit(0.0)), 4).alias("total_change"))
 
 
 _PRUNE = f"({_days_sql('started')} > 200 OR coalesce(learned, {WILSON_SQL}) < 0.3) AND helpful = 0"
@@ -172,12 +179,12 @@ FROM ep WHERE {_PRUNE}""",
     episodes=True,
 )
 def prune_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return prunable(episodes(spark, d), NOW, max_age=200, min_utility=0.3).filter("pruned").select("id", "short_id", "title", "reasons")
+    return prunable(episodes(spark, d), _now(), max_age=200, min_utility=0.3).filter("pruned").select("id", "short_id", "title", "reasons")
 
 
 @registered(f"SELECT count(*) AS n, count_if({_PRUNE}) AS n_pruned, count_if(NOT coalesce({_PRUNE}, false)) AS n_retained FROM ep", episodes=True)
 def prune_retained(spark: SparkSession, d: str) -> DataFrame:
-    p = prunable(episodes(spark, d), NOW, max_age=200, min_utility=0.3)
+    p = prunable(episodes(spark, d), _now(), max_age=200, min_utility=0.3)
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_if("pruned").alias("n_pruned"), F.count_if(~F.col("pruned")).alias("n_retained"))
 
 
@@ -216,14 +223,14 @@ def feedback_apply(spark: SparkSession, d: str) -> DataFrame:
 def sync_utility(spark: SparkSession, d: str) -> DataFrame:
     """The utility that the index should hold: learned where there is one."""
     v = table(spark, d, "vectors").select(F.col("episode_id").alias("id")).distinct()
-    return v.join(episodes(spark, d), "id").select("id", F.round(F.coalesce("learned", W), 6).alias("utility"))
+    return v.join(episodes(spark, d), "id").select("id", F.round(F.coalesce("learned", _w()), 6).alias("utility"))
 
 
 @registered(f"SELECT s.search_id, s.id, round(0.3 * s.similarity_score::DOUBLE + 0.7 * {WILSON_SQL}, 5) AS combined, row_number() OVER (PARTITION BY s.search_id ORDER BY round(0.3 * s.similarity_score::DOUBLE + 0.7 * {WILSON_SQL}, 9) DESC, s.id) AS new_rank FROM (SELECT DISTINCT search_id, id, similarity_score FROM search_results WHERE similarity_score >= 0.5) s JOIN ep ON s.id = ep.id", episodes=True)
 def rerank_logged_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of earlier searches that still exist, ranked again by similarity and utility."""
     hits = table(spark, d, "search_results").filter(F.col("similarity_score") >= 0.5).select("search_id", "id", "similarity_score").distinct()
-    c = combined(F.col("similarity_score").cast("double"), W, 0.7)
+    c = combined(F.col("similarity_score").cast("double"), _w(), 0.7)
     order = Window.partitionBy("search_id").orderBy(F.desc(F.round(c, 9)), "id")
     return hits.join(episodes(spark, d), "id").select("search_id", "id", F.round(c, 5).alias("combined"), F.row_number().over(order).alias("new_rank"))
 

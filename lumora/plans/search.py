@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions.utility import WILSON_SQL, combined, wilson
@@ -12,8 +12,13 @@ from lumora.schema import episodes
 from lumora.tables import table
 
 registered = Registry()
+#: Numbers in a vector of the embeddings table.
+WIDTH = 64
 QUERIES, ORACLES = registered.queries, registered.oracles
-W = wilson(F.col("helpful"), F.col("retrievals"))
+
+
+def _w() -> Column:
+    return wilson(F.col("helpful"), F.col("retrievals"))
 _WORDS = "list_filter(string_split_regex(lower({}), '[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+'), lambda w: w <> '')"
 
 
@@ -42,7 +47,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar vectors of every hundredth, itself included as in an index lookup."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     queries = v.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
-    return retrieval.vector_hits(queries, v, 10).withColumn("similarity", F.round("similarity", 5))
+    return retrieval.vector_hits(queries, v, 10, WIDTH).withColumn("similarity", F.round("similarity", 5))
 
 
 @registered(f"SELECT query_id, id, round(s, 5) AS similarity, r AS hit_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label = 3)) WHERE r <= 5")
@@ -50,7 +55,7 @@ def vector_topk_project(spark: SparkSession, d: str) -> DataFrame:
     """Search within one project: the filter reaches the scan, so every query finds its five."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     queries = v.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query_id"), "vector")
-    return retrieval.vector_hits(queries, v.filter("label = 3"), 5).withColumn("similarity", F.round("similarity", 5))
+    return retrieval.vector_hits(queries, v.filter("label = 3"), 5, WIDTH).withColumn("similarity", F.round("similarity", 5))
 
 
 @registered(f"SELECT query_id, id, round(s, 5) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, a.label AS wanted, {_COSINE} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)) WHERE r <= 15 AND label = wanted")
@@ -58,7 +63,7 @@ def vector_post_filter(spark: SparkSession, d: str) -> DataFrame:
     """Search first and filter after: three times as many hits are fetched, of which those of the query's project stay."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     queries = v.filter(F.col("id") % 100 == 0)
-    hits = retrieval.vector_hits(queries.select(F.col("id").alias("query_id"), "vector"), v, 15)
+    hits = retrieval.vector_hits(queries.select(F.col("id").alias("query_id"), "vector"), v, 15, WIDTH)
     labels = v.select("id", "label")
     wanted = queries.select(F.col("id").alias("query_id"), F.col("label").alias("wanted"))
     return hits.join(labels, "id").join(wanted, "query_id").filter("label = wanted").select("query_id", "id", F.round("similarity", 5).alias("similarity"))
@@ -68,21 +73,21 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     """Hits of past searches of at least 0.3 that still exist, with the score that combines similarity and utility."""
     hits = table(spark, d, "search_results").filter("similarity_score >= 0.3")
     hits = hits.groupBy("search_id", "id").agg(F.max(F.col("similarity_score").cast("double")).alias("similarity"))
-    c = F.round(combined(F.col("similarity"), W, 0.7), 9)
+    c = combined(F.col("similarity"), _w(), 0.7)
     e = episodes(spark, d).select("id", "helpful", "retrievals", F.concat_ws(" ", F.col("raw_prompt"), F.array_join("tags", " "), F.array_join("files", " ")).alias("text"))
-    return hits.join(e, "id").select("search_id", "id", "similarity", c.alias("combined"), "text")
+    return hits.join(e, "id").select("search_id", "id", "similarity", c.alias("score"), F.round(c, 9).alias("combined"), "text")
 
 
-_SCORED = f"""scored AS (SELECT s.search_id, ep.id, s.similarity, round((1 - 0.7) * s.similarity + 0.7 * {WILSON_SQL}, 9) AS combined,
+_SCORED = f"""scored AS (SELECT s.search_id, ep.id, s.similarity, (1 - 0.7::DOUBLE) * s.similarity + 0.7::DOUBLE * {WILSON_SQL} AS score, round(score, 9) AS combined,
     list_distinct({_WORDS.format("concat_ws(' ', raw_prompt, array_to_string(tags, ' '), array_to_string(files, ' '))")}) AS w
   FROM (SELECT search_id, id, max(similarity_score::DOUBLE) AS similarity FROM search_results WHERE similarity_score >= 0.3 GROUP BY ALL) s JOIN ep ON s.id = ep.id)"""
 
 
-@registered(f"AND {_SCORED} SELECT search_id, id, round(combined, 6) AS combined, row_number() OVER (PARTITION BY search_id ORDER BY combined DESC, id) AS hit_rank FROM scored QUALIFY hit_rank <= 3", episodes=True)
+@registered(f"AND {_SCORED} SELECT search_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY search_id ORDER BY combined DESC, id) AS hit_rank FROM scored QUALIFY hit_rank <= 3", episodes=True)
 def retrieve_scored(spark: SparkSession, d: str) -> DataFrame:
     """The three best hits of each search by the combined score."""
     got = retrieval.best(_scored(spark, d), "search_id", "id", "combined", 3)
-    return got.select("search_id", "id", F.round("combined", 6).alias("combined"), "hit_rank")
+    return got.select("search_id", "id", F.round("score", 6).alias("score"), "hit_rank")
 
 
 def _overlap(a: str, b: str) -> str:
@@ -93,8 +98,8 @@ def _overlap(a: str, b: str) -> str:
 @registered(
     f"""AND {_SCORED}, c AS (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY combined DESC, id) AS pos FROM scored),
 p1 AS (SELECT * FROM c WHERE pos = 1),
-p2 AS (SELECT * EXCLUDE (o, v) FROM (SELECT c.*, {_overlap('c', 'p1')} AS o, 0.7 * c.combined - (1 - 0.7) * o AS v FROM c JOIN p1 USING (search_id) WHERE c.pos <> 1) QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY v DESC, pos DESC) = 1),
-p3 AS (SELECT search_id, id FROM (SELECT c.*, greatest({_overlap('c', 'p1')}, {_overlap('c', 'p2')}) AS o, 0.7 * c.combined - (1 - 0.7) * o AS v FROM c JOIN p1 USING (search_id) JOIN p2 USING (search_id) WHERE c.pos <> 1 AND c.pos <> p2.pos) QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY v DESC, pos DESC) = 1)
+p2 AS (SELECT * EXCLUDE (o, v) FROM (SELECT c.*, {_overlap('c', 'p1')} AS o, 0.7::DOUBLE * c.combined - (1 - 0.7::DOUBLE) * o AS v FROM c JOIN p1 USING (search_id) WHERE c.pos <> 1) QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY v DESC, pos DESC) = 1),
+p3 AS (SELECT search_id, id FROM (SELECT c.*, greatest({_overlap('c', 'p1')}, {_overlap('c', 'p2')}) AS o, 0.7::DOUBLE * c.combined - (1 - 0.7::DOUBLE) * o AS v FROM c JOIN p1 USING (search_id) JOIN p2 USING (search_id) WHERE c.pos <> 1 AND c.pos <> p2.pos) QUALIFY row_number() OVER (PARTITION BY search_id ORDER BY v DESC, pos DESC) = 1)
 SELECT search_id, id, 1 AS pick FROM p1 UNION ALL SELECT search_id, id, 2 FROM p2 UNION ALL SELECT search_id, id, 3 FROM p3""",
     episodes=True,
 )
