@@ -1,12 +1,17 @@
 """A varied subset of given size by systematic selection along a Hilbert curve.
 
-The words of each record's text and tags are hashed to signed random features (a projection of its word counts);
-digits count as one another and rare spellings hardly move a record, so sessions made alike fall into the same or
-neighbouring cells. Each feature is quantised through the normal distribution function, which needs no statistics of
-the data, and the cell gets its key on the Hilbert curve. The *distinct* cells are sorted globally and numbered, evenly
-spaced ones are taken and the best record of each is chosen, so a crowded cell counts no more than a sparse one. If
-more records are wanted than there are cells, whole levels (the first, second, ... best of every cell) are taken until
-the rest fits into one more level, from which evenly spaced cells are taken.
+The words of each record's text and tags are hashed to signed random features (a projection of its word counts). A word
+weighs by the share of all records that hold it, up to ``common``: sessions made alike differ in names and numbers,
+which are rare, and share the words that make them alike, so they fall into the same or neighbouring cells. The counts
+cover all records; they are kept in a table of BUCKETS hashed words, whose size doesn't grow with the data. Each feature
+is quantised through the normal distribution function, which needs no statistics of the data, and the record gets its
+key on the Hilbert curve.
+
+A cell is a stretch of the curve: the leading bits of the key. As many bits are taken as give ``cells_for_one`` times
+as many distinct cells as records are wanted, at every size of the data. The *distinct* cells are sorted globally and
+numbered, evenly spaced ones are taken and the best record of each is chosen, so a crowded cell counts no more than a
+sparse one. If more records are wanted than there are cells, whole levels (the first, second, ... best of every cell)
+are taken until the rest fits into one more level, from which evenly spaced cells are taken.
 
 Cells are counted with partial sums, the best records with a partial top-k, the numbering works on range partitions:
 nothing passes through one task or the driver but counts.
@@ -24,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.llm.common import ranked
 
+#: Words are counted in so many hashed buckets.
+BUCKETS = 1 << 16
 _WORD = regex.compile(r"\p{L}+|\p{N}+")
 
 
@@ -64,44 +71,85 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 _PHI = np.array([0.5 * (1 + erf(z / 1000 / 2**0.5)) for z in range(-6000, 6001)])
 
 
-def curve_key(text: Column, tags: Column, dims: int = 6, bits: int = 3) -> Column:
-    """The Hilbert key of a record's cell; dims * bits must not exceed 62."""
+def _tokens(text: str | None, tags: list | None) -> dict[str, int]:
+    """The words and the tags of a record with their counts; numbers count as one another."""
+    own = ["0" if w[0].isdigit() else w for w in _WORD.findall((text or "").casefold())]
+    own += ["#" + " ".join(_WORD.findall(x.casefold())) for x in tags or () if x and x.strip()]
+    counts: dict[str, int] = {}
+    for w in own:
+        counts[w] = counts.get(w, 0) + 1
+    return counts
+
+
+def _bucket(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed=99) % BUCKETS
+
+
+def word_shares(slim: DataFrame, n: int) -> np.ndarray:
+    """For each bucket of words the share of records that hold one of them, over all records."""
+
+    def count(batches):
+        found = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[list({_bucket(w) for w in _tokens(t, g)})] += 1
+        held = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(found[held])], ["bucket", "n"])
+
+    rows = slim.select("_text", "_tags").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    shares = np.zeros(BUCKETS)
+    for r in rows:
+        shares[r.bucket] = r.n / max(n, 1)
+    return shares
+
+
+def curve_key(spark: SparkSession, shares: np.ndarray, dims: int = 12, bits: int = 4, common: float = 0.01, tag_weight: float = 0.5) -> Column:
+    """The Hilbert key of a record from its ``_text`` and ``_tags``; dims * bits must not exceed 62."""
     if dims * bits > 62:
         raise ValueError("dims * bits must not exceed 62")
-    directions: dict[str, np.ndarray] = {}
+    shared = spark.sparkContext.broadcast(np.sqrt(np.minimum(1.0, shares / common)))
+    known: dict[str, np.ndarray] = {}
 
     def direction(word: str) -> np.ndarray:
-        if (v := directions.get(word)) is None:
+        """The word's direction, uniform on -1..1, and behind it its weight."""
+        if (v := known.get(word)) is None:
             h = np.array([xxhash.xxh3_64_intdigest(word, seed=j) for j in range(dims)], np.uint64)
-            v = (h >> np.uint64(40)).astype(np.float64) / (1 << 23) - 1  # uniform on -1..1
-            if len(directions) < 200_000:
-                directions[word] = v
+            weight = shared.value[_bucket(word)] * (tag_weight if word[0] == "#" else 1.0)
+            v = np.append((h >> np.uint64(40)).astype(np.float64) / (1 << 23) - 1, weight)
+            if len(known) < 200_000:
+                known[word] = v
         return v
 
     def keys(texts: pa.Array, tag_lists: pa.Array) -> pa.Array:
         points = np.zeros((len(texts), dims))
         for i, (t, g) in enumerate(zip(texts.to_pylist(), tag_lists.to_pylist())):
-            own = ["0" if w[0].isdigit() else w for w in _WORD.findall((t or "").casefold())]
-            own += ["#" + " ".join(_WORD.findall(x.casefold())) for x in g or () if x and x.strip()]
-            if own:
-                counts: dict[str, int] = {}
-                for w in own:
-                    counts[w] = counts.get(w, 0) + 1
-                v = sum(np.sqrt(c) * direction(w) for w, c in counts.items())
-                points[i] = v / np.sqrt(sum(counts.values()) / 3)  # a uniform direction has variance 1/3
+            if counts := _tokens(t, g):
+                v = np.array([direction(w) for w in counts])
+                weight = v[:, dims] * np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+                if (length := np.sqrt((weight * weight).sum() / 3)) > 0:  # a uniform direction has variance 1/3
+                    points[i] = weight @ v[:, :dims] / length
         cdf = _PHI[np.clip(points * 1000 + 6000, 0, 12000).astype(np.int64)]
         return pa.array(hilbert_keys(np.minimum(cdf * (1 << bits), (1 << bits) - 1), bits), pa.int64())
 
     keys.__annotations__ = {"texts": pa.Array, "tag_lists": pa.Array, "return": pa.Array}
-    return F.arrow_udf(keys, "bigint")(text, tags)
+    return F.arrow_udf(keys, "bigint")("_text", "_tags")
 
 
-def varied_subset(records: DataFrame, record: str, text: Column, tags: Column, best: list[Column], size: int) -> DataFrame:
-    """``size`` rows of ``records`` with their ``cell`` and ``cell_rank``; ``best``: the order of quality within a cell."""
+def varied_subset(records: DataFrame, record: str, text: Column, tags: Column, best: list[Column], size: int, dims: int = 12, bits: int = 4, cells_for_one: int = 8) -> DataFrame:
+    """``size`` rows of ``records`` with their ``_cell`` and ``_cell_rank``; ``best``: the order of quality within a cell."""
     from lumora.session import cut
 
-    named = records.filter(F.col(record).isNotNull()).dropDuplicates([record])
-    slim = cut(named.select(F.col(record).alias("_id"), F.struct(*[b.alias(f"b{i}") for i, b in enumerate(best)]).alias("_best"), curve_key(text, tags).alias("cell")))
+    spark = records.sparkSession
+    named = records.filter(F.col(record).isNotNull())
+    parts = F.struct(F.struct(*[b.alias(f"b{i}") for i, b in enumerate(best)]).alias("_best"), text.alias("_text"), tags.alias("_tags"))
+    slim = cut(named.select(F.col(record).alias("_id"), parts.alias("p")).groupBy("_id").agg(F.min("p").alias("p")).select("_id", "p.*"))
+    n = slim.count()
+    keyed = cut(slim.select("_id", "_best", curve_key(spark, word_shares(slim, n), dims, bits).alias("key")))
+    # the fewest leading bits that tell enough cells apart, in steps of three
+    drops = range(0, dims * bits, 3)
+    told = keyed.agg(*[F.approx_count_distinct(F.shiftright("key", s)).alias(f"d{s}") for s in drops]).first()
+    drop = max([s for s in drops if told[f"d{s}"] >= cells_for_one * size], default=0)
+    slim = keyed.select("_id", "_best", F.shiftright("key", drop).alias("cell"))
     cells = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r.n: r.m for r in cells.groupBy("n").agg(F.count(F.lit(1)).alias("m")).collect()}
     level, left = 0, max(0, min(size, sum(n * m for n, m in histogram.items())))
@@ -118,4 +166,4 @@ def varied_subset(records: DataFrame, record: str, text: Column, tags: Column, b
     chosen = top.filter(F.col("place") == level + 1).join(extra, "cell").select("_id", "cell", "cell_rank")
     if level:
         chosen = chosen.unionByName(top.filter(F.col("place") <= level).select("_id", "cell", F.lit(None).cast("bigint").alias("cell_rank")))
-    return named.join(chosen.withColumnRenamed("_id", record).withColumnsRenamed({"cell": "_cell", "cell_rank": "_cell_rank"}), record)
+    return named.join(chosen.withColumnRenamed("_id", record).withColumnsRenamed({"cell": "_cell", "cell_rank": "_cell_rank"}), record).dropDuplicates([record])
