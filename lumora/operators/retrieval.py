@@ -21,27 +21,49 @@ def best(hits: DataFrame, query: str, item: str, score: str, k: int) -> DataFram
     return hits.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
 
 
-def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float, block: int = 256) -> DataFrame:
+def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(query_id, id, similarity, hit_rank) by shared words.
 
-    ``queries``: (query_id, text), a stated set that meets all rows of ``texts``: (id, text), in blocks. A word of the
-    query counts if it is part of the text anywhere: m of q words, over q + n - m, n the words of the text, no word
-    united with its repeats. Null and blank queries find nothing. A text of too many words to reach ``least`` is
-    dismissed before any of its words is looked for.
+    ``queries``: (query_id, text), a stated set that meets all rows of ``texts``: (id, text). A word of the query counts
+    if it is part of the text anywhere: m of q words, over q + n - m, n the words of the text, no word united with its
+    repeats. Null and blank queries find nothing. The queries are broadcast in blocks of QUERY_BLOCK; each distinct word
+    of a block is looked for once in a text, and a product with the block's table of words gives m for all its queries.
+    Each task keeps the best ``k`` of every batch, and only those are shuffled.
     """
-    spark = queries.sparkSession
+    spark, kind, item = queries.sparkSession, dict(queries.dtypes)["query_id"], dict(texts.dtypes)["id"]
     q = queries.select("query_id", words(F.lower("text")).alias("q")).filter(F.size("q") > 0)
-    n_blocks = max(1, ceil(q.count() / block))
-    blocks = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))).groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("queries"))
-    t = texts.select("id", F.lower("text").alias("t")).withColumn("n", F.size(words("t")))
-    partitions = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = t.repartition(partitions, "id").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))))
-    met = spread.join(blocks, "b").select("id", "t", "n", F.explode("queries").alias("e")).select("id", "t", "n", "e.query_id", "e.q", F.size("e.q").alias("nq"))
-    # m is at most q, so the similarity is at most q / n
-    near = met.filter(F.col("nq") >= least * F.col("n"))
-    m = F.size(F.filter("q", lambda w: F.contains(F.col("t"), w)))
-    scored = near.withColumn("m", m).withColumn("similarity", F.col("m") / (F.col("nq") + F.col("n") - F.col("m")))
-    return best(scored.filter((F.col("m") > 0) & (F.col("similarity") >= least)), "query_id", "id", "similarity", k).select("query_id", "id", "similarity", "hit_rank")
+    n_blocks = max(1, ceil(q.count() / QUERY_BLOCK))
+    t = texts.select("id", F.lower("text").alias("t")).withColumn("n", F.size(words("t"))).filter("n > 0")
+    found: DataFrame | None = None
+    for b in range(n_blocks):
+        own = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()
+        lists = own.column("q").to_pylist()
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in lists for w in ws))}
+        held = np.zeros((len(vocabulary), len(lists)), np.float32)
+        for j, ws in enumerate(lists):
+            for w in ws:
+                held[vocabulary[w], j] += 1
+        shared = spark.sparkContext.broadcast((own.column("query_id").combine_chunks(), list(vocabulary), held))
+
+        def search(batches, shared=shared):
+            names, vocabulary, held = shared.value
+            nq = held.sum(axis=0)
+            for batch in batches:
+                for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                    flags = np.array([[w in x for w in vocabulary] for x in part.column(1).to_pylist()], np.float32).reshape(part.num_rows, -1)
+                    m = (flags @ held).T.astype(np.float64)
+                    sims = m / (nq[:, None] + part.column(2).to_numpy(zero_copy_only=False)[None, :] - m)
+                    rows, cols = np.nonzero((m > 0) & (sims >= least))
+                    s, ids = sims[rows, cols], part.column(0).take(pa.array(cols))
+                    # of each query the first k by similarity and id
+                    order = np.lexsort((np.array(ids.to_pylist(), dtype=object).astype(str) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False), -s, rows))
+                    at = rows[order]
+                    keep = order[np.arange(len(at)) - np.searchsorted(at, at, "left") < k]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[keep])), ids.take(pa.array(keep)), pa.array(s[keep])], ["query_id", "id", "similarity"])
+
+        part = t.mapInArrow(search, f"query_id {kind}, id {item}, similarity double")
+        found = part if found is None else found.unionByName(part)
+    return best(found, "query_id", "id", "similarity", k).select("query_id", "id", "similarity", "hit_rank")
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,7 +13,8 @@ def test_text_similarity(spark):
     assert [(r.query_id, r.id, r.similarity) for r in got] == [(1, "a", 1.0)]
 
 
-def test_text_hits_equal_brute_force_in_blocks(spark):
+def test_text_hits_equal_brute_force_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     rng = random.Random(2)
     words = ["alpha", "beta", "gam", "gamma", "de", "delta"]
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -28,7 +29,7 @@ def test_text_hits_equal_brute_force_in_blocks(spark):
             if m and s >= 0.4:
                 scored.append((-s, j))
         want |= {(i, j) for _, j in sorted(scored)[:3]}
-    got = retrieval.text_hits(spark.createDataFrame(qs, "query_id int, text string"), spark.createDataFrame(ts, "id string, text string"), 3, 0.4, block=7)
+    got = retrieval.text_hits(spark.createDataFrame(qs, "query_id int, text string"), spark.createDataFrame(ts, "id string, text string"), 3, 0.4)
     assert {(r.query_id, r.id) for r in got.collect()} == want
 
 
