@@ -213,4 +213,44 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p6_found, p6_neighbours, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix, p9_found, p9_rates, p9_limits)}
-ORACLES: dict[str, str] = {}
+_STAND_INS = ", ".join(f"'{x}'" for x in ["", *survivor.STAND_INS])
+_TRIM = "regexp_replace({}, '^[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+$', '', 'g')"
+
+
+def _informative_sql(entries: str) -> str:
+    return f"coalesce(len(list_filter(list_distinct(list_transform({entries}, lambda x: lower({_TRIM.format('x')}))), lambda x: x NOT IN ({_STAND_INS}))), 0)"
+
+
+_PATH = """list_reduce(list_prepend('', list_filter(string_split(replace({0}, chr(92), '/'), '/'), lambda s: s NOT IN ('', '.'))),
+  lambda a, s: CASE WHEN s = '..' AND a <> '' AND NOT regexp_matches(a, '(^|/)\\.\\.$') THEN regexp_replace(a, '(^|/)[^/]*$', '') WHEN a = '' THEN s ELSE a || '/' || s END)"""
+_PAIRS_SQL = f"""WITH e AS (SELECT id, lower(any_value(project)) AS p, any_value(intent.domain) AS tags, any_value(context.files_modified) AS files FROM episodes WHERE id IS NOT NULL GROUP BY id),
+t AS (SELECT DISTINCT 'tag' AS part, id, tag_id AS item FROM (SELECT id, lower({_TRIM.format('unnest(tags)')}) AS x FROM e) JOIN domain_tags ON lower(tag) = x),
+w AS (SELECT id, p, {_TRIM.format('unnest(files)')} AS f FROM e),
+g AS (SELECT id, p, starts_with(f, '/') OR starts_with(f, chr(92)) AS absolute, {_PATH.format('f')} AS f FROM w WHERE f IS NOT NULL),
+h AS (SELECT id, p, CASE WHEN absolute AND starts_with(lower(f), 'workspace/' || p || '/') THEN substr(f, length(p) + 12) WHEN absolute THEN '/' || f ELSE f END AS f FROM g),
+i AS (FROM t UNION ALL SELECT DISTINCT 'file ' || p, id, file_id FROM h JOIN project_files x ON lower(x.project) = p AND x.path = f),
+n AS (SELECT 'tag' AS part, count(*) AS n FROM e UNION ALL SELECT 'file ' || p, count(*) FROM e WHERE p IS NOT NULL GROUP BY p),
+s AS (SELECT part, item, count(*) AS c FROM i GROUP BY ALL),
+ab AS (SELECT a.part, a.item AS item_a, b.item AS item_b, count(*) AS n_ab FROM i a JOIN i b ON a.part = b.part AND a.id = b.id AND a.item < b.item GROUP BY ALL),
+scored AS (SELECT ab.*, x.c AS n_a, y.c AS n_b, n FROM ab JOIN s x ON x.part = ab.part AND x.item = item_a JOIN s y ON y.part = ab.part AND y.item = item_b JOIN n ON n.part = ab.part)
+"""
+
+#: Problems whose answer SQL can express on whole tables; the others are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH m AS (SELECT cluster_id, episode_id, max(coalesce(trust, 0)) AS trust FROM duplicate_clusters LEFT JOIN capture_channels USING (channel) WHERE cluster_id IS NOT NULL AND episode_id IS NOT NULL GROUP BY ALL),
+e AS (SELECT id AS episode_id, {_informative_sql('any_value(intent.domain)')} AS d, {_informative_sql('any_value(context.files_modified)')} AS f, {_informative_sql('list_transform(any_value(context.errors_encountered), lambda x: x.message)')} AS r,
+  any_value(CASE WHEN timestamp_end >= timestamp_start AND timestamp_end <= timestamp_start + INTERVAL 7 DAY THEN epoch_us(timestamp_end) END) AS t FROM episodes WHERE id IS NOT NULL GROUP BY id),
+j AS (SELECT * FROM m JOIN e USING (episode_id)),
+l AS (SELECT cluster_id, 'domain' AS field_name, episode_id, d AS n, trust, t FROM j WHERE d > 0 UNION ALL SELECT cluster_id, 'files_modified', episode_id, f, trust, t FROM j WHERE f > 0
+  UNION ALL SELECT cluster_id, 'errors_encountered', episode_id, r, trust, t FROM j WHERE r > 0 UNION ALL SELECT cluster_id, 'timestamp_end', episode_id, t, trust, t FROM j WHERE t IS NOT NULL)
+SELECT cluster_id, field_name, episode_id FROM l QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY n DESC, trust DESC, t DESC NULLS LAST, episode_id) = 1""",
+    "p4_found": _PAIRS_SQL + f"SELECT split_part(part, ' ', 1) AS item_kind, item_a, item_b FROM scored WHERE n_ab >= {PAIR_SUPPORT} AND n_ab * n > {LIFT_OVER} * n_a * n_b",
+    "p4_pairs": _PAIRS_SQL
+    + """SELECT split_part(part, ' ', 1) AS item_kind, nullif(substr(part, 6), '') AS project, item_a, item_b, n_ab, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift,
+  round(CASE WHEN n_ab < n_a THEN (1 - n_b / n::DOUBLE) / (1 - n_ab / n_a::DOUBLE) END, 6) AS conviction FROM scored""",
+    "p6_found": """WITH v AS (SELECT episode_id AS id, list_transform(v, lambda x: x::DOUBLE) AS v FROM (SELECT episode_id, arg_max(vector, coalesce(indexed_at, TIMESTAMP '1900-01-01')) AS v, arg_max(len(vector), coalesce(indexed_at, TIMESTAMP '1900-01-01')) AS w FROM vectors WHERE episode_id IS NOT NULL GROUP BY 1) WHERE w = 384),
+u AS (SELECT id, v FROM v WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 384 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
+k AS (SELECT x, y FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS r FROM s WHERE s >= 0.85) WHERE r <= 5)
+SELECT DISTINCT least(x, y) AS episode_a, greatest(x, y) AS episode_b FROM k""",
+}
