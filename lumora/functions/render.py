@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumora.functions.utility import confidence
 from lumora.operators.store import icon
 
 
@@ -48,3 +49,17 @@ def embedding_text() -> Column:
         joined("tags", F.col("tags"), F.size("tags")), joined("files", F.col("files"), F.size("files")), joined("tools", F.col("tools"), F.size("tools")),
         joined("errors", messages, F.size("errors")), joined("resolutions", resolutions, F.size(resolutions)), F.concat(F.lit("outcome: "), status_label(F.col("status"))),
     )
+
+
+def hit_text(rank: Column, similarity: Column, utility: Column, most_errors: int = 3) -> Column:
+    """A hit as a section of a result: when, how relevant, and up to ``most_errors`` errors that were resolved."""
+    title = F.when(F.col("intent") != "", F.col("intent")).otherwise(F.col("raw_prompt"))
+    percent = lambda c: F.round(c * 100).cast("int").cast("string")
+    line = lambda label, c: F.concat(F.lit(f"**{label}**: "), c)
+    resolved = F.slice(F.transform(F.filter("errors", lambda e: e["resolved"]), lambda e: F.concat(F.lit("  - "), F.coalesce(e["message"], F.lit("")))), 1, most_errors)
+    relevance = F.concat(percent(similarity), F.lit("% similarity, "), percent(utility), F.lit("% utility ("), confidence(F.col("retrievals")), F.lit(", "), F.col("retrievals").cast("string"), F.lit(" retrievals)"))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("### "), rank.cast("string"), F.lit(". "), title), line("When", F.date_format("started", "yyyy-MM-dd HH:mm 'UTC'")), line("Project", F.coalesce("project", F.lit(""))),
+        line("Outcome", status_label(F.col("status"))), line("Relevance", relevance), F.when(F.size("files") > 0, line("Files involved", F.array_join("files", ", "))),
+        F.when(F.size("tags") > 0, line("Tags", F.array_join("tags", ", "))), F.when(F.size(resolved) > 0, F.concat(F.lit("**Errors resolved**:\n"), F.array_join(resolved, "\n"))),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions import capture, render
+from lumora.functions.utility import WILSON_SQL, wilson
 from lumora.plans.check import Registry
 from lumora.schema import episodes
 from lumora.tables import table
@@ -149,3 +150,27 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
 
     got = retrieve_scored(spark, d)
     return got.select("search_id", "hit_rank", F.to_json(F.struct("id", "score")).alias("json"))
+
+
+_RESOLVED = "list_transform(list_filter(errors, lambda e: e.resolved), lambda e: '  - ' || coalesce(e.message, ''))[1:3]"
+
+
+@registered(
+    f"""AND s AS (SELECT search_id, id, max(similarity_score::DOUBLE) AS similarity FROM search_results WHERE similarity_score >= 0.3 GROUP BY ALL),
+r AS (SELECT s.search_id, s.similarity, {WILSON_SQL} AS w, ep.*, row_number() OVER (PARTITION BY search_id ORDER BY round((1 - 0.7::DOUBLE) * similarity + 0.7::DOUBLE * {WILSON_SQL}, 9) DESC, ep.id) AS n FROM s JOIN ep ON s.id = ep.id)
+SELECT search_id, n AS hit_rank, concat_ws('
+', '### ' || n || '. ' || CASE WHEN intent <> '' THEN intent ELSE raw_prompt END, '**When**: ' || strftime(started, '%Y-%m-%d %H:%M UTC'), '**Project**: ' || coalesce(project, ''), '**Outcome**: ' || {_ICON},
+  '**Relevance**: ' || round(similarity * 100)::INT || '% similarity, ' || round(w * 100)::INT || '% utility (' || CASE WHEN retrievals = 0 THEN 'untested' WHEN retrievals <= 2 THEN 'low confidence' WHEN retrievals <= 5 THEN 'moderate confidence' ELSE 'high confidence' END || ', ' || retrievals || ' retrievals)',
+  CASE WHEN len(files) > 0 THEN '**Files involved**: ' || array_to_string(files, ', ') END, CASE WHEN len(tags) > 0 THEN '**Tags**: ' || array_to_string(tags, ', ') END,
+  CASE WHEN len({_RESOLVED}) > 0 THEN '**Errors resolved**:
+' || array_to_string({_RESOLVED}, '
+') END) AS text FROM r WHERE n <= 3""",
+    episodes=True,
+)
+def result_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """The three best hits of each search as text."""
+    from lumora.plans.search import retrieve_scored
+
+    hits = table(spark, d, "search_results").filter("similarity_score >= 0.3").groupBy("search_id", "id").agg(F.max(F.col("similarity_score").cast("double")).alias("similarity"))
+    top = retrieve_scored(spark, d).select("search_id", "id", "hit_rank").join(hits, ["search_id", "id"]).join(episodes(spark, d), "id")
+    return top.select("search_id", "hit_rank", render.hit_text(F.col("hit_rank"), F.col("similarity"), wilson(F.col("helpful"), F.col("retrievals"))).alias("text"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumora.functions.utility import WILSON_SQL, whole_days, wilson
 from lumora.operators import duplicates, store
+from lumora.operators.inlining import ROOT
 from lumora.plans.check import Registry
 from lumora.plans.learning import edges
 from lumora.plans.nested import inlined_episodes
-from lumora.operators.inlining import ROOT
-from lumora.schema import episodes
+from lumora.schema import AS_OF, episodes
 from lumora.tables import table
 
 registered = Registry()
@@ -91,6 +92,25 @@ def review_analyze(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(episodes(spark, d).agg(F.count(F.lit(1)).alias("n_episodes"))), F.lit(True))
 
 
+@registered(f"WITH RECURSIVE __EP__, {_COMPONENTS}, c AS (SELECT cluster, count(*) AS n FROM labels GROUP BY cluster ORDER BY n DESC, cluster LIMIT 5) SELECT cluster, n, id, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place, n - 3 AS more FROM c JOIN labels USING (cluster) QUALIFY place <= 3")
+def review_display(spark: SparkSession, d: str) -> DataFrame:
+    """The five largest clusters with three members each, and how many more there are."""
+    members = _vector_clusters(spark, d)
+    largest = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(5)
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
+    # five rows
+    shown = members.join(F.broadcast(largest), "cluster").withColumn("place", place).filter("place <= 3")
+    return shown.select("cluster", "n", "id", "place", (F.col("n") - 3).alias("more"))
+
+
+@registered(f"SELECT id, round({WILSON_SQL}, 6) AS wilson, retrievals = 0 AS never_retrieved FROM ep WHERE trunc((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(started)) / 86400000000.0) > 30 AND {WILSON_SQL} < 0.2 AND helpful = 0", episodes=True)
+def review_cleanup(spark: SparkSession, d: str) -> DataFrame:
+    """Stale episodes that no one found helpful, which a cleanup would delete."""
+    w = wilson(F.col("helpful"), F.col("retrievals"))
+    stale = episodes(spark, d).filter((whole_days(F.lit(AS_OF).cast("timestamp"), F.col("started")) > 30) & (w < 0.2) & (F.col("helpful") == 0))
+    return stale.select("id", F.round(w, 6).alias("wilson"), (F.col("retrievals") == 0).alias("never_retrieved"))
+
+
 def _late(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Episodes of the last weeks as new captures, and those before them as the store."""
     e = episodes(spark, d)
