@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from lumora.functions.text import words
 from lumora.session import cut
 
+#: Words from which on a set counts as long.
+LONG = 20
+
 
 def word_classes(e: DataFrame) -> DataFrame:
     """(id, part, class): the class is a digest of the part and the set of words; members of a class are copies."""
@@ -18,11 +21,14 @@ def word_classes(e: DataFrame) -> DataFrame:
 def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     """(class_a, class_b, similarity) of distinct word sets within a part whose Jaccard similarity exceeds ``least``.
 
-    Exact, without meeting all pairs. Words are ordered by rarity. Sets of which each has more than four words share at
-    least three words if they are similar, and the three come from the rarest ones of either (how many follows from
-    ``least``): they meet on triples of these, so words that a third of all sets hold don't bring sets together.
-    Sets of up to four words meet on single rare words; a set of four words meets on both.
+    Exact for ``least`` from 0.6 on, without meeting all pairs. Words are ordered by rarity, and similar sets share some
+    of the rarest words of either (how many follows from ``least``). Sets of 4 to LONG - 1 words share at least three of
+    them: they meet on triples, so words that a third of all sets hold don't bring sets together. Sets of up to 4 words
+    meet on single rare words. So do pairs of which one has LONG words or more, whose rarest words are rare indeed;
+    their triples would be too many.
     """
+    if least < 0.6:
+        raise ValueError("exact from 0.6 on")
     sets = classes.groupBy("part", "class").agg(F.first("w").alias("w"))
     sets = cut(sets)
     words_of = sets.select("part", "class", F.size("w").alias("n"), F.explode("w").alias("x"))
@@ -32,14 +38,20 @@ def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     # a similar set shares at least this many words
     needed = F.floor(F.lit(least) * F.col("n") + 1e-9) + 1
     slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).select("part", "class", "n", "head", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")).alias("short"))
-    one = slim.filter("n <= 4").select("part", "class", "n", F.explode("short").alias("x")).select("class", "n", F.xxhash64("part", "x").alias("key"))
-    first = slim.filter("n >= 4").select("part", "class", "n", "head", F.posexplode("head").alias("i", "a"))
+    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select("part", "class", "n", F.explode("short").alias("x")).select("class", "n", F.xxhash64("part", "x").alias("key"))
+    first = slim.filter(F.col("n").between(4, LONG - 1)).select("part", "class", "n", "head", F.posexplode("head").alias("i", "a"))
     second = first.select("part", "class", "n", "head", "a", F.posexplode("head").alias("j", "b"), "i").filter("j > i")
     third = second.select("class", "n", "part", "a", "b", F.explode(F.slice("head", F.col("j") + 2, F.size("head"))).alias("c"))
-    keys = one.unionByName(third.select("class", "n", F.xxhash64("part", "a", "b", "c").alias("key")))
-    left, right = keys.select("key", F.col("class").alias("class_a"), F.col("n").alias("na")), keys.select("key", F.col("class").alias("class_b"), F.col("n").alias("nb"))
-    sized = (F.least("na", "nb") > least * F.greatest("na", "nb")) & (F.col("class_a") < F.col("class_b"))
-    candidates = left.join(right, "key").filter(sized).select("class_a", "class_b").distinct()
+    triples = third.select("class", "n", F.xxhash64("part", "a", "b", "c").alias("key"))
+    small, long = single.filter("n <= 4"), single.filter(F.col("n") >= LONG)
+
+    def met(keys: DataFrame, others: DataFrame, ordered: bool) -> DataFrame:
+        left, right = keys.select("key", F.col("class").alias("l"), F.col("n").alias("nl")), others.select("key", F.col("class").alias("r"), F.col("n").alias("nr"))
+        pairs = left.join(right, "key").filter(F.least("nl", "nr") > least * F.greatest("nl", "nr"))
+        return (pairs.filter("l < r") if ordered else pairs).select(F.least("l", "r").alias("class_a"), F.greatest("l", "r").alias("class_b"))
+
+    alike = small.unionByName(triples).unionByName(long)
+    candidates = met(alike, alike, True).unionByName(met(single.filter(F.col("n").between(5, LONG - 1)), long, False)).distinct()
     w = ordered.select("class", "part", "w")
     a, b = w.select(F.col("class").alias("class_a"), F.col("w").alias("wa"), F.col("part").alias("pa")), w.select(F.col("class").alias("class_b"), F.col("w").alias("wb"), F.col("part").alias("pb"))
     both = F.size(F.array_intersect("wa", "wb"))

@@ -24,6 +24,9 @@ def test_clusters_equal_brute_force(spark):
     rng = random.Random(5)
     # few words, so that short sets, sets of three to five words and hot words all come up
     texts = [(f"{i:03}", rng.choice("ab"), " ".join(rng.choice(["the", "of", *"abcdefgh"]) for _ in range(rng.randrange(0, 9)))) for i in range(250)]
+    # sets about the length from which they meet in another way
+    base = [[f"w{i}{j}" for j in range(24)] for i in range(6)]
+    texts += [(f"l{i:03}", "a", " ".join(rng.sample(rng.choice(base), rng.randrange(11, 25)) + rng.sample("abcd", 2))) for i in range(150)]
     texts += [(f"x{i:02}", "a", "the same words again") for i in range(60)]
     for least in (0.6, 0.8):
         got = {r.id: r.cluster for r in duplicates.clusters(spark.createDataFrame(texts, "id string, part string, text string"), least).collect()}
