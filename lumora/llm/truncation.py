@@ -37,7 +37,7 @@ _CLOSED = rf"{_TERMINAL}[\"”’»'\)\]\}}*_`」』）]*(?:\s*[\p{{So}}\p{{Sk}}
 _FORMS = r"^(?:[-*•+] |\d+[.)] |> |-- |\[[ xX]\] |\|.*\|$)"
 _TRAILER = r"^\p{L}[\p{L} _-]{0,30}: [^\s,]+(?:, [^\s,]+)*$"
 _SPEAKER = r"^(?:User|Assistant|System|Human): "
-_DANGLING = r"(?:^|\n) *(?:#{1,6}(?: .*)?|[-*•>|]|\p{L}+:)$|[,;:(\[{“«&+=<\\]$|(?:^|\s)[-–—]$|/[^/\s.]+\.$|(?:^|[\s,(])(?:[\w.-]+/)+[\w-]*$"
+_DANGLING = r"^ *(?:#{1,6}(?: .*)?|[-*•>|]|\p{L}+:)$|[,;:(\[{“«&+=<\\]$|(?:^|\s)[-–—]$|/[^/\s.]+\.$|(?:^|[\s,(])(?:[\w.-]+/)+[\w-]*$"
 
 
 def _body(text: Column | str) -> Column:
@@ -61,6 +61,7 @@ def endings(documents: DataFrame) -> DataFrame:
     # the lines are found in the text without the white space that follows it
     d = d.select("*", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), _body("text").alias("body"))
     d = d.withColumn("last", F.substring_index(F.translate("body", "\r", "\n"), "\n", -1))
+    # what is anchored at the end and can't span lines is looked for in the last line only
     b, last = F.col("body"), F.col("last")
     looks_json = b.rlike(r"^\s*[\[{]\s*[\"\[{]")
     table = last.rlike(r"^\|") & ~last.rlike(r"\|$")
@@ -68,12 +69,12 @@ def endings(documents: DataFrame) -> DataFrame:
     bare = F.regexp_replace(last, r"\x1b\[[0-9;]*[A-Za-z]", "")
     unbalanced = ~last.rlike(rf"{_TERMINAL}$") & ((_count(bare, "(") > _count(bare, ")")) | (_count(bare, "[") > _count(bare, "]")))
     broken = (
-        b.rlike("\\x{FFFD}$") | (_count(b, "```") % 2 == 1) | (looks_json & F.try_parse_json(b).isNull()) | table | unbalanced | b.rlike(_DANGLING)
+        F.endswith(b, F.lit("\ufffd")) | (_count(b, "```") % 2 == 1) | (looks_json & F.try_parse_json(b).isNull()) | table | unbalanced | last.rlike(_DANGLING)
     )
-    ellipsis = b.rlike(r"(?:…|\.\.\.)$")
-    one_line = ~b.rlike(r"[\n\r]") & b.rlike(r"^[^\p{Lu}]") & ~b.rlike(rf"{_TERMINAL}\s")
+    ellipsis = last.rlike(r"(?:…|\.\.\.)$")
+    one_line = (b == last) & last.rlike(r"^[^\p{Lu}]") & ~last.rlike(rf"{_TERMINAL}\s")
     form = last.rlike(_FORMS) | (last.rlike(_TRAILER) & ~last.rlike(_SPEAKER)) | one_line
-    kind = F.when(broken, "broken").when(ellipsis, "ellipsis").when(b.rlike(_CLOSED) | (last.rlike(r"\)$") & ~looks_json) | (looks_json & b.rlike(r"[\]}]$")), "closed").when(form, "line").otherwise("open")
+    kind = F.when(broken, "broken").when(ellipsis, "ellipsis").when(last.rlike(_CLOSED) | (last.rlike(r"\)$") & ~looks_json) | (looks_json & last.rlike(r"[\]}]$")), "closed").when(form, "line").otherwise("open")
     shape = F.xxhash64(F.regexp_replace(last, r"\d+", "0"))
     return d.select("doc_id", "key", "chars", "bytes", "h", kind.alias("kind"), shape.alias("shape"), _word(F.element_at(F.split("last", r"\s+"), -1)).alias("word"))
 
