@@ -115,9 +115,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of items that occurs, with its scores."""
-    return _pairs(spark, d, 1).select(
-        "item_kind", "project", "item_a", "item_b", "n_ab", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction")
-    )
+    # ratios of small numbers end in halves too often to leave their rounding to each engine
+    six = lambda c: (F.floor(F.col(c) * 1_000_000 + 0.5) / 1_000_000).alias(c)
+    return _pairs(spark, d, 1).select("item_kind", "project", "item_a", "item_b", "n_ab", six("lift"), six("conviction"))
 
 
 # -- 5: a varied subset
@@ -246,8 +246,8 @@ l AS (SELECT cluster_id, 'domain' AS field_name, episode_id, d AS n, trust, t FR
 SELECT cluster_id, field_name, episode_id FROM l QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY n DESC, trust DESC, t DESC NULLS LAST, episode_id) = 1""",
     "p4_found": _PAIRS_SQL + f"SELECT split_part(part, ' ', 1) AS item_kind, item_a, item_b FROM scored WHERE n_ab >= {PAIR_SUPPORT} AND n_ab * n > {LIFT_OVER} * n_a * n_b",
     "p4_pairs": _PAIRS_SQL
-    + """SELECT split_part(part, ' ', 1) AS item_kind, nullif(substr(part, 6), '') AS project, item_a, item_b, n_ab, round(n_ab * n / (n_a * n_b)::DOUBLE, 6) AS lift,
-  round(CASE WHEN n_ab < n_a THEN (1 - n_b / n::DOUBLE) / (1 - n_ab / n_a::DOUBLE) END, 6) AS conviction FROM scored""",
+    + """SELECT split_part(part, ' ', 1) AS item_kind, nullif(substr(part, 6), '') AS project, item_a, item_b, n_ab, floor(n_ab * n / (n_a * n_b)::DOUBLE * 1000000 + 0.5) / 1000000 AS lift,
+  floor(CASE WHEN n_ab < n_a THEN (1 - n_b / n::DOUBLE) / (1 - n_ab / n_a::DOUBLE) END * 1000000 + 0.5) / 1000000 AS conviction FROM scored""",
     "p6_found": """WITH v AS (SELECT episode_id AS id, list_transform(v, lambda x: x::DOUBLE) AS v FROM (SELECT episode_id, arg_max(vector, coalesce(indexed_at, TIMESTAMP '1900-01-01')) AS v, arg_max(len(vector), coalesce(indexed_at, TIMESTAMP '1900-01-01')) AS w FROM vectors WHERE episode_id IS NOT NULL GROUP BY 1) WHERE w = 384),
 u AS (SELECT id, v FROM v WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 384 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS s FROM u a JOIN u b ON a.id <> b.id),
