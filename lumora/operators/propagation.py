@@ -94,11 +94,12 @@ def tag_propagated(e: DataFrame, gap: float = 0.1, step: float = STEP) -> DataFr
     """(id, tag, new_learned): episodes well below the average of one of their tags move towards it.
 
     The task type is a tag too; tags of one episode only don't count; of several that qualify the last in the alphabet
-    decides. Averages are made with partial sums and meet the episodes by an equi-join.
+    decides. Averages are made with partial sums, rounded so that the order of the sums decides nothing, and meet the
+    episodes by an equi-join.
     """
     tags = F.concat(F.transform("tags", F.lower), F.array(F.lower("task_type")))
     long = e.select("id", _wilson().alias("w"), F.explode(tags).alias("tag"))
-    average = long.groupBy("tag").agg(F.avg("w").alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+    average = long.groupBy("tag").agg(F.round(F.avg("w"), 9).alias("mean"), F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
     low = long.distinct().join(average, "tag").filter(F.col("w") < F.col("mean") - gap)
     new = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("w") + step * (F.col("mean") - F.col("w"))))
     return low.groupBy("id").agg(F.max_by(F.struct("tag", new.alias("new")), "tag").alias("t")).select("id", "t.tag", F.col("t.new").alias("new_learned"))

@@ -43,7 +43,7 @@ def bellman_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(
     f"""AND long AS (SELECT id, {WILSON_SQL} AS w, unnest(list_append(list_transform(tags, lambda t: lower(t)), lower(task_type))) AS tag FROM ep),
-a AS (SELECT tag, avg(w) AS mean FROM long GROUP BY tag HAVING count(*) >= 2)
+a AS (SELECT tag, round(avg(w), 9) AS mean FROM long GROUP BY tag HAVING count(*) >= 2)
 SELECT id, max(tag) AS tag, round(arg_max(greatest(0.0, least(1.0, w + 0.1 * (mean - w))), tag), 6) AS learned FROM long JOIN a USING (tag) WHERE w < mean - 0.1 GROUP BY id""",
     episodes=True,
 )
