@@ -9,7 +9,7 @@ from lumora.functions.utility import WILSON_SQL, whole_days, wilson
 from lumora.operators import duplicates, store
 from lumora.operators.inlining import ROOT
 from lumora.plans.check import Registry
-from lumora.plans.learning import edges
+from lumora.plans.learning import edges, near_episodes, near_sql
 from lumora.plans.nested import inlined_episodes
 from lumora.schema import AS_OF, episodes
 from lumora.tables import table
@@ -48,46 +48,82 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT least(query_episode_id, id) AS id_a, greatest(query_episode_id, id) AS id_b, round(max(similarity_score::DOUBLE), 5) AS similarity FROM search_results WHERE similarity_score >= 0.85 AND query_episode_id <> id AND query_episode_id IN (SELECT id FROM episodes) AND id IN (SELECT id FROM episodes) GROUP BY ALL")
 def dup_pairs_vector(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of existing episodes that a past search found at least 0.85 alike, in either direction."""
+    """Pairs of existing episodes that a past search found at least 0.85 alike, in either direction; ``dup_pairs_knn`` finds all."""
     near = edges(spark, d).filter((F.col("similarity") >= 0.85) & (F.col("source") != F.col("target")))
     known = table(spark, d, "episodes").select("id").distinct()
     near = near.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
     return near.groupBy(F.least("source", "target").alias("id_a"), F.greatest("source", "target").alias("id_b")).agg(F.round(F.max("similarity"), 5).alias("similarity"))
 
 
-_COMPONENTS = """near AS (SELECT DISTINCT query_episode_id AS a, id AS b FROM search_results WHERE similarity_score >= 0.85 AND query_episode_id <> id AND query_episode_id IN (SELECT id FROM ep) AND id IN (SELECT id FROM ep)),
-links AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), labels AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)"""
+@registered(f"WITH {near_sql(5, 0.85)} SELECT least(source, target) AS id_a, greatest(source, target) AS id_b, round(max(similarity), 5) AS similarity FROM near GROUP BY ALL")
+def dup_pairs_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of existing episodes at least 0.85 alike of which one is among the five most similar of the other, over all vectors."""
+    near = near_episodes(spark, d, 5, 0.85)
+    return near.groupBy(F.least("source", "target").alias("id_a"), F.greatest("source", "target").alias("id_b")).agg(F.round(F.max("similarity"), 5).alias("similarity"))
+
+
+_LABELS = """links AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), labels AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a)"""
+_COMPONENTS = f"""near AS (SELECT DISTINCT query_episode_id AS a, id AS b FROM search_results WHERE similarity_score >= 0.85 AND query_episode_id <> id AND query_episode_id IN (SELECT id FROM ep) AND id IN (SELECT id FROM ep)),
+{_LABELS}"""
+_EXACT_PAIRS = near_sql(5, 0.85)
+_EXACT_COMPONENTS = f"""{_EXACT_PAIRS.replace("near AS (", "top AS (")}, near AS (SELECT source AS a, target AS b FROM top),
+{_LABELS}"""
 
 
-def _vector_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return duplicates.components(dup_pairs_vector(spark, d), "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+def _clusters(pairs: DataFrame) -> DataFrame:
+    return duplicates.components(pairs, "id_a", "id_b").select(F.col("node").alias("id"), F.col("component").alias("cluster"))
 
 
 @registered(f"WITH RECURSIVE __EP__, {_COMPONENTS} SELECT id, cluster FROM labels")
 def vector_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return _vector_clusters(spark, d)
+    return _clusters(dup_pairs_vector(spark, d))
+
+
+@registered(f"WITH RECURSIVE __EP__, {_EXACT_COMPONENTS} SELECT id, cluster FROM labels")
+def clusters_knn(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(dup_pairs_knn(spark, d))
 
 
 def _united(kind: str, expression: str) -> str:
     return f"{kind} AS (SELECT cluster, string_agg(x, '|' ORDER BY p) AS {kind} FROM (SELECT cluster, x, min((-coalesce(epoch_us(ended), 0), id, i)) AS p FROM (SELECT cluster, ended, id, unnest({expression}) AS x, generate_subscripts({expression}, 1) AS i FROM rows_) GROUP BY cluster, x) GROUP BY cluster)"
 
 
-@registered(
-    f"""WITH RECURSIVE __EP__, {_COMPONENTS}, rows_ AS (SELECT ep.*, cluster FROM ep JOIN labels USING (id)),
+def _consolidate_sql(components: str) -> str:
+    return f"""WITH RECURSIVE __EP__, {components}, rows_ AS (SELECT ep.*, cluster FROM ep JOIN labels USING (id)),
 {_united('tags', 'tags')}, {_united('files', 'files')}, {_united('errors', "list_transform(errors, lambda e: coalesce(e.message, ''))")}
 SELECT r.cluster, arg_min(r.id, (-coalesce(epoch_us(r.ended), 0), r.id)) AS base_id, count(*) AS n_members, coalesce(any_value(t.tags), '') AS tags, coalesce(any_value(f.files), '') AS files, coalesce(any_value(e.errors), '') AS errors,
   arg_min(r.retrievals, (-coalesce(epoch_us(r.ended), 0), r.id)) AS retrievals, max(r.helpful) AS helpful
 FROM rows_ r LEFT JOIN tags t USING (cluster) LEFT JOIN files f USING (cluster) LEFT JOIN errors e USING (cluster) GROUP BY r.cluster"""
-)
+
+
+@registered(_consolidate_sql(_COMPONENTS))
 def cluster_consolidate(spark: SparkSession, d: str) -> DataFrame:
     """What would remain of each cluster."""
-    got = duplicates.consolidated(episodes(spark, d), _vector_clusters(spark, d))
+    return _consolidated(spark, d, vector_clusters(spark, d))
+
+
+@registered(_consolidate_sql(_EXACT_COMPONENTS))
+def consolidate_knn(spark: SparkSession, d: str) -> DataFrame:
+    return _consolidated(spark, d, clusters_knn(spark, d))
+
+
+def _consolidated(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
+    got = duplicates.consolidated(episodes(spark, d), members)
     return got.select("cluster", "base_id", "n_members", *[F.array_join(c, "|").alias(c) for c in ("tags", "files", "errors")], "retrievals", "helpful")
 
 
 @registered(f"WITH RECURSIVE __EP__, {_COMPONENTS} SELECT count(*) AS n_members, count(DISTINCT cluster) AS n_clusters, (SELECT count(*) FROM ep) AS n_episodes FROM labels")
 def review_analyze(spark: SparkSession, d: str) -> DataFrame:
-    c = _vector_clusters(spark, d).agg(F.count(F.lit(1)).alias("n_members"), F.countDistinct("cluster").alias("n_clusters"))
+    return _analyzed(spark, d, vector_clusters(spark, d))
+
+
+@registered(f"WITH RECURSIVE __EP__, {_EXACT_COMPONENTS} SELECT count(*) AS n_members, count(DISTINCT cluster) AS n_clusters, (SELECT count(*) FROM ep) AS n_episodes FROM labels")
+def review_analyze_knn(spark: SparkSession, d: str) -> DataFrame:
+    return _analyzed(spark, d, clusters_knn(spark, d))
+
+
+def _analyzed(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
+    c = members.agg(F.count(F.lit(1)).alias("n_members"), F.countDistinct("cluster").alias("n_clusters"))
     # one row on either side
     return c.join(F.broadcast(episodes(spark, d).agg(F.count(F.lit(1)).alias("n_episodes"))), F.lit(True))
 
@@ -95,7 +131,15 @@ def review_analyze(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"WITH RECURSIVE __EP__, {_COMPONENTS}, c AS (SELECT cluster, count(*) AS n FROM labels GROUP BY cluster ORDER BY n DESC, cluster LIMIT 5) SELECT cluster, n, id, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place, n - 3 AS more FROM c JOIN labels USING (cluster) QUALIFY place <= 3")
 def review_display(spark: SparkSession, d: str) -> DataFrame:
     """The five largest clusters with three members each, and how many more there are."""
-    members = _vector_clusters(spark, d)
+    return _displayed(vector_clusters(spark, d))
+
+
+@registered(f"WITH RECURSIVE __EP__, {_EXACT_COMPONENTS}, c AS (SELECT cluster, count(*) AS n FROM labels GROUP BY cluster ORDER BY n DESC, cluster LIMIT 5) SELECT cluster, n, id, row_number() OVER (PARTITION BY cluster ORDER BY id) AS place, n - 3 AS more FROM c JOIN labels USING (cluster) QUALIFY place <= 3")
+def review_display_knn(spark: SparkSession, d: str) -> DataFrame:
+    return _displayed(clusters_knn(spark, d))
+
+
+def _displayed(members: DataFrame) -> DataFrame:
     largest = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster").limit(5)
     place = F.row_number().over(Window.partitionBy("cluster").orderBy("id"))
     # five rows

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from lumora.functions.utility import WILSON_SQL
 from lumora.operators import propagation
+from lumora.operators.neighbours import nearest
 from lumora.plans.check import Registry
 from lumora.schema import AS_OF, episodes
 from lumora.tables import table
 
 registered = Registry()
 QUERIES, ORACLES = registered.queries, registered.oracles
+#: Numbers in a vector of the vectors table.
+EPISODE_WIDTH = 384
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -22,8 +25,31 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.max(F.col("similarity_score").cast("double")).alias("similarity"), F.min("hit_rank").alias("hit_rank"))
 
 
+def near_episodes(spark: SparkSession, d: str, k: int, least: float) -> DataFrame:
+    """(source, target, similarity, hit_rank): the k most similar existing episodes of each, over all rows of ``vectors``."""
+    known = table(spark, d, "episodes").select(F.col("id").alias("episode_id")).distinct()
+    v = table(spark, d, "vectors").select("episode_id", "vector", "indexed_at").join(known, "episode_id", "left_semi")
+    return nearest(v, "episode_id", "vector", "indexed_at", k, least, EPISODE_WIDTH).select(F.col("episode_id").alias("source"), F.col("neighbour").alias("target"), "similarity", "hit_rank")
+
+
+def near_sql(k: int, least: float) -> str:
+    """``near`` by comparing all with all."""
+    latest = "coalesce(indexed_at, TIMESTAMP '1900-01-01')"
+    return f"""lv AS (SELECT id, list_transform(v, lambda x: x::DOUBLE) AS v FROM (SELECT episode_id AS id, arg_max(vector, {latest}) AS v, arg_max(len(vector), {latest}) AS w FROM vectors WHERE episode_id IN (SELECT id FROM episodes WHERE id IS NOT NULL) GROUP BY 1) WHERE w = {EPISODE_WIDTH}),
+uv AS (SELECT id, v FROM lv WHERE len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = {EPISODE_WIDTH} AND len(list_filter(v, lambda x: x <> 0)) > 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY similarity DESC, target) AS hit_rank FROM (SELECT a.id AS source, b.id AS target, list_cosine_similarity(a.v, b.v) AS similarity FROM uv a JOIN uv b ON a.id <> b.id) WHERE similarity >= {least}) WHERE hit_rank <= {k})"""
+
+
+@registered(f"WITH {near_sql(10, -1)} SELECT source, target, round(similarity, 5) AS similarity, hit_rank FROM near")
+def knn_join(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar other episodes of every episode."""
+    return near_episodes(spark, d, 10, -1.0).withColumn("similarity", F.round("similarity", 5))
+
+
 _EDGES = "edges AS (SELECT query_episode_id AS source, id AS target, max(similarity_score::DOUBLE) AS similarity, min(hit_rank) AS hit_rank FROM search_results WHERE similarity_score IS NOT NULL GROUP BY ALL)"
 
+_EXACT_EDGES = near_sql(9, 0.5) + ", edges AS (SELECT source, target, similarity, hit_rank FROM near)"
+
 
 def _spread_sql(old: str) -> str:
     return f"""hits AS (
@@ -41,6 +67,16 @@ def bellman_propagation(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", F.round("new_learned", 6).alias("learned"), "n_sources")
 
 
+@registered(
+    f"""AND {_EXACT_EDGES}, {_spread_sql('t.learned')} SELECT id, round(new, 6) AS learned, n_sources FROM spread""",
+    episodes=True,
+)
+def bellman_propagation_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Propagation to the nine nearest of each episode (the ten of the reference hold the episode itself), whoever searched before."""
+    got = propagation.similarity_propagated(episodes(spark, d), near_episodes(spark, d, 9, propagation.LEAST_SIMILARITY))
+    return got.select("id", F.round("new_learned", 6).alias("learned"), "n_sources")
+
+
 @registered(
     f"""AND long AS (SELECT id, {WILSON_SQL} AS w, unnest(list_append(list_transform(tags, lambda t: lower(t)), lower(task_type))) AS tag FROM ep),
 a AS (SELECT tag, round(avg(w), 9) AS mean FROM long GROUP BY tag HAVING count(*) >= 2)
@@ -74,15 +110,23 @@ _DAYS = f"trunc((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(coalesce(last_retrieva
 _DECAYED = f"(CASE WHEN pow(0.99, greatest({_DAYS}, 0)) < 0.99 THEN {WILSON_SQL} * pow(0.99, greatest({_DAYS}, 0)) ELSE learned END)"
 
 
-@registered(
-    f"""AND {_EDGES}, decay AS (SELECT id, coalesce(pow(0.99, greatest({_DAYS}, 0)) < 0.99, false) AS decays, {_DECAYED} AS after FROM ep),
+def _summary_sql(edges: str) -> str:
+    return f"""AND {edges}, decay AS (SELECT id, coalesce(pow(0.99, greatest({_DAYS}, 0)) < 0.99, false) AS decays, {_DECAYED} AS after FROM ep),
 {_spread_sql('(SELECT after FROM decay WHERE decay.id = t.id)')}
 SELECT CASE WHEN spread.id IS NOT NULL AND abs(new - coalesce(after, 0.5)) > 0 THEN 'similarity' WHEN decays THEN 'decay' END AS changed_by, count(*) AS n,
   count_if(coalesce(CASE WHEN spread.id IS NOT NULL AND abs(new - coalesce(after, 0.5)) > 0 THEN new END, after) IS NOT NULL) AS n_learned
-FROM decay LEFT JOIN spread USING (id) GROUP BY 1""",
-    episodes=True,
-)
+FROM decay LEFT JOIN spread USING (id) GROUP BY 1"""
+
+
+@registered(_summary_sql(_EDGES), episodes=True)
 def propagation_summary(spark: SparkSession, d: str) -> DataFrame:
     """What one run of the whole propagation would change, and how many episodes hold a learned utility after it."""
     after = propagation.propagated(episodes(spark, d), edges(spark, d), F.lit(AS_OF).cast("timestamp"))
     return after.groupBy("changed_by").agg(F.count(F.lit(1)).alias("n"), F.count("learned").alias("n_learned"))
+
+
+@registered(_summary_sql(_EXACT_EDGES), episodes=True)
+def propagation_summary_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the nine nearest of each episode."""
+    after = propagation.propagated(episodes(spark, d), near_episodes(spark, d, 9, propagation.LEAST_SIMILARITY), F.lit(AS_OF).cast("timestamp"))
+    return after.groupBy("changed_by").agg(F.count(F.lit(1)).alias("n"), F.count("learned").alias("n_learned"))
