@@ -18,7 +18,7 @@ joined on distinct values only.
 
 Defined cases: null and blank texts are no cases; null sources form one group; sources that differ in letter case and
 surrounding white space are one; white space after a text is not part of its ending; exact repeats get the same verdict
-and count once in the hazards; very long texts are examined whole; an empty table gives no rows.
+and count once in the hazards and in what endings are usual; very long texts are examined whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -140,8 +140,9 @@ def judged(documents: DataFrame, least_incomplete: float = 0.3, usual_share: flo
     ends = cut(endings(documents))
     halves = half_words(ends, documents).withColumn("half", F.lit(True))
     # distinct last words and shapes are few for each source; the documents meet them by hash
-    shapes = ends.groupBy("key", "shape").agg(F.count(F.lit(1)).alias("n_shape"))
-    sizes = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
+    one = ends.dropDuplicates(["key", "h"])  # exact repeats make no ending usual
+    shapes = one.groupBy("key", "shape").agg(F.count(F.lit(1)).alias("n_shape"))
+    sizes = one.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
     usual = shapes.join(sizes, "key").filter((F.col("n_shape") >= 3) & (F.col("n_shape") >= usual_share * F.col("n_key")))
     # what is usual at the end of some source is usual for texts whose source isn't known
     anywhere = usual.filter(F.col("key") != "").groupBy("shape").agg(F.max("n_shape").alias("n_shape")).withColumn("key", F.lit("")).withColumn("n_key", F.lit(None).cast("bigint"))

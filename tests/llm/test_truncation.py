@@ -40,3 +40,12 @@ def test_blank_repeats_long_and_empty(spark):
     assert set(got) == {3, 4, 5, 6, 7, 8, 9}
     assert got[3] is got[4] is False and got[5] is got[6] is True and got[7] is False and got[9] is False
     assert judged(df.limit(0)).collect() == []
+
+
+def test_repeats_make_no_ending_usual(spark):
+    words = [w + v for w in ("ba", "cor", "dell", "fi", "golem") for v in ("ka", "mint", "so", "turbo")]
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice(words) for _ in range(rng.randrange(10, 40))).capitalize() + ".", "s") for _ in range(60)]
+    rows += [("One that stops in the", "s")] * 30
+    got = {r.doc_id for r in judged(docs(spark, rows)).filter("cut").collect()}
+    assert got == set(range(60, 90))
