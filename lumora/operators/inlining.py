@@ -6,7 +6,8 @@ for each (parent, child) seen, with the kinds the child took. The plan made from
 * an element that occurs once below its parent is inlined into the parent's table (``intent`` gives ``intent.raw_prompt``);
 * an element gets a table of its own if it repeats (a list somewhere, or named in ``lists``), if it is an object
   below several parents (shared), or if it lies on a cycle of the graph (recursive);
-* each row of such a table holds its parent's table, row and position as a foreign key.
+* each row of such a table holds its parent's table, row and position as a foreign key, and in ``ancestors`` all elements
+  between the record and itself, inlined ones (position -1) too: these don't depend on the plan.
 
 A second pass emits the rows of all tables at once; both passes are narrow, only the graph's edges are shuffled and
 collected. Their number is bounded by the number of distinct keys and is checked against ``max_edges``.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 ROOT = "record"
 NODE_SCHEMA = (
     "doc_id {id}, element string, row_id int, parent_element string, parent_row_id int, "
-    "parent_pos bigint, pos bigint, value string, attributes map<string,string>"
+    "parent_pos bigint, pos bigint, value string, attributes map<string,string>, ancestors array<struct<element: string, pos: bigint>>"
 )
 _CAMEL = re.compile(r"(?<=[a-z0-9])([A-Z])")
 _SEPARATORS = re.compile(r"[\s\-]+")
@@ -209,11 +210,11 @@ def shred(df: DataFrame, id_col: str, text_col: str, plan: InliningPlan, root_ke
 
     def rows_of(record: dict) -> list[tuple]:
         out: list[list] = []
-        todo: list[tuple] = [(record, ROOT, None, None, -1, 0)]
+        todo: list[tuple] = [(record, ROOT, None, None, -1, 0, [])]
         while todo:
-            x, element, parent_element, parent_row, parent_pos, pos = todo.pop()
+            x, element, parent_element, parent_row, parent_pos, pos, above = todo.pop()
             attributes: dict[str, str] = {}
-            row = [element, len(out), parent_element, parent_row, parent_pos, pos, None, attributes]
+            row = [element, len(out), parent_element, parent_row, parent_pos, pos, None, attributes, above]
             out.append(row)
             if element in complex_:
                 x = _unwrapped(x)
@@ -221,9 +222,9 @@ def shred(df: DataFrame, id_col: str, text_col: str, plan: InliningPlan, root_ke
                 row[6] = text_of(x)
                 continue
             below: list[tuple] = []
-            inline = [("", x)]
+            inline = [("", x, above if element == ROOT and parent_element is None else [*above, (element, pos)])]
             while inline:
-                prefix, obj = inline.pop()
+                prefix, obj, chain = inline.pop()
                 for k, v in obj.items():
                     name = element_name(k)
                     if name in complex_:
@@ -231,17 +232,17 @@ def shred(df: DataFrame, id_col: str, text_col: str, plan: InliningPlan, root_ke
                     if v is None:
                         continue
                     if name in tables:
-                        below += [(e, name, element, row[1], pos, p) for p, e in _entries(v) if e is not None]
+                        below += [(e, name, element, row[1], pos, p, chain) for p, e in _entries(v) if e is not None]
                     elif isinstance(v, dict):
-                        inline.append((f"{prefix}{name}.", v))
+                        inline.append((f"{prefix}{name}.", v, [*chain, (text_of(name), -1)]))
                     else:
                         attributes[f"{prefix}{name}".encode("utf-8", "replace").decode()] = text_of(v)
             todo += reversed(below)
         return out
 
     def emit(batches):
-        names = ["doc_id", "element", "row_id", "parent_element", "parent_row_id", "parent_pos", "pos", "value", "attributes"]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string())]
+        names = ["doc_id", "element", "row_id", "parent_element", "parent_row_id", "parent_pos", "pos", "value", "attributes", "ancestors"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.struct([("element", pa.string()), ("pos", pa.int64())]))]
         for b in batches:
             picks, rows = [], []
             for i, text in enumerate(b.column(1).to_pylist()):

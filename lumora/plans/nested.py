@@ -21,6 +21,8 @@ CHILDREN = {
 }
 #: Where a child belongs: an ``attempts`` list counts only below an error, the others below the episode itself.
 PARENTS = {"attempts": "errors_encountered"}
+#: Parts of the episode around its children; whether they are inlined depends on all payloads, where a child belongs does not.
+WRAPPERS = ("intent", "context")
 
 
 def inlined_episodes(raw: DataFrame) -> Inlined:
@@ -30,31 +32,56 @@ def inlined_episodes(raw: DataFrame) -> Inlined:
 def found(raw: DataFrame) -> DataFrame:
     rows = inlined_episodes(raw).rows
     name = F.create_map(*[F.lit(x) for kv in CHILDREN.items() for x in kv])[F.col("element")]
-    parent = F.coalesce(F.create_map(*[F.lit(x) for kv in PARENTS.items() for x in kv])[F.col("element")], F.lit(ROOT))
-    return rows.filter(F.col("element").isin(*CHILDREN) & (F.col("parent_element") == parent)).select(
+    parent = F.create_map(*[F.lit(x) for kv in PARENTS.items() for x in kv])[F.col("element")]
+    above = F.filter("ancestors", lambda x: ~x["element"].isin(*WRAPPERS))
+    belongs = F.transform("above", lambda x: x["element"]) == F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent))
+    return rows.filter(F.col("element").isin(*CHILDREN)).withColumn("above", above).filter(belongs).select(
         F.col("doc_id").alias("raw_id"),
         name.alias("child"),
-        F.when(F.col("parent_element") == ROOT, F.lit(-1).cast("bigint")).otherwise(F.col("parent_pos")).alias("parent_pos"),
+        F.when(F.size("above") == 0, F.lit(-1).cast("bigint")).otherwise(F.element_at("above", -1)["pos"]).alias("parent_pos"),
         "pos",
     )
 
 
+def root_columns(got: Inlined, wanted: list[str]) -> DataFrame:
+    """doc_id and the values at the ``wanted`` paths of each record, wherever the plan put them; the first of several counts."""
+    def above(path: str) -> list[str]:
+        parts = path.split(".")
+        return [".".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+    tables = sorted({p for c in wanted for p in above(c) if p.split(".")[-1] in got.plan.tables})
+    if not tables:
+        t = got.table(ROOT)
+        return t.select("doc_id", *[(F.col(f"`{c}`") if c in t.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
+    is_root = F.col("parent_element").isNull()
+    path = F.when(is_root, F.lit("")).otherwise(F.array_join(F.concat(F.transform("ancestors", lambda x: x["element"]), F.array("element")), "."))
+    rows = got.rows.withColumn("path", path).filter(F.col("path").isin("", *tables))
+    values = []
+    for c in wanted:
+        value = F.when(F.col("path") == c, F.col("value")).when(F.col("path") == "", F.col("attributes")[c])
+        for p in above(c)[:-1]:
+            value = value.when(F.col("path") == p, F.col("attributes")[c.removeprefix(f"{p}.")])
+        values.append(F.min_by(value, F.when(value.isNotNull(), F.col("row_id"))).alias(c))
+    return rows.groupBy("doc_id").agg(*values)
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(table(spark, sf_dir, "raw_episodes"))
 
 
 def p1_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The root table: one row for each readable payload, singletons inlined."""
-    t = inlined_episodes(table(spark, sf_dir, "raw_episodes")).table(ROOT)
+    return episode_rows(table(spark, sf_dir, "raw_episodes"))
+
+
+def episode_rows(raw: DataFrame) -> DataFrame:
     want = {
         "id": "episode_id", "project": "project", "timestamp_start": "timestamp_start", "timestamp_end": "timestamp_end",
         "intent.extracted_intent": "extracted_intent", "intent.task_type": "task_type", "outcome.status": "status",
         "outcome.tests_after.passed": "tests_after_passed", "utility.retrieval_count": "retrieval_count",
     }
-    return t.select(
-        F.col("doc_id").alias("raw_id"),
-        *[(F.col(f"`{c}`") if c in t.columns else F.lit(None).cast("string")).alias(a) for c, a in want.items()],
-    )
+    t = root_columns(inlined_episodes(raw), list(want))
+    return t.select(F.col("doc_id").alias("raw_id"), *[F.col(f"`{c}`").alias(a) for c, a in want.items()])
 
 
 def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

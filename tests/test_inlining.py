@@ -52,3 +52,20 @@ def test_round_trip_of_random_lists(spark):
     docs = [{"intent": {"domain": [rng.choice([None, "x", "y" * 1000]) for _ in range(rng.randrange(6))]}} for _ in range(50)]
     want = sorted((i, "domain", -1, p) for i, d in enumerate(docs) for p, v in enumerate(d["intent"]["domain"]) if v is not None)
     assert found(spark, *map(json.dumps, docs)) == want
+
+
+def test_one_odd_payload_moves_no_children(spark):
+    from lumora.plans.nested import episode_rows, found
+
+    normal = {"id": "a", "intent": {"extracted_intent": "x", "domain": ["t", "u"]}, "context": {"files_read": ["f"], "errors_encountered": [{"message": "m"}, {"attempts": ["p"]}]}}
+    odd = [
+        {"id": "b", "intent": [{"extracted_intent": "y", "domain": ["t"]}], "context": {}},
+        {"id": "b", "intent": {"0": {"extracted_intent": "y", "domain": ["t"]}}, "retrieval_history": [{"context": {"files_read": ["not its own"]}}]},
+        {"id": "b", "intent": {"extracted_intent": "y", "domain": ["t"]}, "context": {"errors_encountered": [{}, {"context": {"attempts": ["q"]}}]}},
+    ]
+    own = {(1, "domain", -1, 0), (1, "domain", -1, 1), (1, "files_read", -1, 0), (1, "error", -1, 0), (1, "error", -1, 1), (1, "attempt", 1, 0)}
+    more = [set(), {(2, "retrieval", -1, 0)}, {(2, "error", -1, 0), (2, "error", -1, 1), (2, "attempt", 1, 0)}]
+    for o, m in zip(odd, more):
+        raw = spark.createDataFrame([(1, json.dumps(normal)), (2, json.dumps(o))], "raw_id bigint, payload string")
+        assert sorted(tuple(r) for r in found(raw).collect()) == sorted(own | {(2, "domain", -1, 0)} | m)
+        assert sorted((r.raw_id, r.episode_id, r.extracted_intent) for r in episode_rows(raw).collect()) == [(1, "a", "x"), (2, "b", "y")]
