@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lumora.functions.text import words
 
@@ -78,16 +79,53 @@ def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return right[good], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _texts(ids: pa.Array) -> np.ndarray:
+    return np.array(ids.to_pylist(), dtype=object).astype(str) if pa.types.is_string(ids.type) else ids.to_numpy(zero_copy_only=False)
+
+
+class BestOfTask:
+    """The ``k`` best items of each query among those that one task has seen: similarity descending, then id.
+
+    ``floor`` is what an item needs to be of use to a query; it rises with the k-th similarity found and never above it.
+    """
+
+    def __init__(self, n: int, k: int, least: float, room: int = 500_000):
+        self.k, self.room, self.floor, self.n = k, room, np.full(n, least), 0
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        keep = s >= self.floor[rows]
+        self.held.append((rows[keep], ids[keep], s[keep]))
+        self.n += len(self.held[-1][0])
+        if self.n > self.room:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        rows, ids, s = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -s, rows))
+        at = rows[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at, "left")
+        order, last = order[rank < self.k], order[rank == self.k - 1]
+        self.floor[rows[last]] = np.maximum(self.floor[rows[last]], s[last])
+        self.held = [(rows[order], ids[order], s[order])]
+        self.n = len(order)
+        self.room = max(self.room, 2 * self.n)
+        return self.held[0]
+
+
 def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, dims: int, least: float = -1.0) -> DataFrame:
     """(query_id, id, similarity, hit_rank): the exact ``k`` most similar vectors of each query, by cosine.
 
     ``queries``: (query_id, vector), a stated set; ``vectors``: (id, vector). The queries are broadcast in blocks of
-    QUERY_BLOCK rows, each task keeps the best ``k`` of every batch, and only those are shuffled. Vectors that are null,
+    QUERY_BLOCK rows, each task keeps the best ``k`` of what it sees, and only those are shuffled; ties end at the smaller id. Vectors that are null,
     of another length, not finite or all zero take no part.
     """
     spark, kind = queries.sparkSession, dict(queries.dtypes)["query_id"]
     n_blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
     item = dict(vectors.dtypes)["id"]
+    item_type = to_arrow_type(vectors.schema["id"].dataType)
     found: DataFrame | None = None
     for b in range(n_blocks):
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "vector").toArrow()
@@ -96,19 +134,24 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, dims: int, least
 
         def search(batches, shared=shared):
             names, q = shared.value
-            for batch in batches:
-                at, x = _matrix(batch.column(1), dims)
-                if not len(at) or not len(q):
-                    continue
-                sims = q @ x.T
-                width = min(k + 8, sims.shape[1])  # a few more than k, so that ties can end at the smaller id
-                top = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-                rows, cols = np.repeat(np.arange(len(q)), width), top.ravel()
-                s = sims[rows, cols]
-                keep = s >= least
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(rows[keep])), batch.column(0).take(pa.array(at[cols[keep]])), pa.array(s[keep])], ["query_id", "id", "similarity"]
-                )
+            found = BestOfTask(len(q), k, least)
+            for batch in batches if len(q) else ():
+                for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                    at, x = _matrix(part.column(1), dims)
+                    if not len(at):
+                        continue
+                    ids = _texts(part.column(0).take(pa.array(at)))
+                    sims = q @ x.T
+                    floor = found.floor
+                    if len(at) > k:
+                        floor = np.maximum(floor, np.partition(sims, -k, axis=1)[:, -k])
+                    # all that are level with the k-th stay; a product's last digits depend on the place, so they are taken again
+                    rows, cols = np.nonzero(sims >= (floor - 1e-9)[:, None])
+                    for i in range(0, len(rows), 8192):
+                        r, c = rows[i : i + 8192], cols[i : i + 8192]
+                        found.add(r, ids[c], np.einsum("ij,ij->i", q[r], x[c]))
+            rows, ids, s = found.reduce()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), pa.array(ids.tolist(), item_type), pa.array(s)], ["query_id", "id", "similarity"])
 
         part = vectors.select("id", "vector").mapInArrow(search, f"query_id {kind}, id {item}, similarity double")
         found = part if found is None else found.unionByName(part)

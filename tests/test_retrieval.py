@@ -50,3 +50,13 @@ def test_varied_choice(spark):
     got = retrieval.diversified(hits, "q", "i", "s", F.col("t"), 2).collect()
     # ties end at the later one, but for the first pick
     assert sorted((r.q, r.pick, r.i) for r in got) == [(1, 1, "a"), (1, 2, "c"), (2, 1, "d"), (2, 2, "e")]
+
+
+def test_copies_end_at_the_smaller_id(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 8))
+    x[rng.permutation(3000)[:1500]] = x[7]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, x[7].tolist())], "query_id int, vector array<double>")
+    want = [i for i in range(3000) if (x[i] == x[7]).all()][:10]
+    assert sorted(r.id for r in retrieval.vector_hits(q, v, 10, 8).collect()) == want
