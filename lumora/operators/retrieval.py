@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lumora.functions.text import words
+from lumora.session import cut
 
 #: Queries that are compared at a time. More of them make more blocks, never a larger one.
 QUERY_BLOCK = 2048
@@ -158,40 +159,27 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, dims: int, least
     return best(found, "query_id", "id", "similarity", k)
 
 
-def _jaccard(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+def _jaccard(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
-def diversified(hits: DataFrame, query: str, item: str, score: str, text: Column, limit: int, balance: float = 0.7, most: int = 1000) -> DataFrame:
+def diversified(hits: DataFrame, query: str, item: str, score: str, text: Column, limit: int, balance: float = 0.7) -> DataFrame:
     """(query, item, pick): up to ``limit`` hits of each query by maximal marginal relevance.
 
     The first pick has the highest score. Each further one has the highest ``balance`` * score - (1 - balance) * its
-    largest word overlap with the picks before it; ties end at the hit that stands later by score. A query's hits are
-    its over-fetched top (at most ``most``, enforced by a window before they are gathered), so a group stays small.
+    largest word overlap with the picks before it; ties end at the hit that stands later by score. ``hits`` holds an item
+    once for each query. A pick is a maximum over all hits left, taken in part before the shuffle; only picks are gathered.
     """
-    ranked = hits.select(query, item, F.col(score).alias("_s"), F.array_distinct(words(F.lower(text))).alias("_w"))
-    order = Window.partitionBy(query).orderBy(F.desc("_s"), item)
-    top = ranked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
-    lists = top.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(item).alias("i"), "_s", "_w"))).alias("c"))
-
-    def choose(candidates: pa.Array) -> pa.Array:
-        out = []
-        for rows in candidates.to_pylist():
-            left = [(r["i"], r["_s"], frozenset(r["_w"] or ())) for r in rows]
-            overlap, picks = [0.0] * len(left), []
-            while left and len(picks) < limit:
-                values = [balance * s - (1 - balance) * o if picks else s for (_, s, _), o in zip(left, overlap)]
-                top_value = max(values)
-                at = len(values) - 1 - values[::-1].index(top_value) if picks else 0
-                name, _, own = left.pop(at)
-                overlap.pop(at)
-                picks.append(name)
-                overlap = [max(o, _jaccard(own, w)) for o, (_, _, w) in zip(overlap, left)]
-            out.append(picks)
-        return pa.array(out, pa.list_(kind))
-
-    spark_kind = dict(hits.dtypes)[item]
-    kind = pa.int64() if spark_kind == "bigint" else pa.string()
-    choose.__annotations__ = {"candidates": pa.Array, "return": pa.Array}
-    picked = lists.select(query, F.arrow_udf(choose, f"array<{spark_kind}>")("c").alias("picks"))
-    return picked.select(query, F.posexplode("picks").alias("p", item)).select(query, item, (F.col("p") + 1).alias("pick"))
+    none = F.array().cast("array<string>")
+    ranked = cut(hits.select(F.col(query).alias("_q"), F.col(item).alias("_i"), F.col(score).cast("double").alias("_s"), F.coalesce(F.array_distinct(words(F.lower(text))), none).alias("_w")))
+    own = F.struct(F.col("_i").alias("i"), F.col("_w").alias("w"))
+    picks = cut(ranked.groupBy("_q").agg(F.array(F.min_by(own, F.struct(-F.col("_s"), "_i"))).alias("p")))
+    for _ in range(limit - 1):
+        met = ranked.join(picks.withColumnRenamed("_q", "_k"), F.col("_q").eqNullSafe(F.col("_k"))).filter(~F.exists("p", lambda x: x["i"].eqNullSafe(F.col("_i"))))
+        overlap = F.aggregate("p", F.lit(0.0), lambda most, x: F.greatest(most, _jaccard(F.col("_w"), x["w"])))
+        value = balance * F.col("_s") - (1 - balance) * overlap
+        best_left = met.groupBy("_q").agg(F.max_by(own, F.struct(value.alias("v"), (-F.col("_s")).alias("s"), "_i")).alias("n")).withColumnRenamed("_q", "_k")
+        added = picks.join(best_left, F.col("_q").eqNullSafe(F.col("_k")), "left")
+        picks = cut(added.select("_q", F.when(F.col("n").isNull(), F.col("p")).otherwise(F.array_append("p", F.col("n"))).alias("p")))
+    return picks.select(F.col("_q").alias(query), F.posexplode(F.slice("p", 1, limit)).alias("n", "x")).select(query, F.col("x.i").alias(item), (F.col("n") + 1).alias("pick"))

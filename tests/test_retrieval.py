@@ -60,3 +60,10 @@ def test_copies_end_at_the_smaller_id(spark):
     q = spark.createDataFrame([(1, x[7].tolist())], "query_id int, vector array<double>")
     want = [i for i in range(3000) if (x[i] == x[7]).all()][:10]
     assert sorted(r.id for r in retrieval.vector_hits(q, v, 10, 8).collect()) == want
+
+
+def test_a_hit_beyond_a_thousand_is_picked(spark):
+    rows = [(1, f"a{i:04}", 0.9 - i * 1e-5, "same words") for i in range(1200)] + [(1, "z", 0.7, "others")]
+    hits = spark.createDataFrame(rows, "q int, i string, s double, t string")
+    got = retrieval.diversified(hits, "q", "i", "s", F.col("t"), 3).collect()
+    assert sorted((r.pick, r.i) for r in got) == [(1, "a0000"), (2, "z"), (3, "a0001")]
