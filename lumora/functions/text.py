@@ -20,8 +20,9 @@ def folded(c: Column | str) -> Column:
 
 
 def is_blank(c: Column | str) -> Column:
+    """Null or white space only; a text is looked through up to its first character that isn't blank."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.isNull() | (trimmed(c) == "")
+    return c.isNull() | ~c.rlike(r"(?U)\S")
 
 
 def words(c: Column | str) -> Column:
