@@ -23,6 +23,7 @@ and count once in the hazards and in what endings are usual; very long texts are
 
 from __future__ import annotations
 
+from functools import reduce
 from math import lgamma, log
 
 import numpy as np
@@ -31,24 +32,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.text import folded, is_blank
+from lumora.session import cut
 
 _TERMINAL = r"[.!?。！？؟।]"
 _CLOSED = rf"{_TERMINAL}[\"”’»'\)\]\}}*_`」』）]*(?:\s*[\p{{So}}\p{{Sk}}️‍]+)?$|[\p{{So}}️]$|[\"”»」』）]$|```$"
 _FORMS = r"^(?:[-*•+] |\d+[.)] |> |-- |\[[ xX]\] |\|.*\|$)"
 _TRAILER = r"^\p{L}[\p{L} _-]{0,30}: [^\s,]+(?:, [^\s,]+)*$"
 _SPEAKER = r"^(?:User|Assistant|System|Human): "
+#: Brackets that a complete text closes again.
+BRACKETS = ["()", "[]", "{}", "（）", "「」", "『』", "【】"]
 _DANGLING = r"^ *(?:#{1,6}(?: .*)?|[-*•>|]|\p{L}+:)$|[,;:(\[{“«&+=<\\]$|(?:^|\s)[-–—]$|/[^/\s.]+\.$|(?:^|[\s,(])(?:[\w.-]+/)+[\w-]*$"
 
 
-def _body(text: Column | str) -> Column:
-    """A text without the white space after it; a run of white space is tried once, from its start."""
-    return F.regexp_replace(text, r"(?<![\s\p{Z}\p{Cf}])[\s\p{Z}\p{Cf}]+\z", "")
+def _body(text: str) -> Column:
+    """A text without the white space after it; texts that end in none are left alone, a run is tried once from its start."""
+    ends_blank = F.right(text, F.lit(1)).rlike(r"[\s\p{Z}\p{Cf}]")
+    return F.when(ends_blank, F.regexp_replace(text, r"(?<![\s\p{Z}\p{Cf}])[\s\p{Z}\p{Cf}]+\z", "")).otherwise(F.col(text))
 
 
 def _count(text: Column, piece: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(piece), F.lit("")))) / len(piece)
 
 
+def _brackets(text: Column) -> Column:
+    """The brackets of a text alone; colour codes hold none."""
+    bare = F.when(F.contains(text, F.lit("\x1b")), F.regexp_replace(text, r"\x1b\[[0-9;]*[A-Za-z]", "")).otherwise(text)
+    both = "".join(F"\\{c}" for c in "".join(BRACKETS))
+    return F.when(text.rlike(f"[{both}]"), F.regexp_replace(bare, f"[^{both}]+", "")).otherwise(F.lit(""))
+
+
+def _left_open(brackets: Column) -> Column:
+    """Whether some kind of bracket is opened more often than it is closed."""
+    return reduce(lambda a, b: a | b, [F.regexp_count(brackets, F.lit(f"\\{o}")) > F.regexp_count(brackets, F.lit(f"\\{c}")) for o, c in BRACKETS])
+
+
 def _word(token: Column) -> Column:
     """A token without the punctuation around it; null for numbers and the like."""
     w = F.lower(F.regexp_replace(token, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
@@ -60,17 +77,14 @@ def endings(documents: DataFrame) -> DataFrame:
     d = documents.filter(~is_blank("text")).select("doc_id", F.coalesce(folded("source"), F.lit("")).alias("key"), "text")
     # the lines are found in the text without the white space that follows it
     d = d.select("*", F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), _body("text").alias("body"))
-    d = d.withColumn("last", F.substring_index(F.translate("body", "\r", "\n"), "\n", -1))
+    d = d.withColumns({"last": F.substring_index(F.substring_index("body", "\n", -1), "\r", -1), "brackets": _brackets(F.col("body"))})
     # what is anchored at the end and can't span lines is looked for in the last line only
     b, last = F.col("body"), F.col("last")
     looks_json = b.rlike(r"^\s*[\[{]\s*[\"\[{]")
     table = last.rlike(r"^\|") & ~last.rlike(r"\|$")
-    # the body's odd number of fences leaves one open; brackets and quotes are judged within the last line
-    bare = F.regexp_replace(last, r"\x1b\[[0-9;]*[A-Za-z]", "")
-    unbalanced = ~last.rlike(rf"{_TERMINAL}$") & ((_count(bare, "(") > _count(bare, ")")) | (_count(bare, "[") > _count(bare, "]")))
-    broken = (
-        F.endswith(b, F.lit("\ufffd")) | (_count(b, "```") % 2 == 1) | (looks_json & F.try_parse_json(b).isNull()) | table | unbalanced | last.rlike(_DANGLING)
-    )
+    # an odd number of fences leaves one open
+    fence = F.contains(b, F.lit("```")) & (_count(b, "```") % 2 == 1)
+    broken = F.endswith(b, F.lit("\ufffd")) | fence | (looks_json & F.try_parse_json(b).isNull()) | table | ((F.col("brackets") != "") & _left_open(F.col("brackets"))) | last.rlike(_DANGLING)
     ellipsis = last.rlike(r"(?:…|\.\.\.)$")
     one_line = (b == last) & last.rlike(r"^[^\p{Lu}]") & ~last.rlike(rf"{_TERMINAL}\s")
     form = last.rlike(_FORMS) | (last.rlike(_TRAILER) & ~last.rlike(_SPEAKER)) | one_line
@@ -85,16 +99,28 @@ def _inner_words(documents: DataFrame) -> DataFrame:
     token = documents.filter(~is_blank("text")).select(tokens.alias("ts")).select(F.explode(F.slice("ts", F.lit(1), F.size("ts") - 1)).alias("t"))
     # equal tokens are counted before their punctuation is taken off
     counted = token.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(_word(F.col("t")).alias("word"), "n").filter("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def half_words(ends: DataFrame, documents: DataFrame, least: int = 2, longest: int = 64) -> DataFrame:
-    """Last words not known from the inside of texts, with which a known word begins."""
-    last = ends.filter(F.col("kind") == "line").select("word").filter("word is not null").distinct()
-    known = _inner_words(documents).filter(F.col("n") >= least)
-    unknown = last.join(known, "word", "left_anti")
-    begins = known.select(F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(longest)))).alias("i"), "word").select(F.substring("word", F.lit(1), F.col("i")).alias("word"))
-    return unknown.join(begins, "word", "left_semi")
+    return counted.select(_word(F.col("t")).alias("word"), "n").filter("word is not null")
+
+
+def half_words(ends: DataFrame, documents: DataFrame, least: int = 2) -> DataFrame:
+    """Last words not known from the inside of texts, with which a known word begins.
+
+    Words of a common beginning are neighbours in the order of words, so it is enough to look at the known word that
+    comes next. Distinct words are sorted in range partitions; where none follows within a partition it is the first one
+    of those behind it, and there is one row for each partition to tell.
+    """
+    last = ends.filter((F.col("kind") == "line") & F.col("word").isNotNull()).select("word", F.lit(0).alias("n"), F.lit(True).alias("asked"))
+    words = _inner_words(documents).withColumn("asked", F.lit(False)).unionByName(last).groupBy("word").agg((F.sum("n") >= least).alias("known"), F.max("asked").alias("asked"))
+    n = int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(words.filter("known or asked").repartitionByRange(n, "word").select("word", "known", "asked", F.spark_partition_id().alias("part")))
+    known = F.when(F.col("known"), F.col("word"))
+    behind = Window.partitionBy("part").orderBy(F.desc("word")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(F.min(known).alias("first"))
+    rest = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    starts = parts.select("part", F.last("first", ignorenulls=True).over(rest).alias("first"))
+    following = placed.withColumn("following", F.last(known, ignorenulls=True).over(behind)).filter("asked and not known")
+    following = following.join(F.broadcast(starts), "part").select("word", F.coalesce("following", "first").alias("following"))
+    return following.filter(F.startswith("following", F.col("word"))).select("word")
 
 
 def _log_tail(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -112,8 +138,9 @@ def length_hazards(ends: DataFrame, reach: int = 12, rate: float = 0.01, least_r
     units = F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length"))))
     n = one.select("key", units.alias("u")).select("key", "u.*").groupBy("key", "unit", "length").agg(F.count(F.lit(1)).alias("n"))
     by = Window.partitionBy("key", "unit").orderBy("length")
-    at_risk = F.sum("n").over(by.rangeBetween(0, Window.unboundedFollowing))
-    near = n.withColumn("at_risk", at_risk)
+    # those at least as long are all but the shorter ones: a running sum, linear in the lengths that occur
+    shorter = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = n.withColumn("at_risk", F.sum("n").over(Window.partitionBy("key", "unit")) - shorter)
     near = near.withColumn("hazard", F.col("n") / F.col("at_risk"))
     around = F.sum("hazard").over(by.rangeBetween(-reach, reach)) - F.col("hazard")
     # half a text is added, so that a length without neighbours has an expectation; lengths that don't occur count as 0
@@ -133,35 +160,46 @@ def length_hazards(ends: DataFrame, reach: int = 12, rate: float = 0.01, least_r
     return passed.filter((F.col("r") <= F.col("last_ok")) & (F.col("n") >= 3) & (F.col("n") >= least_ratio * F.col("expected"))).select("key", "unit", "length", "n", "expected", "at_risk")
 
 
+def _marked(rows: DataFrame, few: DataFrame, keys: list[str], spread: int = 16) -> DataFrame:
+    """``rows`` with the columns of ``few`` where the keys agree.
+
+    ``few`` holds a key once. Rows of one key, or of none, are spread over ``spread`` tasks where ``few`` is too large to
+    be broadcast.
+    """
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
+
+
 def judged(documents: DataFrame, least_incomplete: float = 0.3, usual_share: float = 0.02, fixed_share: float = 0.6) -> DataFrame:
     """doc_id, key, kind, at_limit and ``cut`` of each text that isn't blank."""
-    from lumora.session import cut
-
     ends = cut(endings(documents))
     halves = half_words(ends, documents).withColumn("half", F.lit(True))
     # distinct last words and shapes are few for each source; the documents meet them by hash
     one = ends.dropDuplicates(["key", "h"])  # exact repeats make no ending usual
     shapes = one.groupBy("key", "shape").agg(F.count(F.lit(1)).alias("n_shape"))
-    sizes = one.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
+    sizes = shapes.groupBy("key").agg(F.sum("n_shape").alias("n_key"))
+    # at most 1 / usual_share shapes of a source
     usual = shapes.join(sizes, "key").filter((F.col("n_shape") >= 3) & (F.col("n_shape") >= usual_share * F.col("n_key")))
     # what is usual at the end of some source is usual for texts whose source isn't known
     anywhere = usual.filter(F.col("key") != "").groupBy("shape").agg(F.max("n_shape").alias("n_shape")).withColumn("key", F.lit("")).withColumn("n_key", F.lit(None).cast("bigint"))
-    lines = ends.filter(F.col("kind").isin("line", "open")).select("key", "shape").distinct().join(usual.unionByName(anywhere), ["key", "shape"], "left_semi").withColumn("usual", F.lit(True))
-    fixed = usual.join(lines.select("key", "shape"), ["key", "shape"], "left_semi").groupBy("key").agg((F.sum("n_shape") / F.max("n_key")).alias("s")).filter(F.col("s") >= fixed_share).select("key", F.lit(True).alias("fixed"))
-    seen = ends.join(halves, "word", "left").join(lines, ["key", "shape"], "left").join(fixed, "key", "left")
+    lines = ends.filter(F.col("kind").isin("line", "open")).select("key", "shape").distinct().join(usual.unionByName(anywhere).select("key", "shape").distinct(), ["key", "shape"]).withColumn("usual", F.lit(True))
+    fixed = usual.join(lines, ["key", "shape"], "left_semi").groupBy("key").agg((F.sum("n_shape") / F.max("n_key")).alias("s")).filter(F.col("s") >= fixed_share).select("key", F.lit(True).alias("fixed"))
+    seen = _marked(_marked(_marked(ends, halves, ["word"]), lines, ["key", "shape"]), fixed, ["key"])
     is_usual, is_half = F.coalesce("usual", F.lit(False)), F.coalesce("half", F.lit(False)) & (F.col("kind") == "line")
     # what a text's own ending tells, before any length is looked at
     own = (F.col("kind") == "broken") | ((F.col("kind") == "open") & ~is_usual) | ((F.col("kind") == "line") & ~is_usual & (is_half | F.coalesce("fixed", F.lit(False))))
     seen = cut(seen.select("doc_id", "key", "chars", "bytes", "kind", is_usual.alias("usual"), own.alias("own")))
     spikes = length_hazards(ends)
-    at = lambda unit: spikes.filter(F.col("unit") == unit).select("key", F.col("length").alias(unit))
+    loose = F.avg((F.col("own") | (F.col("kind") == "ellipsis")).cast("double"))
 
     def limits(unit: str) -> DataFrame:
-        loose = F.avg((F.col("own") | (F.col("kind") == "ellipsis")).cast("double"))
-        share = seen.join(at(unit), ["key", unit]).groupBy("key", unit).agg(loose.alias("share"))
-        return share.filter(F.col("share") >= least_incomplete).select("key", unit, F.lit(True).alias(f"{unit}_limit"))
+        """Lengths that stand out and at which a good part of the endings is incomplete on its own evidence."""
+        share = seen.groupBy("key", unit).agg(loose.alias("share")).filter(F.col("share") >= least_incomplete)
+        at = spikes.filter(F.col("unit") == unit).select("key", F.col("length").alias(unit))
+        return share.join(at, ["key", unit], "left_semi").select("key", unit, F.lit(True).alias(f"{unit}_limit"))
 
-    with_limits = seen.join(limits("chars"), ["key", "chars"], "left").join(limits("bytes"), ["key", "bytes"], "left")
+    with_limits = _marked(_marked(seen, limits("chars"), ["key", "chars"]), limits("bytes"), ["key", "bytes"])
     at_limit = F.coalesce("chars_limit", F.lit(False)) | F.coalesce("bytes_limit", F.lit(False))
     late = at_limit & F.col("kind").isin("line", "ellipsis") & ~F.col("usual")
     return with_limits.select("doc_id", "key", "kind", "chars", at_limit.alias("at_limit"), (F.col("own") | late).alias("cut"))

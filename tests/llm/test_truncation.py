@@ -49,3 +49,35 @@ def test_repeats_make_no_ending_usual(spark):
     rows += [("One that stops in the", "s")] * 30
     got = {r.doc_id for r in judged(docs(spark, rows)).filter("cut").collect()}
     assert got == set(range(60, 90))
+
+
+def test_brackets_opened_on_earlier_lines(spark):
+    cases = [
+        ("He noted (see the list\nbelow. It is done.", "broken"), ("He noted (see the list\nbelow). It is done.", "closed"), ("1) one.\n2) two.", "closed"), ("「これは\n終わり。", "broken"),
+        ("Colour \x1b[31mred\x1b[0m.", "closed"), ("an array a[0\nof it all.", "broken"), ("f(x) {\n  g();\nthe end.", "broken"),
+    ]
+    got = {r.doc_id: r.kind for r in endings(docs(spark, [(t, "s") for t, _ in cases])).collect()}
+    assert [(cases[i][0], got[i]) for i in range(len(cases))] == cases
+
+
+def test_half_words_of_any_length(spark):
+    from lumora.llm.truncation import half_words
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdef") for _ in range(n))
+    known = sorted({word(rng.randrange(1, 9)) for _ in range(300)} | {"q" * 500, "z" * 90})
+    asked = sorted({w[: rng.randrange(1, len(w) + 1)] for w in known} | {"q" * 200, "zz", "zb", "a" * 300} | {word(rng.randrange(1, 9)) for _ in range(100)})
+    rows = [(" ".join(known + known) + " end.", "s")] + [(f"- item {w}", "s") for w in asked]
+    df = docs(spark, rows)
+    got = {r.word for r in half_words(endings(df), df).collect()}
+    inside = set(known) | {"item"}  # once in each of the other texts
+    assert got == {w for w in asked if w not in inside and any(k.startswith(w) for k in inside)} and {"q" * 200, "zz"} <= got
+
+
+def test_hazards_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [("y" * max(1, int(rng.gauss(60, 20))) + str(i) + ".", "s") for i in range(400)] + [(f"{i:03}" + "x" * 47, "s") for i in range(60)]
+    ends = endings(docs(spark, rows))
+    got = {r.length: (r.n, r.at_risk) for r in length_hazards(ends).filter("unit = 'chars'").collect()}
+    lengths = [len(t) for t, _ in rows]
+    assert got[50] == (lengths.count(50), sum(x >= 50 for x in lengths))
