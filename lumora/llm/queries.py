@@ -179,15 +179,17 @@ def _mix(spark: SparkSession, d: str) -> Mix:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).unreachable.select("source")
+    """Sources whose blocks miss their deadlines in the schedule of a mix as large as the corpus."""
+    return _mix(spark, d).unreachable()
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).shares
+    """The shares of the largest mix that is on target, and what bounds it."""
+    return _mix(spark, d).shares()
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).assignments
+    return _mix(spark, d).assignments()
 
 
 # -- 9: texts cut off
