@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A reference list is broadcast up to this many rows; beyond it Spark joins by shuffle.
 MAX_BROADCAST_ROWS = 100_000
@@ -25,28 +22,11 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def ranked(df: DataFrame, key: str, rank: str = "rank", partitions: int | None = None) -> DataFrame:
-    """``df`` with the 0-based global rank of each row by ``key`` (unique), without one task that sees all rows.
+def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", spread: int = 16) -> DataFrame:
+    """``rows`` joined with ``few`` on ``keys``, a hot key (null ones too) spread over ``spread`` tasks by a digest of ``by``.
 
-    Range partitions are sorted on their own; the counts of the partitions, one number each, give the offsets.
+    ``few`` is sent ``spread`` times, so it is meant for tables with few rows for each key.
     """
-    from lumora.session import cut
-
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # an id of this kind holds the partition in its upper bits and the row within it in the lower 33
-    placed = cut(df.repartitionByRange(n, key).sortWithinPartitions(key).withColumn(rank, F.monotonically_increasing_id()))
-    part = F.shiftright(F.col(rank), 33)
-    counts = {r.p: r.n for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = {}, 0
-    for p in sorted(counts):
-        offsets[p] = total - (p << 33)
-        total += counts[p]
-    if not offsets:
-        return placed
-    table = spark.createDataFrame(list(offsets.items()), T.StructType([T.StructField("_p", T.LongType()), T.StructField("_o", T.LongType())]))
-    return placed.withColumn("_p", part).join(F.broadcast(table), "_p").withColumn(rank, F.col(rank) + F.col("_o")).drop("_p", "_o")
-
-
-def all_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

@@ -15,6 +15,7 @@ from lumora.llm.neighbours import neighbours
 from lumora.llm.tokenize import text_of_ids, token_counts, token_ids
 from lumora.llm.truncation import endings, judged, length_hazards
 from lumora.llm.varied import varied_subset
+from lumora.session import cut
 from lumora.tables import table
 
 LIFT_OVER, PAIR_SUPPORT = 3, 5
@@ -52,18 +53,25 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
 LIST_FIELDS = {"domain": "domain", "files_modified": "files_modified", "errors_encountered": "messages"}
 
 
-def _captures(spark: SparkSession, d: str) -> DataFrame:
+def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The members of each cluster with the four fields of their episodes, those of the lists cleaned."""
     m = survivor.members(table(spark, d, "duplicate_clusters"), table(spark, d, "capture_channels"))
     e = _episodes(spark, d).filter(F.col("id").isNotNull()).select(
-        F.col("id").alias("episode_id"), "outcome.status",
-        survivor.informative(F.col("intent.domain")).alias("domain"),
-        survivor.informative(F.col("context.files_modified")).alias("files_modified"),
-        survivor.informative(F.col("context.errors_encountered.message")).alias("messages"),
+        F.col("id").alias("episode_id"),
+        survivor.informative_entries(F.col("intent.domain")).alias("domain"),
+        survivor.informative_entries(F.col("context.files_modified")).alias("files_modified"),
+        survivor.informative_entries(F.col("context.errors_encountered.message")).alias("messages"),
         survivor.usable_end(F.col("timestamp_start"), F.col("timestamp_end")).alias("ended"),
     )
     # only members are kept before repeated rows of an episode are united
-    e = e.join(m.select("episode_id").distinct(), "episode_id", "left_semi").distinct()
-    return m.join(e, "episode_id")
+    e = e.join(m.select("episode_id").distinct(), "episode_id", "left_semi")
+    return m, e
+
+
+def _captures(spark: SparkSession, d: str) -> DataFrame:
+    m, e = _members(spark, d)
+    counts = e.select("episode_id", *[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in LIST_FIELDS.values()], "ended")
+    return m.join(counts.distinct(), "episode_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,10 +82,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_current(spark: SparkSession, d: str) -> DataFrame:
-    """The most current outcome of each cluster, by time stamps and, where they are missing, by learned precedence."""
-    c = _captures(spark, d)
-    learned = survivor.precedence(c, "cluster_id", "status", "ended")
-    return survivor.latest_values(c, learned, "cluster_id", "status", "ended")
+    """The most current entry of each field of each cluster, by time stamps and, where they are missing, by learned precedence."""
+    m, e = _members(spark, d)
+    entry = lambda name, values, at: F.transform(values, lambda x: F.struct(F.lit(name).alias("field_name"), x.alias("value"), at.alias("at")))
+    at = micros("ended")
+    lists = [F.coalesce(entry(name, F.col(c), at), F.array().cast("array<struct<field_name: string, value: string, at: bigint>>")) for name, c in LIST_FIELDS.items()]
+    end = entry("timestamp_end", F.array_compact(F.array(F.date_format("ended", "yyyy-MM-dd HH:mm:ss.SSSSSS"))), at)
+    # repeated rows of an episode give equal entries
+    long = e.select("episode_id", F.explode(F.concat(*lists, end)).alias("x")).select("episode_id", "x.*").distinct()
+    rows = cut(m.select("cluster_id", "episode_id").join(long, "episode_id"))
+    # ends are their own time stamps, nothing is learned from them
+    learned = survivor.precedence(rows.filter(F.col("field_name") != "timestamp_end"), "cluster_id", "field_name", "value", "at")
+    return survivor.latest_values(rows, learned, "cluster_id", "field_name", "value", "at")
 
 
 # -- 4: items that appear together
@@ -219,8 +235,15 @@ _STAND_INS = ", ".join(f"'{x}'" for x in ["", *survivor.STAND_INS])
 _TRIM = "regexp_replace({}, '^[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+$', '', 'g')"
 
 
+def _entries_sql(entries: str) -> str:
+    return f"list_filter(list_distinct(list_transform({entries}, lambda x: lower({_TRIM.format('x')}))), lambda x: x NOT IN ({_STAND_INS}))"
+
+
 def _informative_sql(entries: str) -> str:
-    return f"coalesce(len(list_filter(list_distinct(list_transform({entries}, lambda x: lower({_TRIM.format('x')}))), lambda x: x NOT IN ({_STAND_INS}))), 0)"
+    return f"coalesce(len({_entries_sql(entries)}), 0)"
+
+
+_USABLE = "CASE WHEN timestamp_end >= timestamp_start AND timestamp_end <= timestamp_start + INTERVAL 7 DAY THEN epoch_us(timestamp_end) END"
 
 
 _PATH = """list_reduce(list_prepend('', list_filter(string_split(replace({0}, chr(92), '/'), '/'), lambda s: s NOT IN ('', '.'))),
@@ -246,6 +269,18 @@ j AS (SELECT * FROM m JOIN e USING (episode_id)),
 l AS (SELECT cluster_id, 'domain' AS field_name, episode_id, d AS n, trust, t FROM j WHERE d > 0 UNION ALL SELECT cluster_id, 'files_modified', episode_id, f, trust, t FROM j WHERE f > 0
   UNION ALL SELECT cluster_id, 'errors_encountered', episode_id, r, trust, t FROM j WHERE r > 0 UNION ALL SELECT cluster_id, 'timestamp_end', episode_id, t, trust, t FROM j WHERE t IS NOT NULL)
 SELECT cluster_id, field_name, episode_id FROM l QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY n DESC, trust DESC, t DESC NULLS LAST, episode_id) = 1""",
+    "p3_current": f"""WITH m AS (SELECT DISTINCT cluster_id, episode_id FROM duplicate_clusters WHERE cluster_id IS NOT NULL),
+e AS (SELECT id AS episode_id, any_value(intent.domain) AS d, any_value(context.files_modified) AS f, list_transform(any_value(context.errors_encountered), lambda x: x.message) AS r, any_value({_USABLE}) AS ts FROM episodes WHERE id IS NOT NULL GROUP BY id),
+l AS (SELECT episode_id, ts, 'domain' AS field_name, unnest({_entries_sql('d')}) AS value FROM e UNION ALL SELECT episode_id, ts, 'files_modified', unnest({_entries_sql('f')}) FROM e
+  UNION ALL SELECT episode_id, ts, 'errors_encountered', unnest({_entries_sql('r')}) FROM e UNION ALL SELECT episode_id, ts, 'timestamp_end', strftime(make_timestamp(ts), '%Y-%m-%d %H:%M:%S.%f') FROM e WHERE ts IS NOT NULL),
+x AS (SELECT cluster_id, field_name, value, ts FROM m JOIN l USING (episode_id)),
+s AS (SELECT field_name, value AS earlier, lead(value) OVER w AS later, ts, lead(ts) OVER w AS next_at FROM (SELECT DISTINCT * FROM x WHERE ts IS NOT NULL AND field_name <> 'timestamp_end') WINDOW w AS (PARTITION BY cluster_id, field_name ORDER BY ts, value)),
+c AS (SELECT field_name, earlier, later, count(*) AS n FROM s WHERE next_at > ts AND later <> earlier GROUP BY ALL),
+p AS (SELECT a.field_name, a.earlier, a.later FROM c a LEFT JOIN c b ON a.field_name = b.field_name AND a.earlier = b.later AND a.later = b.earlier WHERE a.n > coalesce(b.n, 0)),
+v AS (SELECT cluster_id, field_name, value, max(ts) AS ts, count(*) AS n FROM x GROUP BY ALL),
+t AS (SELECT *, coalesce(ts < max(ts) OVER (PARTITION BY cluster_id, field_name), false) AS by_time FROM v),
+u AS (SELECT DISTINCT a.cluster_id, a.field_name, a.value FROM v a JOIN p ON p.field_name = a.field_name AND p.earlier = a.value JOIN v b ON b.cluster_id = a.cluster_id AND b.field_name = a.field_name AND b.value = p.later WHERE a.ts IS NULL OR b.ts IS NULL)
+SELECT cluster_id, field_name, value FROM t LEFT JOIN (SELECT *, true AS by_rule FROM u) USING (cluster_id, field_name, value) QUALIFY row_number() OVER (PARTITION BY cluster_id, field_name ORDER BY by_time OR coalesce(by_rule, false), n DESC, value) = 1""",
     "p4_found": _PAIRS_SQL + f"SELECT split_part(part, ' ', 1) AS item_kind, item_a, item_b FROM scored WHERE n_ab >= {PAIR_SUPPORT} AND n_ab * n > {LIFT_OVER} * n_a * n_b",
     "p4_pairs": _PAIRS_SQL
     + """SELECT split_part(part, ' ', 1) AS item_kind, nullif(substr(part, 6), '') AS project, item_a, item_b, n_ab, floor(n_ab * n / (n_a * n_b)::DOUBLE * 1000000 + 0.5) / 1000000 AS lift,

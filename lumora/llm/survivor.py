@@ -6,11 +6,12 @@ an associative minimum over one struct for each member and field, so partial res
 and a group with a third of all records is never held by one task.
 
 ``precedence`` and ``latest_values`` reason about currency where time stamps are missing. From the members that have
-usable time stamps the transitions of a field's values (earlier value, next value in the same group) are counted over
-all groups; ``u`` precedes ``v`` if u is followed by v more often than v by u. Within a group a value is dominated if
-another value of the group comes later by an explicit time stamp or, where either lacks one, by the learned precedence.
-The values left are the topologically latest; of several the most frequent, then the smallest, is taken. Only pairs
-that the precedence table holds are formed, never all pairs of a group.
+usable time stamps the transitions of a field's values (earlier value, value at the next time in the same group) are
+counted over all groups; ``u`` precedes ``v`` if u is followed by v more often than v by u. Within a group a value is
+dominated if another value of the group comes later by an explicit time stamp or, where either lacks one, by the learned
+precedence. The values left are the topologically latest; of several the most frequent, then the smallest, is taken.
+Only pairs that the precedence table holds are formed, never all pairs of a group. The rows of all groups are ordered in
+one global order that is cut into stretches, so a group of any size is spread over many tasks.
 
 Defined cases: null groups and members are ignored; repeated member rows count once with their highest trust; members
 without a record are ignored; a group without a usable value gives no row; ties end at the smaller id; a cycle in the
@@ -20,20 +21,27 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.functions.text import folded
-from lumora.llm.common import bounded_broadcast
+from lumora.llm.common import bounded_broadcast, spread_join
+from lumora.operators.ordering import stretches
+from lumora.session import cut
 
 #: Entries that merely stand for "nothing here".
 STAND_INS = ["-", "--", "n/a", "na", "none", "(none)", "null", "nil", "tbd", "/dev/null"]
 
 
-def informative(entries: Column) -> Column:
-    """How many distinct informative entries a list holds, apart from letter case and surrounding white space."""
+def informative_entries(entries: Column) -> Column:
+    """The distinct informative entries of a list, without letter case and surrounding white space."""
     plain = F.array_distinct(F.transform(entries, folded))
-    return F.coalesce(F.size(F.filter(plain, lambda x: x.isNotNull() & (x != "") & ~x.isin(STAND_INS))), F.lit(0))
+    return F.filter(plain, lambda x: x.isNotNull() & (x != "") & ~x.isin(STAND_INS))
+
+
+def informative(entries: Column) -> Column:
+    """How many distinct informative entries a list holds."""
+    return F.coalesce(F.size(informative_entries(entries)), F.lit(0))
 
 
 def usable_end(start: Column, end: Column, days: int = 7) -> Column:
@@ -72,35 +80,33 @@ def survivors(candidates: DataFrame, fields: dict[str, tuple[Column, list[Column
     return best.select(group, "field_name", F.col("best.m").alias(member))
 
 
-def precedence(stamped: DataFrame, group: str, value: str, at: str) -> DataFrame:
-    """(earlier, later, n): value transitions that are more frequent than their reverse, from rows with a time stamp.
-
-    A group is ordered by a window over slim rows; runs of one value are one step.
-    """
-    usable = stamped.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).select(group, value, at)
+def precedence(stamped: DataFrame, group: str, field: str, value: str, at: str) -> DataFrame:
+    """(field, earlier, later, n): value transitions that are more frequent than their reverse, from rows with a time stamp."""
+    usable = stamped.filter(F.col(at).isNotNull() & F.col(value).isNotNull() & F.col(group).isNotNull())
     # equal rows are one, which also keeps a group of many copies small
-    w = Window.partitionBy(group).orderBy(at, value)
-    steps = usable.distinct().withColumn("next", F.lead(value).over(w)).filter(F.col("next") != F.col(value))
-    counts = steps.groupBy(F.col(value).alias("earlier"), F.col("next").alias("later")).agg(F.count(F.lit(1)).alias("n"))
-    back = counts.select(F.col("later").alias("earlier"), F.col("earlier").alias("later"), F.col("n").alias("back"))
-    return counts.join(back, ["earlier", "later"], "left").filter(F.col("n") > F.coalesce("back", F.lit(0))).select("earlier", "later", "n")
+    rows, w, own = stretches(usable.select(F.col(group).alias("_g"), F.col(field).alias("_f"), F.col(at).alias("_t"), F.col(value).alias("_v")).distinct(), ["_g", "_f", "_t", "_v"], 1)
+    nxt = F.lead(F.struct("_g", "_f", "_t", "_v")).over(w)
+    steps = rows.select("_g", "_f", "_t", "_v", own.alias("own"), nxt.alias("x")).filter("own and x._g = _g and x._f = _f and x._t > _t and x._v <> _v")
+    counts = steps.groupBy(F.col("_f").alias(field), F.col("_v").alias("earlier"), F.col("x._v").alias("later")).agg(F.count(F.lit(1)).alias("n"))
+    back = counts.select(field, F.col("later").alias("earlier"), F.col("earlier").alias("later"), F.col("n").alias("back"))
+    return counts.join(back, [field, "earlier", "later"], "left").filter(F.col("n") > F.coalesce("back", F.lit(0))).select(field, "earlier", "later", "n")
 
 
-def latest_values(rows: DataFrame, learned: DataFrame, group: str, value: str, at: str) -> DataFrame:
-    """(group, value) of the topologically latest value of each group; ``rows`` may lack time stamps."""
+def latest_values(rows: DataFrame, learned: DataFrame, group: str, field: str, value: str, at: str) -> DataFrame:
+    """(group, field, value) of the topologically latest value of each group's field; ``rows`` may lack time stamps."""
     known = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
-    values = known.groupBy(group, value).agg(F.max(at).alias("at"), F.count(F.lit(1)).alias("n"))
-    newest = values.groupBy(group).agg(F.max("at").alias("newest"))
-    left = values.join(newest, group)
-    by_time = left.filter(F.col("at") < F.col("newest")).select(group, value)
-    successors = values.filter(F.col("at").isNull()).select(group, value).join(learned.select(F.col("earlier").alias(value), "later"), value)
-    predecessors = values.filter(F.col("at").isNull()).select(group, F.col(value).alias("later")).join(learned.select("later", F.col("earlier").alias(value)), "later")
-    present = values.select(group, F.col(value).alias("v"), F.col("at").alias("v_at"))
-    by_rule = (
-        successors.unionByName(predecessors).distinct().join(present.select(group, F.col("v").alias("later")), [group, "later"])
-        .join(present.select(group, F.col("v").alias(value)), [group, value]).select(group, value)
-    )
-    dominated = by_time.unionByName(by_rule).distinct().withColumn("dominated", F.lit(True))
-    ranked = values.join(dominated, [group, value], "left")
-    best = ranked.groupBy(group).agg(F.min(F.struct(F.coalesce("dominated", F.lit(False)), -F.col("n"), F.col(value).alias("v"))).alias("best"))
-    return best.select(group, F.col("best.v").alias(value))
+    values = cut(known.groupBy(group, field, value).agg(F.max(at).alias("at"), F.count(F.lit(1)).alias("n")))
+    newest = values.groupBy(group, field).agg(F.max("at").alias("newest"))
+    timed = spread_join(values, newest, [group, field], value)
+    by_time = timed.filter(F.col("at") < F.col("newest")).select(group, field, value)
+    # rules meet the values without a time stamp by value; a frequent value is spread by its groups
+    rules, open_ = bounded_broadcast(learned.drop("n")), values.filter(F.col("at").isNull()).select(group, field, value)
+    successors = spread_join(open_.withColumnRenamed(value, "earlier"), rules, [field, "earlier"], group)
+    predecessors = spread_join(open_.withColumnRenamed(value, "later"), rules, [field, "later"], group)
+    # both values of a rule have to be there
+    there = values.select(group, field, value)
+    met = successors.join(there.withColumnRenamed(value, "later"), [group, field, "later"]).select(group, field, F.col("earlier").alias(value))
+    met = met.unionByName(predecessors.select(group, field, F.col("earlier").alias(value)).join(there, [group, field, value]))
+    dominated = by_time.unionByName(met).distinct().withColumn("dominated", F.lit(True))
+    best = values.join(dominated, [group, field, value], "left").groupBy(group, field).agg(F.min(F.struct(F.coalesce("dominated", F.lit(False)), -F.col("n"), F.col(value).alias("v"))).alias("best"))
+    return best.select(group, field, F.col("best.v").alias(value))

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.text import folded, is_blank
+from lumora.llm.common import spread_join
 from lumora.session import cut
 
 _TERMINAL = r"[.!?。！？؟।]"
@@ -160,17 +161,6 @@ def length_hazards(ends: DataFrame, reach: int = 12, rate: float = 0.01, least_r
     return passed.filter((F.col("r") <= F.col("last_ok")) & (F.col("n") >= 3) & (F.col("n") >= least_ratio * F.col("expected"))).select("key", "unit", "length", "n", "expected", "at_risk")
 
 
-def _marked(rows: DataFrame, few: DataFrame, keys: list[str], spread: int = 16) -> DataFrame:
-    """``rows`` with the columns of ``few`` where the keys agree.
-
-    ``few`` holds a key once. Rows of one key, or of none, are spread over ``spread`` tasks where ``few`` is too large to
-    be broadcast.
-    """
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int")
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], "left").drop("_salt")
-
-
 def judged(documents: DataFrame, least_incomplete: float = 0.3, usual_share: float = 0.02, fixed_share: float = 0.6) -> DataFrame:
     """doc_id, key, kind, at_limit and ``cut`` of each text that isn't blank."""
     ends = cut(endings(documents))
@@ -185,7 +175,7 @@ def judged(documents: DataFrame, least_incomplete: float = 0.3, usual_share: flo
     anywhere = usual.filter(F.col("key") != "").groupBy("shape").agg(F.max("n_shape").alias("n_shape")).withColumn("key", F.lit("")).withColumn("n_key", F.lit(None).cast("bigint"))
     lines = ends.filter(F.col("kind").isin("line", "open")).select("key", "shape").distinct().join(usual.unionByName(anywhere).select("key", "shape").distinct(), ["key", "shape"]).withColumn("usual", F.lit(True))
     fixed = usual.join(lines, ["key", "shape"], "left_semi").groupBy("key").agg((F.sum("n_shape") / F.max("n_key")).alias("s")).filter(F.col("s") >= fixed_share).select("key", F.lit(True).alias("fixed"))
-    seen = _marked(_marked(_marked(ends, halves, ["word"]), lines, ["key", "shape"]), fixed, ["key"])
+    seen = spread_join(spread_join(spread_join(ends, halves, ["word"], "doc_id", "left"), lines, ["key", "shape"], "doc_id", "left"), fixed, ["key"], "doc_id", "left")
     is_usual, is_half = F.coalesce("usual", F.lit(False)), F.coalesce("half", F.lit(False)) & (F.col("kind") == "line")
     # what a text's own ending tells, before any length is looked at
     own = (F.col("kind") == "broken") | ((F.col("kind") == "open") & ~is_usual) | ((F.col("kind") == "line") & ~is_usual & (is_half | F.coalesce("fixed", F.lit(False))))
@@ -199,7 +189,7 @@ def judged(documents: DataFrame, least_incomplete: float = 0.3, usual_share: flo
         at = spikes.filter(F.col("unit") == unit).select("key", F.col("length").alias(unit))
         return share.join(at, ["key", unit], "left_semi").select("key", unit, F.lit(True).alias(f"{unit}_limit"))
 
-    with_limits = _marked(_marked(seen, limits("chars"), ["key", "chars"]), limits("bytes"), ["key", "bytes"])
+    with_limits = spread_join(spread_join(seen, limits("chars"), ["key", "chars"], "doc_id", "left"), limits("bytes"), ["key", "bytes"], "doc_id", "left")
     at_limit = F.coalesce("chars_limit", F.lit(False)) | F.coalesce("bytes_limit", F.lit(False))
     late = at_limit & F.col("kind").isin("line", "ellipsis") & ~F.col("usual")
     return with_limits.select("doc_id", "key", "kind", "chars", at_limit.alias("at_limit"), (F.col("own") | late).alias("cut"))

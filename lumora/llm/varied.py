@@ -3,7 +3,8 @@
 The words of each record's text and tags are hashed to signed random features (a projection of its word counts). A word
 weighs by the share of all records that hold it, up to ``common``: sessions made alike differ in names and numbers,
 which are rare, and share the words that make them alike, so they fall into the same or neighbouring cells. The counts
-cover all records; they are kept in a table of BUCKETS hashed words, whose size doesn't grow with the data. Each feature
+cover all records; they are kept in a table of BUCKETS hashed words, whose size doesn't grow with the data: a rare word
+weighs at least like a share of (rare words of a record) / BUCKETS, below 0.002 for texts of a hundred words. Each feature
 is quantised through the normal distribution function, which needs no statistics of the data, and the record gets its
 key on the Hilbert curve.
 
@@ -32,7 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.common import ranked
+from lumora.operators.ordering import ranked
+from lumora.session import cut
 
 #: Words are counted in so many hashed buckets.
 BUCKETS = 1 << 16
@@ -137,8 +139,6 @@ def curve_key(spark: SparkSession, shares: np.ndarray, dims: int = 12, bits: int
 
 def varied_subset(records: DataFrame, record: str, text: Column, tags: Column, best: list[Column], size: int, dims: int = 12, bits: int = 4, cells_for_one: int = 8) -> DataFrame:
     """``size`` rows of ``records`` with their ``_cell`` and ``_cell_rank``; ``best``: the order of quality within a cell."""
-    from lumora.session import cut
-
     spark = records.sparkSession
     named = records.filter(F.col(record).isNotNull())
     parts = F.struct(F.struct(*[b.alias(f"b{i}") for i, b in enumerate(best)]).alias("_best"), text.alias("_text"), tags.alias("_tags"))
@@ -158,7 +158,7 @@ def varied_subset(records: DataFrame, record: str, text: Column, tags: Column, b
         level += 1
     order = Window.partitionBy("cell").orderBy("_best", "_id")
     top = slim.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= level + 1)
-    deep = ranked(cells.filter(F.col("n") > level), "cell", "cell_rank")
+    deep = ranked(cells.filter(F.col("n") > level), ["cell"], "cell_rank")
     m = sum(m for n, m in histogram.items() if n > level) or 1
     # a cell is taken where the running total of left / m passes a whole number
     spaced = F.expr(f"(cell_rank + 1) * {left} div {m} > cell_rank * {left} div {m}")

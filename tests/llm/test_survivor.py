@@ -33,19 +33,33 @@ def test_survivors(spark):
     assert survivor.survivors(df.limit(0), fields, "g", "m").collect() == []
 
 
+ROW = "g bigint, f string, v string, at bigint"
+
+
 def test_currency_without_time_stamps(spark):
-    # single is followed by married in two groups; the third has no times
+    # single is followed by married in two groups; the third has no times; the same words mean nothing in another field
     rows = [(1, "single", 1), (1, "married", 2), (2, "single", 1), (2, "single", 3), (2, "married", 4), (3, "single", None), (3, "single", None), (3, "married", None), (4, "only", None), (5, None, 1), (None, "x", 1)]
-    df = spark.createDataFrame(rows, "g bigint, v string, at bigint")
-    learned = survivor.precedence(df, "g", "v", "at")
-    assert [tuple(r) for r in learned.collect()] == [("single", "married", 2)]
-    got = dict(map(tuple, survivor.latest_values(df, learned, "g", "v", "at").collect()))
-    assert got == {1: "married", 2: "married", 3: "married", 4: "only"}
-    assert survivor.precedence(df.limit(0), "g", "v", "at").collect() == []
-    assert survivor.latest_values(df.limit(0), learned, "g", "v", "at").collect() == []
+    df = spark.createDataFrame([(g, "f", v, at) for g, v, at in rows] + [(3, "other", "single", None), (3, "other", "single", None), (3, "other", "married", None)], ROW)
+    learned = survivor.precedence(df, "g", "f", "v", "at")
+    assert [tuple(r) for r in learned.collect()] == [("f", "single", "married", 2)]
+    got = {(r.g, r.f): r.v for r in survivor.latest_values(df, learned, "g", "f", "v", "at").collect()}
+    assert got == {(1, "f"): "married", (2, "f"): "married", (3, "f"): "married", (4, "f"): "only", (3, "other"): "single"}
+    assert survivor.precedence(df.limit(0), "g", "f", "v", "at").collect() == []
+    assert survivor.latest_values(df.limit(0), learned, "g", "f", "v", "at").collect() == []
+
+
+def test_chains_without_time_stamps(spark):
+    # a..e follow one another in a thousand groups of their own; in the last group only the order of values is known
+    rows = [(g, "f", v, t) for g in range(1000) for t, v in enumerate("abcde")] + [(5000, "f", v, None) for v in "abdd"] + [(5001, "f", "e", 7), (5001, "f", "d", None), (5001, "f", "d", None)]
+    df = spark.createDataFrame(rows, ROW)
+    learned = survivor.precedence(df, "g", "f", "v", "at")
+    assert sorted(map(tuple, learned.collect())) == [("f", x, y, 1000) for x, y in zip("abcd", "bcde")]
+    got = {r.g: r.v for r in survivor.latest_values(df, learned, "g", "f", "v", "at").filter("g >= 5000").collect()}
+    # nothing is known to follow b and d there, and d is more frequent; e follows d
+    assert got == {5000: "d", 5001: "e"}
 
 
 def test_a_cycle_falls_back_to_the_most_frequent(spark):
-    learned = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "earlier string, later string, n bigint")
-    df = spark.createDataFrame([(1, "a", None), (1, "b", None), (1, "b", None)], "g bigint, v string, at bigint")
-    assert [tuple(r) for r in survivor.latest_values(df, learned, "g", "v", "at").collect()] == [(1, "b")]
+    learned = spark.createDataFrame([("f", "a", "b", 1), ("f", "b", "a", 1)], "f string, earlier string, later string, n bigint")
+    df = spark.createDataFrame([(1, "f", "a", None), (1, "f", "b", None), (1, "f", "b", None)], ROW)
+    assert [tuple(r) for r in survivor.latest_values(df, learned, "g", "f", "v", "at").collect()] == [(1, "f", "b")]
