@@ -1,6 +1,7 @@
 """Freely typed values mapped to the closest entry of a reference list.
 
-The reference entries, their aliases and both with their words in the other order are paths of one trie. A typed value
+The reference entries, their aliases and both with their words in another order are paths of one trie. Of up to ALL_ORDERS
+words every order is a path; of more words the sorted order is, and the value's words are sorted too. A typed value
 is walked through the trie by a Levenshtein automaton (an exchange of neighbours counts as one edit): its states are the
 sparse rows of the edit matrix, and a branch ends as soon as no cell is within the limit. The limit depends on the
 length of the value, so the walk visits few nodes however long the list is.
@@ -10,16 +11,16 @@ case folded, separators dropped. Of the entries within the limit the closest win
 wins over an alias, an alias over reordered words. If the best still names two entries, the value is reported as
 matching none, and so is a value without any entry in reach. A value of several words is also tried without its
 first or its last word (``the ...``, ``... stuff``), which has to fit as it stands or with one edit less than the limit.
+Each distinct value is walked once, whatever number of rows hold it, and joined back with hot values spread.
 
-Defined cases: null and blank values give no row in ``mapped`` and None in ``closest``; values of any length are
-accepted (beyond LONGEST letters nothing matches); repeated rows give equal results; an empty
-reference list matches nothing; extra columns pass through.
+Defined cases: null and blank values give no row in ``mapped`` and None in ``closest``; values of any length and number
+of words are accepted, the walk ends where no path is in reach; repeated rows give equal results; an empty reference list
+matches nothing; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections import OrderedDict
 from itertools import permutations
 
 import pyarrow as pa
@@ -27,11 +28,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import bounded_rows
+from lumora.functions.text import is_blank
+from lumora.llm.common import bounded_rows, spread_join
+from lumora.session import cut
 
-MAX_ENTRIES, REMEMBERED = 200_000, 100_000
-#: Letters of a plain form beyond which a value is prose and no entry is meant.
-LONGEST = 200
+MAX_ENTRIES = 200_000
+#: Words up to which all orders are paths; the sorted order stands for those of more words.
+ALL_ORDERS = 3
 _WORD = regex.compile(r"[^\W_]+")
 #: A symbol and digits that are typed for the letters they look like.
 _AT = regex.compile(r"(?<=\w)@(?=\w)")
@@ -75,10 +78,9 @@ class Trie:
                 if not words:
                     continue
                 trie.add("".join(words), priority, entry)
-                if 1 < len(words) <= 3:
-                    for order in permutations(words):
-                        if list(order) != words:
-                            trie.add("".join(order), 2, entry)
+                for order in permutations(words) if len(words) <= ALL_ORDERS else [sorted(words)]:
+                    if list(order) != words:
+                        trie.add("".join(order), 2, entry)
         return trie
 
     def within(self, word: str, limit: int) -> list[tuple[int, int, int, str]]:
@@ -160,10 +162,12 @@ def closest(trie: Trie, value: str | None) -> int | None:
     words = plain_words(value)
     tries = [("".join(words), 0)]
     tries += [(w, 0) for t in _LOOKALIKES if (w := tries[0][0].translate(t)) != tries[0][0]]
-    if 1 < len(words) <= 6:
+    if len(words) > ALL_ORDERS:
+        tries.append(("".join(sorted(words)), 0))
+    if len(words) > 1:
         tries += [("".join(w), 1) for w in (words[1:], words[:-1])]
     for word, spare in tries:
-        if 0 < len(word) <= LONGEST and (found := _best(trie, word, spare)) is not None:
+        if word and (found := _best(trie, word, spare)) is not None:
             return found
     return -1
 
@@ -173,24 +177,25 @@ def closest_entry(spark: SparkSession, value: Column | str, reference: DataFrame
     rows = bounded_rows(reference, MAX_ENTRIES, "the reference list")
     trie = Trie.of([(r[0], r[1], r[2]) for r in rows if r[0] is not None])
     shared = spark.sparkContext.broadcast((trie.next, trie.ends))
-    memo: OrderedDict[str, int | None] = OrderedDict()
 
     def find(values: pa.Array) -> pa.Array:
         t = Trie()
         t.next, t.ends = shared.value
-        out = []
-        for v in values.to_pylist():
-            if v not in memo:
-                if len(memo) >= REMEMBERED:
-                    memo.popitem(last=False)
-                memo[v] = closest(t, v)
-            out.append(memo[v])
-        return pa.array(out, pa.int64())
+        return pa.array([closest(t, v) for v in values.to_pylist()], pa.int64())
 
     find.__annotations__ = {"values": pa.Array, "return": pa.Array}
     return F.arrow_udf(find, "bigint")(value)
 
 
-def mapped(values: DataFrame, value: str, reference: DataFrame, name: str = "entry_id") -> DataFrame:
-    """Each row of ``values`` whose value isn't blank, with the entry it means in ``name`` (-1: none)."""
-    return values.withColumn(name, closest_entry(values.sparkSession, value, reference)).filter(F.col(name).isNotNull())
+def mapped(values: DataFrame, value: str, reference: DataFrame, by: str, name: str = "entry_id") -> DataFrame:
+    """Each row of ``values`` whose value isn't blank, with the entry it means in ``name`` (-1: none); ``by`` tells rows of one value apart."""
+    rows = values.filter(~is_blank(value))
+    # a column of its own name, so that no column of the rows clashes
+    spark = values.sparkSession
+    # a value is short and its walk is long: AQE would put them into one task by their size
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = rows.select(F.col(value).alias("_value")).distinct().repartition(tasks, "_value")
+    # written, so that no filter above makes Spark walk the values again
+    found = cut(distinct.withColumn("_entry", closest_entry(spark, "_value", reference)))
+    keyed = rows.drop(name).withColumn("_value", F.col(value))
+    return spread_join(keyed, found, ["_value"], by).withColumnRenamed("_entry", name).drop("_value")

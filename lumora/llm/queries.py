@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions.text import folded, is_blank, micros, plain_path, trimmed
 from lumora.llm import survivor
-from lumora.llm.canonical import closest_entry
+from lumora.llm.canonical import mapped
 from lumora.llm.common import bounded_broadcast
 from lumora.llm.cooccurrence import pair_counts
 from lumora.llm.mixing import Mix
@@ -35,11 +35,11 @@ def _entered_tags(spark: SparkSession, d: str) -> DataFrame:
     e = e.filter(F.col("episode_id").isNotNull() & ~is_blank("entered"))
     canonical = bounded_broadcast(tags.select(F.col("tag").alias("entered")))
     odd = e.join(canonical, "entered", "left_anti").select("episode_id", "entered").distinct()
-    return odd.withColumn("tag_id", closest_entry(spark, "entered", tags.select("tag_id", "tag", "aliases")))
+    return mapped(odd, "entered", tags.select("tag_id", "tag", "aliases"), "episode_id", "tag_id")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _entered_tags(spark, d).select("episode_id", "entered", F.coalesce("tag_id", F.lit(-1)).alias("tag_id"))
+    return _entered_tags(spark, d).select("episode_id", "entered", "tag_id")
 
 
 def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:

@@ -53,7 +53,22 @@ def test_limits_grow_with_length():
 def test_mapped(spark):
     ref = spark.createDataFrame(TAGS, "tag_id bigint, tag string, aliases array<string>")
     values = spark.createDataFrame([(1, "rate limiting", "x"), (1, "rate limiting", "x"), (2, None, "y"), (3, " ", "z"), (4, "nothing", None)], "id int, value string, tag_id string")
-    got = sorted((r.id, r.entry_id) for r in mapped(values, "value", ref).collect())
+    got = sorted((r.id, r.entry_id) for r in mapped(values, "value", ref, "id").collect())
     assert got == [(1, 1), (1, 1), (4, -1)]
-    assert mapped(values.limit(0), "value", ref).collect() == []
-    assert {r.entry_id for r in mapped(values, "value", ref.limit(0)).collect()} == {-1}
+    assert mapped(values.limit(0), "value", ref, "id").collect() == []
+    assert {r.entry_id for r in mapped(values, "value", ref.limit(0), "id").collect()} == {-1}
+
+
+def test_long_entries_and_many_words():
+    long = "".join(chr(97 + i * i % 26) for i in range(250))
+    trie = Trie.of([*TAGS, (7, long, None), (8, "one two three four five", ["alpha beta gamma delta"]), (9, "a very long title of some eight words", None)])
+    assert closest(trie, long) == 7 and closest(trie, "x" + long[:-1]) == 7 and closest(trie, long * 2) == -1
+    assert closest(trie, "five four three two one") == 8 and closest(trie, "delta-gamma alpha BETA") == 8 and closest(trie, "fourr one five two three") == 8
+    assert closest(trie, "the a very long title of some eight words") == 9 and closest(trie, "words eight a long title of some very") == 9
+
+
+def test_a_hot_value_is_walked_once(spark):
+    ref = spark.createDataFrame(TAGS, "tag_id bigint, tag string, aliases array<string>")
+    values = spark.createDataFrame([(i, "rate limitng" if i % 3 else f"other {i}") for i in range(3000)], "id int, value string")
+    got = {r.id: r.entry_id for r in mapped(values, "value", ref, "id").collect()}
+    assert got == {i: 1 if i % 3 else -1 for i in range(3000)}
