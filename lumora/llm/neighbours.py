@@ -1,21 +1,24 @@
 """The k most similar vectors for every vector, by collision-counting hashing.
 
 Counting is done in cells. A bounded sample gives unit centroids in proportion to density, so a crowded region gets
-many cells and a cell holds about ``cell_rows`` vectors at every size of the input. A vector is at home in the cell
-of its nearest centroid and is also looked up, as a query, in the cells that are nearly as near (``margin``, up to
-``probes`` cells): that and the hashing are the accuracy given up, the similarities returned are exact.
-
-Within a cell, each of ``projections`` random directions gives an array of projected values. Around a query's value
-lies a window whose half-width grows with the radius searched (virtual rehashing: the radius starts small and grows
-until k neighbours are verified within it or it reaches the radius of ``min_similarity``). The vectors are sorted by
-the first projection; a block of queries, in the same order, searches there the stretch that can lie in reach, and
-within it all windows are tested array by array.
-A vector whose value falls into the query's window for at least ``threshold`` of the directions is verified with the
-exact cosine. For a vector exactly at the radius a window holds its value with probability WINDOW_P.
+many cells and a cell holds about ``cell_rows`` vectors at every size of the input. The sample has room for SAMPLE_CELLS
+centroids; where more cells are needed, each is divided by the direction of the vector's difference from its centroid,
+by means of a second set of centroids fitted on the differences of all cells together. A vector is at home in the cell
+it is nearest to and is also looked up, as a query, in the cells that are nearly as near (``margin``, up to ``probes``
+cells): that and the hashing are the accuracy given up, the similarities returned are exact.
+
+Within a cell, each of ``projections`` random directions gives an array of projected values, sorted on its own. Around
+a query's value lies a window of each array, from one rank to another. The windows start narrow and are widened
+(virtual rehashing, RADII) until k neighbours are verified within the radius reached, or it is the radius of
+``min_similarity``. A vector that lies in the query's window of at least ``threshold`` arrays is verified with the exact
+cosine. For a vector exactly at the radius a window holds its value with probability WINDOW_P. Queries are taken in
+blocks in the order of the first array, and only the stretch of it that REACH tells to be within reach of the block is
+counted.
 
 Exact copies are found first by a 128-bit digest: only the k + 1 smallest ids of each group of copies take part, the
 others have the k smallest of these as their neighbours, so copies never meet in numbers. A cell expected to be too
-large is split into pieces that meet pairwise. Vectors travel once for each cell they visit, as compressed bytes.
+large is split into pieces that meet pairwise. Vectors travel once for each cell they visit, as compressed bytes; rows
+that are superseded or spare copies are left out before (by a broadcast of their digests while these are few).
 
 Defined cases: of several rows of an id the latest counts (ties: the greater digest; a null time is earliest), and the
 id takes part only if that row's vector has ``dims`` finite numbers, not all zero; repeated rows count once; similarity
@@ -34,10 +37,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.text import micros
+from lumora.llm.common import spread_join
+from lumora.session import cut
 
-#: Rows that the centroids are fitted on, at most; the centroids number at most a quarter of them.
-SAMPLE_ROWS = 20_000
+#: Rows that the centroids are fitted on, at most, and how many centroids they can tell apart.
+SAMPLE_ROWS, SAMPLE_CELLS = 20_000, 5_000
+#: Rows to be left out are broadcast up to this number (a digest of 8 bytes each).
+MAX_LEFT_OUT = 1_000_000
 WINDOW_P = 0.95
+#: The radii searched, as parts of the radius of the least similarity.
+RADII = (0.25, 0.5, 1.0)
 #: Half-width, in radii, to which the sorted first array is cut; 6 in 100,000 vectors at the radius lie beyond it.
 REACH = 4.0
 
@@ -121,36 +130,39 @@ def search_cell(base: np.ndarray, query: np.ndarray, same: np.ndarray, k: int, f
     rng = np.random.default_rng(seed)
     directions = rng.standard_normal((base.shape[1], projections)).astype(np.float32)
     farthest = sqrt(2 - 2 * floor)
-    radii = [farthest / 2, farthest]
-    # values are kept in steps of 1/32, which one byte holds for all but 1 in 10,000 standard deviations
-    hb, hq = (np.clip(np.round(x @ directions * 32), -128, 127).astype(np.int8) for x in (base, query))
+    hb, hq = base @ directions, query @ directions
+    # the base in order of the first array, so that a stretch of it is a slice
     order_b, order_q = np.argsort(hb[:, 0], kind="stable"), np.argsort(hq[:, 0], kind="stable")
     hb, base = hb[order_b], base[order_b]
-    first = hb[:, 0].astype(np.int16)
-    columns = np.ascontiguousarray(hb.T).view(np.uint8)
+    arrays = np.sort(hb, axis=0).T.copy()
+    rank_type = np.uint16 if len(base) < 65_535 else np.uint32
+    ranks = np.empty((projections, len(base)), rank_type)
+    for j, by_value in enumerate(np.argsort(hb, axis=0, kind="stable").T):
+        ranks[j, by_value] = np.arange(len(base))
     place = np.empty(len(base), np.int64)
     place[order_b] = np.arange(len(base))
     own = np.where(same >= 0, place[same], -1)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     active = order_q
-    for radius in radii:
-        half, reach = int(np.ceil(_half_width(radius) * 32)), int(np.ceil(REACH * radius * 32))
+    for radius in (r * farthest for r in RADII):
+        half, reach = _half_width(radius), REACH * radius
         least = 1 - radius * radius / 2
         unfinished = []
         for at in range(0, len(active), 128):
             block = active[at : at + 128]
             values = hq[block]
-            lo = int(np.searchsorted(first, int(values[0, 0]) - reach, "left"))
-            hi = int(np.searchsorted(first, int(values[-1, 0]) + reach, "right"))
+            lo = int(np.searchsorted(arrays[0], values[0, 0] - reach, "left"))
+            hi = int(np.searchsorted(arrays[0], values[-1, 0] + reach, "right"))
             if lo >= hi:
                 unfinished.append(block)
                 continue
-            starts = (values.astype(np.int16) - half).astype(np.uint8)
             counts = np.zeros((len(block), hi - lo), np.uint8)
-            shifted, inside = np.empty_like(counts), np.empty(counts.shape, bool)
+            shifted, inside = np.empty(counts.shape, rank_type), np.empty(counts.shape, bool)
             for j in range(projections):
-                np.subtract(columns[j, lo:hi][None, :], starts[:, j][:, None], out=shifted)
-                np.less_equal(shifted, np.uint8(2 * half), out=inside)
+                first, behind = np.searchsorted(arrays[j], values[:, j] - half, "left"), np.searchsorted(arrays[j], values[:, j] + half, "right")
+                # ranks below the window wrap around, so one comparison tells
+                np.subtract(ranks[j, lo:hi][None, :], first.astype(rank_type)[:, None], out=shifted)
+                np.less(shifted, (behind - first).astype(rank_type)[:, None], out=inside)
                 np.add(counts, inside.view(np.uint8), out=counts)
             q, b = np.nonzero(counts >= threshold)
             b = b + lo
@@ -181,6 +193,46 @@ def _first_k(q: np.ndarray, b_id: np.ndarray, s: np.ndarray, k: int) -> np.ndarr
     return order[np.arange(len(at)) - start < k]
 
 
+class Cells:
+    """Unit centroids, and for many cells a second set for the differences from them; ``pieces``: into how many a cell is split."""
+
+    def __init__(self, sample: np.ndarray, n_cells: int, rows: float, cell_rows: int):
+        self.first = fit_centroids(sample, min(n_cells, SAMPLE_CELLS))
+        parts = max(1, ceil(n_cells / SAMPLE_CELLS))
+        near = np.argmax(sample @ self.first.T, axis=1)
+        self.second = fit_centroids(_unit(sample - self.first[near] + 1e-9), parts) if parts > 1 else np.zeros((1, sample.shape[1]), np.float32)
+        # copies take part k + 1 times at most, so they don't add to the load of a cell
+        distinct = np.unique(sample, axis=0)
+        home = self.nearest(distinct, 1)[0][:, 0]
+        cells, n = np.unique(home, return_counts=True)
+        pieces = np.maximum(1, np.ceil(n * (rows / len(sample)) / (3 * cell_rows))).astype(int)
+        self.pieces = {int(c): int(p) for c, p in zip(cells, pieces) if p > 1}
+
+    @property
+    def n(self) -> int:
+        return len(self.first) * len(self.second)
+
+    def nearest(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each unit vector the ``width`` nearest cells and how near they are, nearest first."""
+
+        def top(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            k = min(width, sims.shape[1])
+            at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            value = np.take_along_axis(sims, at, 1)
+            order = np.argsort(-value, axis=1, kind="stable")
+            return np.take_along_axis(at, order, 1), np.take_along_axis(value, order, 1)
+
+        cell, near = top(x @ self.first.T)
+        m = len(self.second)
+        if m == 1:
+            return cell, near
+        # a part lies as far as its direction agrees with what the centroid leaves of the vector
+        inner, cross = x @ self.second.T, self.first @ self.second.T
+        sims = (near[:, :, None] + np.sqrt(np.maximum(0, 1 - near * near))[:, :, None] * (inner[:, None, :] - cross[cell])).reshape(len(x), -1)
+        at, value = top(sims)
+        return np.take_along_axis(cell, at // m, 1) * m + at % m, value
+
+
 def neighbours(
     vectors: DataFrame, item: str, vector: str, at: str, k: int = 5, min_similarity: float = 0.85, dims: int = 384,
     cell_rows: int = 3000, margin: float = 0.08, probes: int = 4, projections: int = 64, threshold: int = 53,
@@ -197,8 +249,6 @@ def neighbours(
             h[right], ok[right] = _digests(x), True
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok), pa.array(h[:, 0]), pa.array(h[:, 1])], ["id", "at", "ok", "h1", "h2"])
 
-    from lumora.session import cut
-
     kind = given.dtypes[0][1]
     slim = given.mapInArrow(digest, f"id {kind}, at bigint, ok boolean, h1 bigint, h2 bigint")
     latest = slim.groupBy("id").agg(F.max(F.struct("at", "h1", "h2", "ok")).alias("r")).select("id", "r.*").filter("ok").drop("ok")
@@ -207,63 +257,61 @@ def neighbours(
     copies = Window.partitionBy("h1", "h2").orderBy("id")
     searched = cut(latest.withColumn("place", F.row_number().over(copies)).filter(F.col("place") <= k + 1))
 
-    n_cells = max(1, min(round(n / cell_rows), SAMPLE_ROWS // 4))
+    n_cells = max(1, round(n / cell_rows))
     share = min(1.0, max(4096, 16 * n_cells) * 1.1 / max(n, 1), SAMPLE_ROWS / max(n, 1))
     some = given.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE_ROWS)
     sample = [_rows(b.column(0), dims)[1] for b in some.toArrow().to_batches()]
     codes = fit_codes(np.concatenate(sample)) if sample else b""
     sample = _unit(np.concatenate(sample)) if sample and sum(map(len, sample)) else np.eye(1, dims, dtype=np.float32)
-    centroids = fit_centroids(sample, n_cells)
-    # copies take part k + 1 times at most, so they don't add to the load of a cell
-    distinct = np.unique(sample, axis=0)
-    load = np.bincount(np.argmax(distinct @ centroids.T, axis=1), minlength=len(centroids)) * (n / len(sample))
-    pieces = np.maximum(1, np.ceil(load / (6 * cell_rows))).astype(int).tolist()
-    shared = spark.sparkContext.broadcast((centroids, pieces, codes))
+    fitted = Cells(sample, n_cells, n, cell_rows)
+    shared = spark.sparkContext.broadcast((fitted, codes))
 
     def place(batches):
-        cents, parts, codes = shared.value
+        cells, codes = shared.value
         for batch in batches:
             right, x = _rows(batch.column(2), dims)
             if not len(right):
                 continue
             h = _digests(x)
-            sims = _unit(x) @ cents.T
-            width = min(probes, sims.shape[1])
-            top = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-            value = np.take_along_axis(sims, top, 1)
-            order = np.argsort(-value, axis=1, kind="stable")
-            top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+            near, value = cells.nearest(_unit(x), probes)
             visits = []
-            for own, v, d in zip(top.tolist(), value.tolist(), h[:, 0].tolist()):
-                groups: dict[int, int] = {}
+            for own, v, d in zip(near.tolist(), value.tolist(), h[:, 0].tolist()):
+                roles: dict[tuple[int, int, int], int] = {}
                 for j, c in enumerate(own):
                     if v[j] < v[0] - margin:
                         break
-                    s = parts[c]
+                    s = cells.pieces.get(c, 1)
                     mine = d % s
                     for other in range(s):
                         # piece p of the base meets piece r of the queries in group (c, p, r)
-                        groups[(c << 24) | (other << 12) | mine] = groups.get((c << 24) | (other << 12) | mine, 0) | 1
+                        roles[c, other, mine] = roles.get((c, other, mine), 0) | 1
                         if j == 0:
-                            groups[(c << 24) | (mine << 12) | other] = groups.get((c << 24) | (mine << 12) | other, 0) | 2
-                visits.append([(g << 2) | role for g, role in groups.items()])
+                            roles[c, mine, other] = roles.get((c, mine, other), 0) | 2
+                visits.append([{"c": c, "p": p, "r": r, "role": role} for (c, p, r), role in roles.items()])
             pick = pa.array(right)
+            visit = pa.struct([("c", pa.int32()), ("p", pa.int32()), ("r", pa.int32()), ("role", pa.int32())])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(_packed(x, codes), pa.binary()), pa.array(visits, pa.list_(pa.int64()))],
+                [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(_packed(x, codes), pa.binary()), pa.array(visits, pa.list_(visit))],
                 ["id", "at", "h1", "h2", "packed", "visits"],
             )
 
-    placed = given.mapInArrow(place, f"id {kind}, at bigint, h1 bigint, h2 bigint, packed binary, visits array<bigint>")
+    placed = given.mapInArrow(place, f"id {kind}, at bigint, h1 bigint, h2 bigint, packed binary, visits array<struct<c: int, p: int, r: int, role: int>>")
     # a row is known by its id and one digest of the rest, which is null times' too: they can be the latest
     row = F.xxhash64("at", "h1", "h2").alias("row")
-    chosen = placed.select("id", row, "packed", "visits").join(searched.select("id", row), ["id", "row"], "left_semi").select("id", "packed", F.explode("visits").alias("visit"))
-    visits = chosen.select("id", "packed", F.shiftright("visit", 2).alias("cell"), (F.col("visit") % 4).cast("int").alias("role"))
+    keyed, wanted = placed.select("id", row, "packed", "visits"), searched.select("id", row)
+    # repeated rows stay, they are one within their cell
+    left_out = cut(slim.filter("ok").select("id", row).distinct().join(wanted, ["id", "row"], "left_anti"))
+    few = left_out.count() <= MAX_LEFT_OUT
+    chosen = keyed.join(F.broadcast(left_out), ["id", "row"], "left_anti") if few else keyed.join(wanted, ["id", "row"], "left_semi")
+    visits = chosen.select("id", "packed", F.inline("visits"))
+    # as many partitions as the cells ask for, so that a task is no larger on a larger table
+    visits = visits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), fitted.n // 2), "c", "p", "r")
 
     def search(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id").to_pylist(), dtype=object)
         roles = group.column("role").to_numpy()
         _, once = np.unique(ids.astype(str), return_index=True)
-        x = _unit(_unpacked(group.column("packed").combine_chunks().take(pa.array(once)), dims, shared.value[2]))
+        x = _unit(_unpacked(group.column("packed").combine_chunks().take(pa.array(once)), dims, shared.value[1]))
         ids, roles = ids[once], roles[once]
         is_b, is_q = np.flatnonzero(roles & 2), np.flatnonzero(roles & 1)
         at_b = np.full(len(ids), -1)
@@ -278,11 +326,12 @@ def neighbours(
         return pa.table({"id": pa.array(ids[q].tolist(), id_type), "neighbour": pa.array(ids[b].tolist(), id_type), "similarity": pa.array(s.astype(np.float64))})
 
     result = f"id {kind}, neighbour {kind}, similarity double"
-    met = visits.groupBy("cell").applyInArrow(search, result)
+    met = visits.groupBy("c", "p", "r").applyInArrow(search, result)
     # a copy that didn't take part has the k smallest ids of its group as neighbours
     crowded = searched.filter(F.col("place") == k + 1).select("h1", "h2")
-    rest = latest.join(crowded, ["h1", "h2"], "left_semi").join(searched.select("id"), "id", "left_anti")
-    twins = rest.join(searched.filter(F.col("place") <= k).select("h1", "h2", F.col("id").alias("neighbour")), ["h1", "h2"])
+    firsts = searched.filter(F.col("place") <= k).join(crowded, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.collect_list("id").alias("firsts"))
+    rest = spread_join(latest, firsts, ["h1", "h2"], "id").join(searched.select("id"), "id", "left_anti")
+    twins = rest.select("id", F.explode("firsts").alias("neighbour"))
     every = met.unionByName(twins.select("id", "neighbour", F.lit(1.0).alias("similarity")))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return every.withColumn("hit_rank", F.row_number().over(best)).filter(F.col("hit_rank") <= k).select(F.col("id").alias(item), "neighbour", "similarity", "hit_rank")
