@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,44 +27,34 @@ PARENTS = {"attempts": "errors_encountered"}
 WRAPPERS = ("intent", "context")
 
 
-def inlined_episodes(raw: DataFrame) -> Inlined:
-    return inline(raw, "raw_id", "payload", EPISODE_KEYS, CHILDREN)
+def inlined_episodes(raw: DataFrame, keep: Iterable[str] | None = None, paths: Iterable[str] = ()) -> Inlined:
+    return inline(raw, "raw_id", "payload", EPISODE_KEYS, CHILDREN, keep, WRAPPERS, paths)
 
 
 def found(raw: DataFrame) -> DataFrame:
-    rows = inlined_episodes(raw).rows
+    rows = inlined_episodes(raw, CHILDREN).rows
     name = F.create_map(*[F.lit(x) for kv in CHILDREN.items() for x in kv])[F.col("element")]
     parent = F.create_map(*[F.lit(x) for kv in PARENTS.items() for x in kv])[F.col("element")]
-    above = F.filter("ancestors", lambda x: ~x["element"].isin(*WRAPPERS))
-    belongs = F.transform("above", lambda x: x["element"]) == F.when(parent.isNull(), F.array().cast("array<string>")).otherwise(F.array(parent))
-    return rows.filter(F.col("element").isin(*CHILDREN)).withColumn("above", above).filter(belongs).select(
-        F.col("doc_id").alias("raw_id"),
-        name.alias("child"),
-        F.when(F.size("above") == 0, F.lit(-1).cast("bigint")).otherwise(F.element_at("above", -1)["pos"]).alias("parent_pos"),
-        "pos",
-    )
+    own = F.when(parent.isNull(), F.col("depth") == 0).otherwise((F.col("depth") == 1) & (F.col("owner_element") == parent))
+    return rows.filter(own).select(F.col("doc_id").alias("raw_id"), name.alias("child"), F.when(F.col("depth") == 0, F.lit(-1).cast("bigint")).otherwise(F.col("owner_pos")).alias("parent_pos"), "pos")
 
 
-def root_columns(got: Inlined, wanted: list[str]) -> DataFrame:
+def root_columns(raw: DataFrame, wanted: list[str]) -> DataFrame:
     """doc_id and the values at the ``wanted`` paths of each record, wherever the plan put them; the first of several counts."""
+
     def above(path: str) -> list[str]:
         parts = path.split(".")
         return [".".join(parts[:i]) for i in range(1, len(parts) + 1)]
 
-    tables = sorted({p for c in wanted for p in above(c) if p.split(".")[-1] in got.plan.tables})
-    if not tables:
-        t = got.table(ROOT)
-        return t.select("doc_id", *[(F.col(f"`{c}`") if c in t.columns else F.lit(None).cast("string")).alias(c) for c in wanted])
-    is_root = F.col("parent_element").isNull()
-    path = F.when(is_root, F.lit("")).otherwise(F.array_join(F.concat(F.transform("ancestors", lambda x: x["element"]), F.array("element")), "."))
-    rows = got.rows.withColumn("path", path).filter(F.col("path").isin("", *tables))
+    elements = {p for c in wanted for p in c.split(".")}
+    rows = inlined_episodes(raw, {ROOT, *elements}, wanted).rows
     values = []
     for c in wanted:
         value = F.when(F.col("path") == c, F.col("value")).when(F.col("path") == "", F.col("attributes")[c])
         for p in above(c)[:-1]:
             value = value.when(F.col("path") == p, F.col("attributes")[c.removeprefix(f"{p}.")])
         values.append(F.min_by(value, F.when(value.isNotNull(), F.col("row_id"))).alias(c))
-    return rows.groupBy("doc_id").agg(*values)
+    return rows.filter("path is not null").groupBy("doc_id").agg(*values)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,13 +72,13 @@ def episode_rows(raw: DataFrame) -> DataFrame:
         "intent.extracted_intent": "extracted_intent", "intent.task_type": "task_type", "outcome.status": "status",
         "outcome.tests_after.passed": "tests_after_passed", "utility.retrieval_count": "retrieval_count",
     }
-    t = root_columns(inlined_episodes(raw), list(want))
+    t = root_columns(raw, list(want))
     return t.select(F.col("doc_id").alias("raw_id"), *[F.col(f"`{c}`").alias(a) for c, a in want.items()])
 
 
 def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors with the number of attempts that hang below each, joined over the foreign key."""
-    got = inlined_episodes(table(spark, sf_dir, "raw_episodes"))
+    got = inlined_episodes(table(spark, sf_dir, "raw_episodes"), ["errors_encountered", "attempts"]).written()
     errors, attempts = got.table("errors_encountered"), got.table("attempts")
     column = lambda c: F.col(c) if c in errors.columns else F.lit(None).cast("string")
     n = attempts.groupBy("doc_id", F.col("parent_row_id").alias("row_id")).agg(F.count(F.lit(1)).alias("n_attempts"))

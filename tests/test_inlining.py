@@ -69,3 +69,59 @@ def test_one_odd_payload_moves_no_children(spark):
         raw = spark.createDataFrame([(1, json.dumps(normal)), (2, json.dumps(o))], "raw_id bigint, payload string")
         assert sorted(tuple(r) for r in found(raw).collect()) == sorted(own | {(2, "domain", -1, 0)} | m)
         assert sorted((r.raw_id, r.episode_id, r.extracted_intent) for r in episode_rows(raw).collect()) == [(1, "a", "x"), (2, "b", "y")]
+
+
+def test_any_depth(spark):
+    from lumora.operators.inlining import _deep, _dumps
+
+    n = 20_000
+    deep = '{"intent": {"domain": ["a"]}, "x": ' + '{"part": ' * n + "1" + "}" * n + ', "y": ' + "[" * n + "2" + "]" * n + "}"
+    cut = deep[:-1]
+    assert found(spark, deep, cut) == [(0, "domain", -1, 0)]
+    raw = spark.createDataFrame([(1, deep)], "raw_id bigint, payload string")
+    rows = inline(raw, "raw_id", "payload", nested.EPISODE_KEYS, nested.CHILDREN).rows
+    assert rows.filter("element = 'part'").count() == n and rows.agg({"depth": "max"}).first()[0] == n
+    assert _dumps(_deep("[" * n + "2" + "]" * n)) == "[" * n + "2" + "]" * n
+    long = '{"intent": {"domain": ["a"], "n": ' + "9" * 5000 + "}}"
+    assert found(spark, long) == [(0, "domain", -1, 0)]
+
+
+def test_the_deep_reader_reads_as_json_does():
+    from lumora.operators.inlining import _deep
+
+    rng = random.Random(8)
+
+    def value(depth):
+        kind = rng.randrange(8 if depth else 6)
+        if kind < 6:
+            return [None, True, -1.5e-7, 10**20, 'q"\\\n€😀', ""][kind]
+        return [value(depth - 1) for _ in range(rng.randrange(4))] if kind == 6 else {f"k{i} \t": value(depth - 1) for i in range(rng.randrange(4))}
+
+    for _ in range(300):
+        text = json.dumps(value(5), indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        assert _deep(text) == json.loads(text)
+        broken = text[: rng.randrange(len(text))] + rng.choice(["", "]", ",", "}", ":", '"', "1"]) + text[rng.randrange(len(text)) :]
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            want = "unreadable"
+        try:
+            got = _deep(broken)
+        except ValueError:
+            got = "unreadable"
+        assert got == want
+
+
+def test_labels_of_any_length(spark):
+    last = 2**63 - 1
+    labels = {"0" * 30 + "2": "a", str(last): "z", "7": "b"}
+    assert found(spark, json.dumps({"intent": {"domain": labels}})) == [(0, "domain", -1, 2), (0, "domain", -1, 7), (0, "domain", -1, last)]
+    beyond = {"1" * 25: "y", "9" * 6000: "z", "7": "b"}
+    assert found(spark, json.dumps({"intent": {"domain": beyond}})) == [(0, "domain", -1, 7), (0, "domain", -1, last - 1), (0, "domain", -1, last)]
+
+
+def test_tables_written_apart(spark):
+    raw = spark.createDataFrame([(7, json.dumps(FULL)), (8, None)], "raw_id bigint, payload string")
+    got = inline(raw, "raw_id", "payload", nested.EPISODE_KEYS, nested.CHILDREN, ["errors_encountered", "attempts"]).written()
+    assert {r.element for r in got.rows.collect()} == {"errors_encountered", "attempts"}
+    assert {a.parent_row_id for a in got.table("attempts").collect()} == {e.row_id for e in got.table("errors_encountered").collect()}
