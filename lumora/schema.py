@@ -29,9 +29,10 @@ AS_OF = "2025-06-30 00:00:00"
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One slim row for each id: identical copies united, counters made consistent, null lists and entries dropped.
 
+    The flat columns are taken before the copies are united, so that only those a query uses are read and shuffled.
     helpful never exceeds retrievals, so that a utility is always a number; lists keep their order and repeats.
     """
-    e = table(spark, sf_dir, "episodes").filter(F.col("id").isNotNull()).dropDuplicates(["id"])
+    e = table(spark, sf_dir, "episodes").filter(F.col("id").isNotNull())
     n = F.greatest(F.coalesce("utility.retrieval_count", F.lit(0)), F.lit(0))
     entries = lambda c: F.coalesce(F.array_compact(c), F.array().cast("array<string>"))
     return e.select(
@@ -44,7 +45,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("outcome.status", F.lit("partial")).alias("status"), F.col("utility.score").alias("learned"),
         n.alias("retrievals"), F.least(F.greatest(F.coalesce("utility.helpful_count", F.lit(0)), F.lit(0)), n).alias("helpful"),
         F.array_max(F.col("retrieval_history.timestamp")).cast("timestamp").alias("last_retrieval"),
-    )
+    ).dropDuplicates(["id"])
 
 
 #: The same view for the SQL checks.
