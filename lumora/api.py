@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lumora.functions import render
 from lumora.functions.utility import combined, confidence, share, wilson
 from lumora.operators import duplicates, propagation, retrieval, store
+from lumora.session import cut
 from lumora.sources.files import Settings
 
 
@@ -65,9 +66,20 @@ class Memory:
         return picks.join(top.drop("hit_rank"), ["query_id", "id"]).withColumn("confidence", confidence(F.col("retrievals")))
 
     def retrieve_by_vector(self, queries: DataFrame, vectors: DataFrame, limit: int | None = None, project: str | None = None, dims: int = 384) -> DataFrame:
-        """Varied hits of each (query_id, vector), by similarity and utility; ``vectors``: (id, vector)."""
+        """Varied hits of each (query_id, vector), by similarity and utility; ``vectors``: (id, vector).
+
+        Only vectors of the project's episodes are searched, so a small project gets its hits as well as a large one.
+        """
+        if project:
+            vectors = vectors.join(self._of(project, "contains").select("id"), "id", "left_semi")
         return self._chosen(retrieval.vector_hits(queries, vectors, 2 * (limit or self.settings.default_limit), dims), limit, project)
 
+    def retrieve(self, queries: DataFrame, vectors: DataFrame, limit: int | None = None, project: str | None = None, dims: int = 384) -> DataFrame:
+        """Hits of each (query_id, text, vector): by its vector, and by its words where the vector finds nothing."""
+        near = cut(self.retrieve_by_vector(queries.select("query_id", "vector"), vectors, limit, project, dims))
+        left = queries.select("query_id", "text").join(near.select("query_id").distinct(), "query_id", "left_anti")
+        return near.unionByName(self.retrieve_by_text(left, limit, project))
+
     def retrieve_by_text(self, queries: DataFrame, limit: int | None = None, project: str | None = None) -> DataFrame:
         """The same by the words of (query_id, text)."""
         text = F.concat_ws(" ", F.col("raw_prompt"), F.col("intent"), F.array_join("tags", " "), F.array_join("files", " "))
@@ -79,13 +91,8 @@ class Memory:
 
         A verdict that is null is mixed and only counts as given; ids may be shortened.
         """
-        given = verdicts.select(F.col("id").alias("key"), "helpful")
-        names = store.resolve_prefixes(given.select("key").distinct(), self.episodes)
-        n = given.join(names, "key").groupBy("id").agg(F.count_if("helpful").alias("plus"))
-        e = self.episodes.join(n, "id", "left")
-        helpful = F.least(F.col("helpful") + F.coalesce("plus", F.lit(0)), F.col("retrievals"))
-        learned = F.when(F.col("plus").isNotNull(), wilson(helpful, F.col("retrievals"))).otherwise(F.col("learned"))
-        return e.withColumns({"learned": learned, "helpful": helpful}).select(*self.episodes.columns)
+        given = verdicts.select(F.col("id").alias("key"), "helpful", F.lit(0).alias("seq"))
+        return store.with_feedback(self.episodes, given).drop("last_helpful")
 
     def retrieved(self, log: DataFrame) -> DataFrame:
         """A snapshot after the retrievals (episode_id, ts): counters and last retrieval brought forward."""

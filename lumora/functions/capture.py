@@ -119,6 +119,52 @@ def named(c: Column, names: dict[str, str], default: str | None) -> Column:
     return F.coalesce(*[F.when(low.isin(*aliases), F.lit(name)) for name, aliases in groups.items()], F.lit(default))
 
 
+def strict(c: Column, names: list[str], default: str) -> Column:
+    """The name as it stands if it is one of ``names``, letter for letter."""
+    return F.when(c.isin(*names), c).otherwise(F.lit(default))
+
+
+def episode_of(text: Column, files: Column) -> dict[str, Column]:
+    """The columns of an episode that a transcript gives, with the files its work tree showed as modified."""
+    prompt = first_prompt(text)
+    return {
+        "raw_prompt": prompt, "intent": simple_intent(prompt), "task_type": task_type(prompt), "tags": domain_tags(prompt, files), "files_read": file_reads(text),
+        "files": files, "tools": tool_calls(text), "errors": errors(text), "status": outcome(text),
+    }
+
+
+def _strings(answer: Column, path: str) -> Column:
+    """The strings of a list in an answer; other entries are dropped, anything but a list is an empty one."""
+    entries = F.try_variant_get(answer, path, "array<variant>")
+    texts = F.transform(F.filter(entries, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.variant_get(x, "$", "string"))
+    return F.coalesce(texts, F.array().cast("array<string>"))
+
+
+def _string(answer: Column, path: str) -> Column:
+    """A text in an answer, null for anything else."""
+    found = F.try_variant_get(answer, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.variant_get(found, "$", "string"))
+
+
+def answer_fields(json: Column, summary: str = "$.summary", kind: str = "$.task_type", tags: str = "$.tags", entities: str = "$.entities", complexity: str = "$.complexity") -> dict[str, Column]:
+    """The fields of a model's answer, with a default for each that is missing or of another kind; complexity is one byte."""
+    a = F.try_parse_json(json)
+    n = F.try_variant_get(a, complexity, "variant")
+    whole = F.when(F.schema_of_variant(n) == "BIGINT", F.try_variant_get(a, complexity, "bigint"))
+    return {
+        "summary": F.coalesce(_string(a, summary), F.lit("")), "task_type": named(F.coalesce(_string(a, kind), F.lit("unknown")), TASK_NAMES, "unknown"),
+        "tags": _strings(a, tags), "entities": _strings(a, entities), "complexity": F.coalesce(F.when(whole >= 0, whole % 256), F.lit(3)).cast("int"),
+    }
+
+
+def error_arguments(json: Column, path: str = "$.errors_resolved", message: str = "$.error", resolution: str = "$.resolution") -> Column:
+    """Errors named in the arguments of a capture: entries without a text for the error are dropped, resolved are those with a resolution."""
+    entries = F.filter(F.try_variant_get(F.try_parse_json(json), path, "array<variant>"), lambda x: _string(x, message).isNotNull())
+    made = F.transform(entries, lambda x: F.struct(F.lit("runtime").alias("error_type"), _string(x, message).alias("message"), _string(x, resolution).isNotNull().alias("resolved"), _string(x, resolution).alias("resolution")))
+    return F.coalesce(made, F.array().cast("array<struct<error_type: string, message: string, resolved: boolean, resolution: string>>"))
+
+
 def shortened_session(text: Column, most: int = 10_000, head: int = 5_000, tail: int = 4_000) -> Column:
     """A long transcript as its beginning and its end, as it is handed to a model."""
+    # measured in bytes, cut by characters, so that no character is cut in two
     return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit("\n\n[...truncated...]\n\n"), F.right(text, F.lit(tail))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumora.functions.utility import confidence
+from lumora.functions.utility import confidence, wilson
 from lumora.operators.store import icon
 
 
@@ -51,6 +51,28 @@ def embedding_text() -> Column:
     )
 
 
+def server_hit(rank: Column, similarity: Column, utility: Column, most_errors: int = 2) -> Column:
+    """A hit as an entry of a list of results, with up to ``most_errors`` resolved errors and how they were resolved."""
+    title = F.when(F.col("intent") != "", F.col("intent")).otherwise(F.col("raw_prompt"))
+    percent = lambda c: F.round(c * 100).cast("int").cast("string")
+    line = lambda label, c: F.concat(F.lit(f"   - {label}: "), c)
+    solved = F.transform(F.slice(F.filter("errors", lambda e: e["resolved"]), 1, most_errors), lambda e: F.concat_ws("\n", F.concat(F.lit("     - "), F.coalesce(e["message"], F.lit(""))), F.concat(F.lit("       Resolution: "), e["resolution"])))
+    relevance = F.concat(percent(similarity), F.lit("% similarity, "), percent(utility), F.lit("% utility ("), confidence(F.col("retrievals")), F.lit(", "), F.col("retrievals").cast("string"), F.lit(" retrievals)"))
+    return F.concat_ws(
+        "\n", F.concat(rank.cast("string"), F.lit(". **"), title, F.lit("**")), line("ID", F.left("id", F.lit(8))), line("Project", F.coalesce("project", F.lit(""))), line("Type", F.col("task_type")),
+        line("Outcome", status_label(F.col("status"))), line("Relevance", relevance), F.when(F.size("files") > 0, line("Files", F.array_join("files", ", "))),
+        F.when(F.size("tags") > 0, line("Tags", F.array_join("tags", ", "))), F.when(F.size(solved) > 0, F.concat(F.lit("   - Errors resolved:\n"), F.array_join(solved, "\n"))),
+    )
+
+
+def index_metadata() -> dict[str, Column]:
+    """What an index holds beside the vector of a slim episode row."""
+    return {
+        "episode_id": F.col("id"), "project": F.col("project"), "task_type": F.col("task_type"), "intent_text": embedding_text(), "timestamp": F.unix_seconds("started"),
+        "utility_score": wilson(F.col("helpful"), F.col("retrievals")), "retrieval_count": F.col("retrievals"), "helpful_count": F.col("helpful"),
+    }
+
+
 def hit_text(rank: Column, similarity: Column, utility: Column, most_errors: int = 3) -> Column:
     """A hit as a section of a result: when, how relevant, and up to ``most_errors`` errors that were resolved."""
     title = F.when(F.col("intent") != "", F.col("intent")).otherwise(F.col("raw_prompt"))

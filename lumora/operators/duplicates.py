@@ -96,24 +96,41 @@ def clusters(e: DataFrame, least: float = 0.6) -> DataFrame:
     return members.join(sizes, "g").select("id", "cluster", "n_links")
 
 
+def _newest() -> Column:
+    return F.struct((-F.coalesce(F.unix_micros("ended"), F.lit(0))).alias("t"), F.col("id").alias("id"))
+
+
+def _placed(kind: str, c: Column) -> Column:
+    return F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("x"), i.alias("i")))
+
+
+def _entries(e: DataFrame, membership: DataFrame) -> DataFrame:
+    """(cluster, kind, x, p): each distinct entry of a cluster with its first place, by partial minima over the cluster's rows."""
+    messages = F.transform("errors", lambda x: F.coalesce(x["message"], F.lit("")))
+    entries = F.flatten(F.array(_placed("tags", F.col("tags")), _placed("files", F.col("files")), _placed("errors", messages)))
+    rows = e.join(membership.select("id", "cluster"), "id").select("cluster", _newest().alias("o"), F.explode(entries).alias("n"))
+    return rows.groupBy("cluster", "n.kind", "n.x").agg(F.min(F.struct("o", "n.i")).alias("p"))
+
+
+def consolidated_entries(e: DataFrame, membership: DataFrame) -> DataFrame:
+    """(cluster, kind, entry, from_id, pos): the united tags, files and error messages of each cluster as rows, of any number.
+
+    An entry comes from the newest episode that holds it (ties: the smaller id), at its first place there.
+    """
+    return _entries(e, membership).select("cluster", "kind", F.col("x").alias("entry"), F.col("p.o.id").alias("from_id"), F.col("p.i").alias("pos"))
+
+
 def consolidated(e: DataFrame, membership: DataFrame) -> DataFrame:
     """One row for each cluster: its newest episode, with the tags, files and error messages of all united.
 
     ``membership``: (id, cluster). The newest comes first, then the others from new to old; an entry keeps its first
-    place. Entries are united one by one over the cluster's rows with partial minima of their place, so what is gathered
-    for a cluster are its distinct entries and not its rows. The counter of the base stays, helpful is the largest.
+    place. This is the form for display: the lists of a cluster stand in one row, as an episode's do in its record;
+    ``consolidated_entries`` gives them as rows. The counter of the base stays, helpful is the largest.
     """
-    newest = F.struct((-F.coalesce(F.unix_micros("ended"), F.lit(0))).alias("t"), F.col("id").alias("id"))
-    rows = e.join(membership.select("id", "cluster"), "id").withColumn("o", newest)
+    rows = e.join(membership.select("id", "cluster"), "id").withColumn("o", _newest())
     base = rows.groupBy("cluster").agg(F.min("o").alias("first"), F.max("helpful").alias("helpful"), F.count(F.lit(1)).alias("n_members"))
-    kinds = {"tags": F.col("tags"), "files": F.col("files"), "errors": F.transform("errors", lambda x: F.coalesce(x["message"], F.lit("")))}
-
-    def placed(kind: str, c: Column) -> Column:
-        return F.transform(c, lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("x"), i.alias("i")))
-
-    entries = F.flatten(F.array(*[placed(k, c) for k, c in kinds.items()]))
-    single = rows.select("cluster", "o", F.explode(entries).alias("n")).groupBy("cluster", "n.kind", "n.x").agg(F.min(F.struct("o", "n.i")).alias("p"))
-    lists = single.groupBy("cluster").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("p", "x")))).alias(k) for k in kinds])
+    kinds = ("tags", "files", "errors")
+    lists = _entries(e, membership).groupBy("cluster").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("p", "x")))).alias(k) for k in kinds])
     merged = base.join(lists, "cluster", "left")
     kept = e.select(F.col("id").alias("base_id"), "retrievals", "intent")
     return merged.join(kept, F.col("first.id") == F.col("base_id")).select(
@@ -133,3 +150,30 @@ def same_work(new: DataFrame, e: DataFrame, least: int = 3) -> DataFrame:
     shared = n.join(s, ["p", "task_type", "tag"]).groupBy("new_id", "id", "started").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
     order = Window.partitionBy("new_id").orderBy(F.desc_nulls_last("started"), "id")
     return shared.withColumn("r", F.row_number().over(order)).filter("r = 1").select("new_id", "id", "shared")
+
+
+def merged_captures(stored: DataFrame, new: DataFrame, match: DataFrame) -> DataFrame:
+    """A snapshot of ``stored`` after the captures ``new`` came in: those in ``match`` refine an episode, others are added.
+
+    ``stored``: slim rows; ``new``: the same with ``new_id`` for id; ``match``: (new_id, id), a capture once. The newest
+    capture's text, task type, outcome and end hold. Tags and files are united, the stored ones first and then those of the
+    captures by their start; errors are appended, repeats too. Counters and the learned utility stay. A null start is the
+    earliest. The lists of one episode end in one row, as in the record itself.
+    """
+    own = stored.join(match.select("id").distinct(), "id", "left_semi")
+    hits = new.join(match.select("new_id", "id"), "new_id")
+    at = F.struct(F.lit(1).alias("late"), F.coalesce(F.unix_micros("started"), F.lit(-(1 << 62))).alias("t"), F.col("new_id").alias("n"))
+    last = hits.groupBy("id").agg(F.max_by(F.struct("raw_prompt", "intent", "task_type", "status", "ended"), at).alias("last"))
+    before = F.struct(F.lit(0).alias("late"), F.lit(0).cast("bigint").alias("t"), F.lit("").alias("n"))
+    lists = ("tags", "files", "errors")
+    rows = own.select("id", *lists, before.alias("o")).unionByName(hits.select("id", *lists, at.alias("o")))
+    named = F.flatten(F.array(_placed("tags", F.col("tags")), _placed("files", F.col("files"))))
+    single = rows.select("id", "o", F.explode(named).alias("e")).groupBy("id", "e.kind", "e.x").agg(F.min(F.struct("o", "e.i")).alias("p"))
+    united = single.groupBy("id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("p", "x")))).alias(f"{k}_") for k in ("tags", "files")])
+    errors = rows.select("id", "o", F.posexplode("errors").alias("i", "x")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("o", "i", "x"))).alias("errors_"))
+    joined = stored.join(last, "id", "left").join(united, "id", "left").join(errors, "id", "left")
+    found = F.col("last").isNotNull()
+    taken = {c: F.when(found, F.col(f"last.{c}")).otherwise(F.col(c)) for c in ("raw_prompt", "intent", "task_type", "status", "ended")}
+    taken |= {c: F.when(found & F.col(f"{c}_").isNotNull(), F.col(f"{c}_.x")).otherwise(F.col(c)) for c in lists}
+    after = joined.select(*[taken[c].alias(c) if c in taken else F.col(c) for c in stored.columns])
+    return after.unionByName(new.join(match.select("new_id"), "new_id", "left_anti").withColumnRenamed("new_id", "id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +29,8 @@ def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float) -> Dat
 
     ``queries``: (query_id, text), a stated set that meets all rows of ``texts``: (id, text). A word of the query counts
     if it is part of the text anywhere: m of q words, over q + n - m, n the words of the text, no word united with its
-    repeats. Null and blank queries find nothing. The queries are broadcast in blocks of QUERY_BLOCK; each distinct word
-    of a block is looked for once in a text, and a product with the block's table of words gives m for all its queries.
+    repeats. Null and blank queries find nothing. The queries are broadcast in blocks of QUERY_BLOCK; an automaton finds all
+    words of a block in one pass over a text, and a product with the block's table of words gives m for all its queries.
     Each task keeps the best ``k`` of every batch, and only those are shuffled.
     """
     spark, kind, item = queries.sparkSession, dict(queries.dtypes)["query_id"], dict(texts.dtypes)["id"]
@@ -50,9 +51,15 @@ def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float) -> Dat
         def search(batches, shared=shared):
             names, vocabulary, held = shared.value
             nq = held.sum(axis=0)
-            for batch in batches:
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(vocabulary):
+                automaton.add_word(w, i)
+            automaton.make_automaton()
+            for batch in batches if vocabulary else ():
                 for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                    flags = np.array([[w in x for w in vocabulary] for x in part.column(1).to_pylist()], np.float32).reshape(part.num_rows, -1)
+                    flags = np.zeros((part.num_rows, len(vocabulary)), np.float32)
+                    for i, x in enumerate(part.column(1).to_pylist()):
+                        flags[i, list({w for _, w in automaton.iter(x)})] = 1
                     m = (flags @ held).T.astype(np.float64)
                     sims = m / (nq[:, None] + part.column(2).to_numpy(zero_copy_only=False)[None, :] - m)
                     rows, cols = np.nonzero((m > 0) & (sims >= least))

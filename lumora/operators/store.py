@@ -88,6 +88,15 @@ def upserted(e: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return deleted(e, rows, key).unionByName(rows)
 
 
-def merged_lists(lists: Column) -> Column:
-    """The union of several lists in their order, without repeats."""
-    return F.array_distinct(F.flatten(lists))
+def with_feedback(e: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """A snapshot after (key, helpful, seq), with the flag of the last retrieval in ``last_helpful`` (null: mixed or none given).
+
+    Keys may be shortened ids. helpful is counted up to the retrievals, the learned utility becomes what the counters say,
+    and of several verdicts on an episode the one with the highest ``seq`` stays on its last retrieval.
+    """
+    names = resolve_prefixes(verdicts.select("key").distinct(), e)
+    n = verdicts.join(names, "key").groupBy("id").agg(F.count_if("helpful").alias("plus"), F.max_by("helpful", "seq").alias("last_helpful"))
+    joined = e.join(n, "id", "left")
+    helpful = F.least(F.col("helpful") + F.coalesce("plus", F.lit(0)), F.col("retrievals"))
+    learned = F.when(F.col("plus").isNotNull(), wilson(helpful, F.col("retrievals"))).otherwise(F.col("learned"))
+    return joined.withColumns({"learned": learned, "helpful": helpful}).select(*e.columns, "last_helpful")

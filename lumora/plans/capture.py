@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions import capture, render
 from lumora.functions.utility import WILSON_SQL, wilson
 from lumora.plans.check import Registry
 from lumora.schema import episodes
+from lumora.sources.files import diff_name
 from lumora.tables import table
 
 registered = Registry()
@@ -99,12 +102,12 @@ _LIST = "'{0}: ' || array_to_string({1}, ', ')"
 _MESSAGES, _RESOLUTIONS = "list_transform(errors, lambda e: coalesce(e.message, ''))", "list_filter(list_transform(errors, lambda e: e.resolution), lambda r: r IS NOT NULL)"
 
 
-@registered(
-    f"""SELECT id, concat_ws(' | ', nullif(raw_prompt, ''), nullif(intent, ''), 'task type: ' || task_type, CASE WHEN len(tags) > 0 THEN {_LIST.format('tags', 'tags')} END,
+EMBEDDED_SQL = f"""concat_ws(' | ', nullif(raw_prompt, ''), nullif(intent, ''), 'task type: ' || task_type, CASE WHEN len(tags) > 0 THEN {_LIST.format('tags', 'tags')} END,
   CASE WHEN len(files) > 0 THEN {_LIST.format('files', 'files')} END, CASE WHEN len(tools) > 0 THEN {_LIST.format('tools', 'tools')} END, CASE WHEN len(errors) > 0 THEN {_LIST.format('errors', _MESSAGES)} END,
-  CASE WHEN len({_RESOLUTIONS}) > 0 THEN {_LIST.format('resolutions', _RESOLUTIONS)} END, 'outcome: ' || {_ICON}) AS text FROM ep""",
-    episodes=True,
-)
+  CASE WHEN len({_RESOLUTIONS}) > 0 THEN {_LIST.format('resolutions', _RESOLUTIONS)} END, 'outcome: ' || {_ICON})"""
+
+
+@registered(f"SELECT id, {EMBEDDED_SQL} AS text FROM ep", episodes=True)
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return episodes(spark, d).select("id", render.embedding_text().alias("text"))
 
@@ -143,7 +146,93 @@ def llm_json_parse(spark: SparkSession, d: str) -> DataFrame:
     return p.select("raw_id", j.isNotNull().alias("valid"), F.coalesce(F.get_json_object("payload", "$.intent.task_type"), F.lit("unknown")).alias("task_type"))
 
 
-@registered()
+_SEEN_SQL = "CASE WHEN json_valid(payload) THEN payload ELSE '{}' END"
+
+
+def _text_sql(path: str) -> str:
+    return f"CASE WHEN json_type({_SEEN_SQL}, '{path}') = 'VARCHAR' THEN json_extract_string({_SEEN_SQL}, '{path}') END"
+
+
+@registered(
+    f"""SELECT raw_id, coalesce({_text_sql('$.intent.extracted_intent')}, '') AS summary, {_named_sql(capture.TASK_NAMES, f"coalesce({_text_sql('$.intent.task_type')}, 'unknown')", _q('unknown'))} AS task_type,
+  CASE WHEN json_type({_SEEN_SQL}, '$.intent.domain') = 'ARRAY' THEN coalesce(array_to_string(list_transform(list_filter(json_extract({_SEEN_SQL}, '$.intent.domain[*]'), lambda x: json_type(x) = 'VARCHAR'), lambda x: json_extract_string(x, '$')), '|'), '') ELSE '' END AS tags,
+  '' AS entities, CASE WHEN json_type({_SEEN_SQL}, '$.utility.retrieval_count') IN ('UBIGINT', 'BIGINT') AND json_extract({_SEEN_SQL}, '$.utility.retrieval_count')::BIGINT >= 0 THEN json_extract({_SEEN_SQL}, '$.utility.retrieval_count')::BIGINT % 256 ELSE 3 END::INT AS complexity
+FROM raw_episodes WHERE payload IS NOT NULL"""
+)
+def answer_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of a model's answer with their defaults, read from the captures' JSON under the names it uses."""
+    fields = capture.answer_fields(F.col("payload"), "$.intent.extracted_intent", "$.intent.task_type", "$.intent.domain", "$.intent.entities", "$.utility.retrieval_count")
+    got = table(spark, d, "raw_episodes").filter("payload is not null").select("raw_id", *[c.alias(n) for n, c in fields.items()])
+    return got.withColumns({"tags": F.array_join("tags", "|"), "entities": F.array_join("entities", "|")})
+
+
+@registered(
+    f"""WITH e AS (SELECT raw_id, CASE WHEN json_type({_SEEN_SQL}, '$.context.errors_encountered') = 'ARRAY' THEN json_extract({_SEEN_SQL}, '$.context.errors_encountered[*]') END AS es FROM raw_episodes WHERE payload IS NOT NULL),
+x AS (SELECT raw_id, unnest(es) AS x FROM e)
+SELECT raw_id, 'runtime' AS error_type, json_extract_string(x, '$.message') AS message, coalesce(json_type(x, '$.resolution') = 'VARCHAR', false) AS resolved,
+  CASE WHEN json_type(x, '$.resolution') = 'VARCHAR' THEN json_extract_string(x, '$.resolution') END AS resolution, count(*) AS n
+FROM x WHERE json_type(x, '$.message') = 'VARCHAR' GROUP BY ALL"""
+)
+def error_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """Errors as a capture's arguments name them."""
+    e = capture.error_arguments(F.col("payload"), "$.context.errors_encountered", "$.message", "$.resolution")
+    got = table(spark, d, "raw_episodes").filter("payload is not null").select("raw_id", F.explode(e).alias("e")).select("raw_id", "e.*")
+    return got.groupBy("raw_id", "error_type", "message", "resolved", "resolution").agg(F.count(F.lit(1)).alias("n"))
+
+
+@registered(
+    f"""SELECT task_type, status, CASE WHEN task_type IN ({', '.join(_q(t) for t in dict.fromkeys(capture.TASK_NAMES.values()))}) THEN task_type ELSE 'unknown' END AS task,
+  CASE WHEN status IN ({', '.join(_q(t) for t in dict.fromkeys(capture.OUTCOME_NAMES.values()))}) THEN status ELSE 'partial' END AS outcome, count(*) AS n FROM ep GROUP BY ALL""",
+    episodes=True,
+)
+def strict_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Types and outcomes that count only as they are written, letter for letter."""
+    task = capture.strict(F.col("task_type"), list(dict.fromkeys(capture.TASK_NAMES.values())), "unknown")
+    outcome = capture.strict(F.col("status"), list(dict.fromkeys(capture.OUTCOME_NAMES.values())), "partial")
+    return episodes(spark, d).select("task_type", "status", task.alias("task"), outcome.alias("outcome")).groupBy("task_type", "status", "task", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _prompt_sql() -> str:
+    return f"coalesce({', '.join(f'nullif(trim(regexp_extract(text, {_q(p)}, 1)), {_q('')})' for p in _PROMPTS)}, list_filter(string_split_regex(text, '\\r?\\n'), lambda x: trim(x) <> '')[1], '')"
+
+
+@registered(
+    f"""WITH t AS (SELECT doc_id, text, project, captured_at, {_prompt_sql()} AS prompt FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, string_split(prompt, '.')[1] AS f, list_sort(list_distinct(list_filter([{', '.join(f"CASE WHEN contains(lower(prompt || ' '), {_q(w)}) THEN {_q(t)} END" for w, t in capture.TAG_WORDS)}], lambda x: x IS NOT NULL))) AS tags FROM t)
+SELECT doc_id, project, strftime(captured_at, '%Y-%m-%d') AS day, md5(prompt) AS prompt_digest, md5(CASE WHEN strlen(f) <= 100 THEN trim(f) ELSE trim(left(f, 97)) || '...' END) AS intent_digest, {_first_of(capture.TASK_WORDS, 'lower(prompt)')} AS task_type, array_to_string(tags, ',') AS tags,
+  len(list_distinct({_all_sql(capture.READ_PATTERNS, 1)})) AS n_files_read, len(list_distinct(list_transform({_all_sql(capture.TOOL_PATTERNS, 0)}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')))) AS n_tools,
+  len({_all_sql([p.replace('(.+?)', '([^' + chr(92) + 'n' + chr(92) + 'r]+?)') for p in capture.ERROR_PATTERNS], 1)}) AS n_errors,
+  CASE WHEN {_signs(capture.SUCCESS_WORDS)} > {_signs(capture.FAILURE_WORDS)} THEN 'success' WHEN {_signs(capture.FAILURE_WORDS)} > {_signs(capture.SUCCESS_WORDS)} THEN 'failure' ELSE 'partial' END AS status
+FROM f"""
+)
+def capture_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Each document captured as an episode: prompt, intent, type, tags, files, tools, errors and outcome together."""
+    t = table(spark, d, "documents").filter("text is not null")
+    e = t.select("doc_id", "project", F.date_format("captured_at", "yyyy-MM-dd").alias("day"), *[c.alias(n) for n, c in capture.episode_of(F.col("text"), F.array().cast("array<string>")).items()])
+    return e.select(
+        "doc_id", "project", "day", F.md5("raw_prompt").alias("prompt_digest"), F.md5("intent").alias("intent_digest"), "task_type", F.array_join("tags", ",").alias("tags"),
+        F.size("files_read").alias("n_files_read"), F.size("tools").alias("n_tools"), F.size("errors").alias("n_errors"), "status",
+    )
+
+
+@registered("SELECT doc_id, CASE WHEN strlen(text) <= 10000 THEN text ELSE left(text, 5000) || chr(10) || chr(10) || '[...truncated...]' || chr(10) || chr(10) || right(text, 4000) END AS sent FROM documents WHERE text IS NOT NULL")
+def session_for_model(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts as they would be handed to a model, long ones shortened in the middle."""
+    return _texts(spark, d).select("doc_id", capture.shortened_session(F.col("text")).alias("sent"))
+
+
+@registered("SELECT strftime(started, '%Y-%m-%d') AS date, id, 'session-' || left(id, 8) || '.diff' AS name FROM ep", episodes=True)
+def diff_names(spark: SparkSession, d: str) -> DataFrame:
+    """Where the diff of each episode is kept: by date of start, under a short id."""
+    return episodes(spark, d).select(F.date_format("started", "yyyy-MM-dd").alias("date"), "id", diff_name(F.col("id")).alias("name"))
+
+
+@registered(
+    f"""AND s AS (SELECT search_id, id, max(similarity_score::DOUBLE) AS similarity FROM search_results WHERE similarity_score >= 0.3 GROUP BY ALL),
+scored AS (SELECT s.search_id, ep.id, (1 - 0.7::DOUBLE) * similarity + 0.7::DOUBLE * {WILSON_SQL} AS score FROM s JOIN ep ON s.id = ep.id)
+SELECT search_id, row_number() OVER (PARTITION BY search_id ORDER BY round(score, 9) DESC, id) AS hit_rank, '{{"id":"' || id || '","score":' || round(score, 6) || '}}' AS json FROM scored QUALIFY hit_rank <= 3""",
+    episodes=True,
+)
 def result_json(spark: SparkSession, d: str) -> DataFrame:
     """Scored hits as JSON lines."""
     from lumora.plans.search import retrieve_scored
@@ -155,6 +244,24 @@ def result_json(spark: SparkSession, d: str) -> DataFrame:
 _RESOLVED = "list_transform(list_filter(errors, lambda e: e.resolved), lambda e: '  - ' || coalesce(e.message, ''))[1:3]"
 
 
+_SOLVED = "list_transform(list_filter(errors, lambda e: e.resolved)[1:2], lambda e: concat_ws(chr(10), '     - ' || coalesce(e.message, ''), '       Resolution: ' || e.resolution))"
+_HITS = f"""s AS (SELECT search_id, id, max(similarity_score::DOUBLE) AS similarity FROM search_results WHERE similarity_score >= 0.3 GROUP BY ALL),
+r AS (SELECT s.search_id, s.similarity, {WILSON_SQL} AS w, ep.*, row_number() OVER (PARTITION BY search_id ORDER BY round((1 - 0.7::DOUBLE) * similarity + 0.7::DOUBLE * {WILSON_SQL}, 9) DESC, ep.id) AS n FROM s JOIN ep ON s.id = ep.id)"""
+
+
+@registered(
+    f"""AND {_HITS}
+SELECT search_id, n AS hit_rank, concat_ws(chr(10), n || '. **' || CASE WHEN intent <> '' THEN intent ELSE raw_prompt END || '**', '   - ID: ' || left(id, 8), '   - Project: ' || coalesce(project, ''), '   - Type: ' || task_type, '   - Outcome: ' || {_ICON},
+  '   - Relevance: ' || round(similarity * 100)::INT || '% similarity, ' || round(w * 100)::INT || '% utility (' || CASE WHEN retrievals = 0 THEN 'untested' WHEN retrievals <= 2 THEN 'low confidence' WHEN retrievals <= 5 THEN 'moderate confidence' ELSE 'high confidence' END || ', ' || retrievals || ' retrievals)',
+  CASE WHEN len(files) > 0 THEN '   - Files: ' || array_to_string(files, ', ') END, CASE WHEN len(tags) > 0 THEN '   - Tags: ' || array_to_string(tags, ', ') END,
+  CASE WHEN len({_SOLVED}) > 0 THEN '   - Errors resolved:' || chr(10) || array_to_string({_SOLVED}, chr(10)) END) AS text FROM r WHERE n <= 3""",
+    episodes=True,
+)
+def result_text(spark: SparkSession, d: str) -> DataFrame:
+    """The three best hits of each search as a list, with the resolutions of two errors."""
+    return _shown(spark, d, render.server_hit)
+
+
 @registered(
     f"""AND s AS (SELECT search_id, id, max(similarity_score::DOUBLE) AS similarity FROM search_results WHERE similarity_score >= 0.3 GROUP BY ALL),
 r AS (SELECT s.search_id, s.similarity, {WILSON_SQL} AS w, ep.*, row_number() OVER (PARTITION BY search_id ORDER BY round((1 - 0.7::DOUBLE) * similarity + 0.7::DOUBLE * {WILSON_SQL}, 9) DESC, ep.id) AS n FROM s JOIN ep ON s.id = ep.id)
@@ -169,8 +276,12 @@ SELECT search_id, n AS hit_rank, concat_ws('
 )
 def result_markdown(spark: SparkSession, d: str) -> DataFrame:
     """The three best hits of each search as text."""
+    return _shown(spark, d, render.hit_text)
+
+
+def _shown(spark: SparkSession, d: str, form: Callable[..., Column]) -> DataFrame:
     from lumora.plans.search import retrieve_scored
 
     hits = table(spark, d, "search_results").filter("similarity_score >= 0.3").groupBy("search_id", "id").agg(F.max(F.col("similarity_score").cast("double")).alias("similarity"))
     top = retrieve_scored(spark, d).select("search_id", "id", "hit_rank").join(hits, ["search_id", "id"]).join(episodes(spark, d), "id")
-    return top.select("search_id", "hit_rank", render.hit_text(F.col("hit_rank"), F.col("similarity"), wilson(F.col("helpful"), F.col("retrievals"))).alias("text"))
+    return top.select("search_id", "hit_rank", form(F.col("hit_rank"), F.col("similarity"), wilson(F.col("helpful"), F.col("retrievals"))).alias("text"))

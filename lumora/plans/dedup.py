@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumora.functions import render
 from lumora.functions.utility import WILSON_SQL, whole_days, wilson
 from lumora.operators import duplicates, store
 from lumora.operators.inlining import ROOT
+from lumora.plans.capture import EMBEDDED_SQL
 from lumora.plans.check import Registry
 from lumora.plans.learning import edges, near_episodes, near_sql
 from lumora.plans.nested import inlined_episodes
@@ -107,6 +109,15 @@ def consolidate_knn(spark: SparkSession, d: str) -> DataFrame:
     return _consolidated(spark, d, clusters_knn(spark, d))
 
 
+@registered(f"""WITH RECURSIVE __EP__, {_COMPONENTS}, rows_ AS (SELECT ep.*, cluster FROM ep JOIN labels USING (id)),
+x AS (SELECT cluster, id, ended, 'tags' AS kind, unnest(tags) AS entry, generate_subscripts(tags, 1) - 1 AS pos FROM rows_ UNION ALL SELECT cluster, id, ended, 'files', unnest(files), generate_subscripts(files, 1) - 1 FROM rows_
+  UNION ALL SELECT cluster, id, ended, 'errors', unnest(list_transform(errors, lambda e: coalesce(e.message, ''))), generate_subscripts(errors, 1) - 1 FROM rows_)
+SELECT cluster, kind, entry, id AS from_id, pos FROM x QUALIFY row_number() OVER (PARTITION BY cluster, kind, entry ORDER BY -coalesce(epoch_us(ended), 0), id, pos) = 1""")
+def consolidate_entries(spark: SparkSession, d: str) -> DataFrame:
+    """The united entries of each cluster as rows."""
+    return duplicates.consolidated_entries(episodes(spark, d), vector_clusters(spark, d))
+
+
 def _consolidated(spark: SparkSession, d: str, members: DataFrame) -> DataFrame:
     got = duplicates.consolidated(episodes(spark, d), members)
     return got.select("cluster", "base_id", "n_members", *[F.array_join(c, "|").alias(c) for c in ("tags", "files", "errors")], "retrievals", "helpful")
@@ -164,13 +175,47 @@ def _late(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @registered(
     """AND n AS (SELECT id AS new_id, lower(project) AS p, task_type, unnest(list_distinct(list_transform(tags, lambda t: lower(t)))) AS tag FROM ep WHERE started >= TIMESTAMP '2025-06-01'),
 s AS (SELECT id, started, lower(project) AS p, task_type, unnest(list_distinct(list_transform(tags, lambda t: lower(t)))) AS tag FROM ep WHERE started < TIMESTAMP '2025-06-01')
-SELECT new_id, id, shared FROM (SELECT new_id, id, started, count(*) AS shared FROM n JOIN s USING (p, task_type, tag) GROUP BY ALL HAVING count(*) >= 2) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY started DESC, id) = 1""",
+SELECT new_id, id, shared FROM (SELECT new_id, id, started, count(*) AS shared FROM n JOIN s USING (p, task_type, tag) GROUP BY ALL HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY started DESC, id) = 1""",
     episodes=True,
 )
 def tag_consolidate(spark: SparkSession, d: str) -> DataFrame:
-    """Captures of the last month and the stored episode that each would be merged into, by two common tags."""
+    """Captures of the last month and the stored episode that each would be merged into, by three common tags."""
     new, stored = _late(spark, d)
-    return duplicates.same_work(new, stored, least=2)
+    return duplicates.same_work(new, stored)
+
+
+_SHOWN_END = "coalesce(strftime(ended, '%Y-%m-%d %H:%M:%S'), 'none')"
+_MATCH = """nt AS (SELECT id AS new_id, lower(project) AS p, task_type, unnest(list_distinct(list_transform(tags, lambda t: lower(t)))) AS tag FROM ep WHERE started >= TIMESTAMP '2025-06-01'),
+st AS (SELECT id, started, lower(project) AS p, task_type, unnest(list_distinct(list_transform(tags, lambda t: lower(t)))) AS tag FROM ep WHERE started < TIMESTAMP '2025-06-01'),
+mt AS (SELECT new_id, id FROM (SELECT new_id, id, started, count(*) AS shared FROM nt JOIN st USING (p, task_type, tag) GROUP BY ALL HAVING count(*) >= 3) QUALIFY row_number() OVER (PARTITION BY new_id ORDER BY started DESC, id) = 1),
+hits AS (SELECT mt.id AS target, n.*, epoch_us(n.started) AS t FROM mt JOIN ep n ON n.id = mt.new_id),
+parts AS (SELECT id AS target, 0 AS late, 0 AS t, '' AS nid, tags, files, list_transform(errors, lambda e: coalesce(e.message, '')) AS errors FROM ep WHERE id IN (SELECT id FROM mt) UNION ALL SELECT target, 1, t, id, tags, files, list_transform(errors, lambda e: coalesce(e.message, '')) FROM hits)"""
+
+
+def _merged_sql(kind: str) -> str:
+    return f"m_{kind} AS (SELECT target, string_agg(x, '|' ORDER BY p) AS {kind} FROM (SELECT target, x, min((late, t, nid, i)) AS p FROM (SELECT target, late, t, nid, unnest({kind}) AS x, generate_subscripts({kind}, 1) AS i FROM parts) GROUP BY target, x) GROUP BY target)"
+
+
+@registered(
+    f"""AND {_MATCH}, {_merged_sql('tags')}, {_merged_sql('files')},
+m_errors AS (SELECT target, string_agg(x, '|' ORDER BY late, t, nid, i) AS errors FROM (SELECT target, late, t, nid, unnest(errors) AS x, generate_subscripts(errors, 1) AS i FROM parts) GROUP BY target),
+last AS (SELECT target, arg_max(intent, (t, id)) AS intent, arg_max(task_type, (t, id)) AS task_type, arg_max(status, (t, id)) AS status, arg_max({_SHOWN_END}, (t, id)) AS ended FROM hits GROUP BY target)
+SELECT s.id, coalesce(l.intent, s.intent) AS intent, coalesce(l.task_type, s.task_type) AS task_type, coalesce(l.status, s.status) AS status, coalesce(l.ended, coalesce(strftime(s.ended, '%Y-%m-%d %H:%M:%S'), 'none')) AS ended,
+  coalesce(mt.tags, array_to_string(s.tags, '|')) AS tags, coalesce(mf.files, array_to_string(s.files, '|')) AS files, coalesce(me.errors, array_to_string(list_transform(s.errors, lambda e: coalesce(e.message, '')), '|')) AS errors, s.retrievals, s.helpful
+FROM ep s LEFT JOIN last l ON l.target = s.id LEFT JOIN m_tags mt ON mt.target = s.id LEFT JOIN m_files mf ON mf.target = s.id LEFT JOIN m_errors me ON me.target = s.id
+WHERE s.started < TIMESTAMP '2025-06-01' OR (s.started >= TIMESTAMP '2025-06-01' AND s.id NOT IN (SELECT new_id FROM mt))""",
+    episodes=True,
+)
+def capture_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The store after the captures of the last month came in: merged into the episode of the same work, or added."""
+    new, stored = _late(spark, d)
+    match = duplicates.same_work(new, stored).select("new_id", "id")
+    got = duplicates.merged_captures(stored, new, match)
+    messages = F.transform("errors", lambda e: F.coalesce(e["message"], F.lit("")))
+    return got.select(
+        "id", "intent", "task_type", "status", F.coalesce(F.date_format("ended", "yyyy-MM-dd HH:mm:ss"), F.lit("none")).alias("ended"),
+        F.array_join("tags", "|").alias("tags"), F.array_join("files", "|").alias("files"), F.array_join(messages, "|").alias("errors"), "retrievals", "helpful",
+    )
 
 
 @registered(
@@ -219,3 +264,26 @@ def capture_upsert(spark: SparkSession, d: str) -> DataFrame:
     new = new.groupBy("id").agg(F.max_by(F.struct("project", "status"), F.struct("received_at", "doc_id")).alias("r")).select("id", "r.*", F.lit("capture").alias("origin"))
     stored = episodes(spark, d).select("id", "project", "status", F.lit("store").alias("origin"))
     return store.upserted(stored, new)
+
+
+@registered(
+    f"""AND v AS (SELECT DISTINCT episode_id FROM vectors WHERE episode_id IS NOT NULL) SELECT id AS episode_id, project, task_type, epoch_us(started) // 1000000 AS timestamp, round({WILSON_SQL}, 6) AS utility_score, retrievals AS retrieval_count, helpful AS helpful_count
+FROM ep WHERE id NOT IN (SELECT episode_id FROM v)""",
+    episodes=True,
+)
+def index_increment(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that an incremental index run adds; a rebuild adds ``index_metadata`` of all episodes."""
+    known = table(spark, d, "vectors").select(F.col("episode_id").alias("id")).distinct()
+    return _index_rows(episodes(spark, d).join(known, "id", "left_anti")).drop("intent_text")
+
+
+def _index_rows(e: DataFrame) -> DataFrame:
+    fields = render.index_metadata()
+    return e.select(*[c.alias(name) for name, c in fields.items()]).withColumn("utility_score", F.round("utility_score", 6))
+
+
+@registered(f"SELECT id AS episode_id, project, task_type, md5(t) AS text_digest, epoch_us(started) // 1000000 AS timestamp, round({WILSON_SQL}, 6) AS utility_score, retrievals AS retrieval_count, helpful AS helpful_count FROM ep JOIN (SELECT id, {EMBEDDED_SQL} AS t FROM ep) USING (id)", episodes=True)
+def index_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What the index holds beside each vector, the embedded text as its digest."""
+    rows = _index_rows(episodes(spark, d))
+    return rows.withColumn("text_digest", F.md5("intent_text")).drop("intent_text")

@@ -49,8 +49,11 @@ def record_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return both.select("b.id", "b.project", F.nullif(F.size("b.context.errors_encountered"), F.lit(-1)).alias("n_errors"), F.nullif(F.size("b.retrieval_history"), F.lit(-1)).alias("n_history"), same.alias("same"))
 
 
-@registered("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT retrieval_id, ts FROM retrievals WHERE ts IS NOT NULL) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM retrievals) - INTERVAL 10 DAY GROUP BY 1")
+@registered("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM (SELECT DISTINCT retrieval_id, ts FROM retrievals WHERE ts IS NOT NULL) GROUP BY 1")
 def stream_daily_retrievals(spark: SparkSession, d: str) -> DataFrame:
-    """Retrievals of each day from the log as a stream; days that may still change don't come out."""
+    """Retrievals of each day: final days from the log as a stream, and those that may still change from the log as it is."""
     log = counters.log_stream(spark, f"{d}/retrievals.parquet")
-    return counters.drained(counters.daily_counts(log, "retrieval_id"), f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
+    final = counters.drained(counters.daily_counts(log, "retrieval_id"), f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}")
+    rows = table(spark, d, "retrievals").filter("ts is not null").select("retrieval_id", "ts").distinct()
+    now = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return final.unionByName(now.join(final.select("day"), "day", "left_anti"))

@@ -123,7 +123,8 @@ def id_shape(spark: SparkSession, d: str) -> DataFrame:
     f"""SELECT count(*) AS n, {_days_sql('max(started)')}::BIGINT AS days_since_capture,
   count_if(last_retrieval IS NULL OR retrievals = 0 OR {_days_sql('last_retrieval')} > 30) AS n_unused, count_if({WILSON_SQL} > 0.4) AS n_high_value,
   round(avg({WILSON_SQL}), 6) AS avg_utility, round(CASE WHEN sum(retrievals) > 0 THEN sum(helpful) / sum(retrievals)::DOUBLE ELSE 0 END, 6) AS feedback_rate,
-  {_days_sql('max(started)')} > 7 AS hint_capture, count_if(last_retrieval IS NULL OR retrievals = 0 OR {_days_sql('last_retrieval')} > 30) > count(*) // 2 AS hint_unused
+  {_days_sql('max(started)')} > 7 AS hint_capture, count_if(last_retrieval IS NULL OR retrievals = 0 OR {_days_sql('last_retrieval')} > 30) > count(*) // 2 AS hint_unused,
+  CASE WHEN sum(retrievals) > 0 THEN sum(helpful) / sum(retrievals)::DOUBLE ELSE 0 END < 0.2 AND sum(retrievals) > 5 AS hint_feedback, avg({WILSON_SQL}) < 0.3 AND sum(retrievals) > 0 AS hint_utility, count_if({WILSON_SQL} > 0.4) = 0 AS hint_no_high_value
 FROM ep WHERE lower(project) = 'indigo-kiln'""",
     episodes=True,
 )
@@ -131,10 +132,12 @@ def memory_status(spark: SparkSession, d: str) -> DataFrame:
     e = episodes(spark, d).filter(store.project_matches(F.col("project"), "Indigo-Kiln", "equal_folded"))
     unused = F.count_if(store.is_unused(_now()))
     since = whole_days(_now(), F.max("started"))
+    rate, used, high = share(F.sum("helpful"), F.sum("retrievals")), F.coalesce(F.sum("retrievals"), F.lit(0)), F.count_if(_w() > 0.4)
     return e.agg(
-        F.count(F.lit(1)).alias("n"), since.alias("days_since_capture"), unused.alias("n_unused"), F.count_if(_w() > 0.4).alias("n_high_value"),
-        F.round(F.coalesce(F.avg(_w()), F.lit(0.0)), 6).alias("avg_utility"), F.round(share(F.sum("helpful"), F.sum("retrievals")), 6).alias("feedback_rate"),
+        F.count(F.lit(1)).alias("n"), since.alias("days_since_capture"), unused.alias("n_unused"), high.alias("n_high_value"),
+        F.round(F.coalesce(F.avg(_w()), F.lit(0.0)), 6).alias("avg_utility"), F.round(rate, 6).alias("feedback_rate"),
         (since > 7).alias("hint_capture"), (unused > F.floor(F.count(F.lit(1)) / 2)).alias("hint_unused"),
+        ((rate < 0.2) & (used > 5)).alias("hint_feedback"), ((F.avg(_w()) < 0.3) & (used > 0)).alias("hint_utility"), (high == 0).alias("hint_no_high_value"),
     )
 
 
@@ -219,6 +222,22 @@ def feedback_apply(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@registered(
+    f"""AND f AS (SELECT DISTINCT feedback_id, episode_id, ts, helpful FROM feedback), keys AS (SELECT DISTINCT episode_id AS key FROM f),
+named AS (SELECT key, id FROM (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY started DESC NULLS LAST, id) AS r FROM keys JOIN ep ON left(id, 8) = left(key, 8) AND starts_with(id, key)) WHERE r = 1),
+n AS (SELECT id, count_if(coalesce(f.helpful, false)) AS plus, first(CASE WHEN f.helpful THEN 'helpful' WHEN NOT f.helpful THEN 'not helpful' END ORDER BY ts DESC, feedback_id DESC) AS flag FROM f JOIN named ON f.episode_id = named.key GROUP BY id),
+u AS (SELECT ep.id, ep.learned, n.id IS NOT NULL AS given, least(ep.helpful + coalesce(plus, 0), ep.retrievals) AS helpful, ep.retrievals, flag FROM ep LEFT JOIN n USING (id))
+SELECT id, helpful, round(CASE WHEN given THEN {WILSON_SQL} ELSE learned END, 6) AS learned, flag AS last_flag FROM u""",
+    episodes=True,
+)
+def feedback_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The store after all feedback: helpful counted, learned set from the counters, the last verdict on the last retrieval."""
+    f = table(spark, d, "feedback").select("feedback_id", F.col("episode_id").alias("key"), "ts", "helpful").distinct()
+    e = store.with_feedback(episodes(spark, d), f.select("key", "helpful", F.struct("ts", "feedback_id").alias("seq")))
+    flag = F.when(F.col("last_helpful"), "helpful").when(~F.col("last_helpful"), "not helpful")
+    return e.select("id", "helpful", F.round("learned", 6).alias("learned"), flag.alias("last_flag"))
+
+
 @registered(f"SELECT v.episode_id AS id, round(coalesce(learned, {WILSON_SQL}), 6) AS utility FROM (SELECT DISTINCT episode_id FROM vectors) v JOIN ep ON v.episode_id = ep.id", episodes=True)
 def sync_utility(spark: SparkSession, d: str) -> DataFrame:
     """The utility that the index should hold: learned where there is one."""

@@ -40,6 +40,16 @@ def write_documents(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.select(F.col("document").alias("value"), F.left("id", F.lit(1)).alias("shelf")).write.mode(mode).partitionBy("shelf").option("lineSep", "\u0000").text(path)
 
 
+def write_diffs(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """(id, started, diff) by date of start; ``name`` is what the file of an episode's diff would be called."""
+    dated = rows.select(F.date_format("started", "yyyy-MM-dd").alias("date"), diff_name(F.col("id")).alias("name"), "id", "diff").filter(F.col("diff").isNotNull())
+    dated.repartition("date", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode(mode).partitionBy("date").parquet(path)
+
+
+def diff_name(id_: Column) -> Column:
+    return F.concat(F.lit("session-"), F.left(id_, F.lit(8)), F.lit(".diff"))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): whole files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
