@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.text import words
+from lumora.operators.joins import in_blocks
 from lumora.session import cut
 
 #: Words from which on a set counts as long.
@@ -25,7 +26,8 @@ def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     of the rarest words of either (how many follows from ``least``). Sets of 4 to LONG - 1 words share at least three of
     them: they meet on triples, so words that a third of all sets hold don't bring sets together. Sets of up to 4 words
     meet on single rare words. So do pairs of which one has LONG words or more, whose rarest words are rare indeed;
-    their triples would be too many.
+    their triples would be too many. Where a pair meets its places tell how many words it can share at most; a pair that
+    can't share enough goes no further, and a key that very many sets hold is split into blocks.
     """
     if least < 0.6:
         raise ValueError("exact from 0.6 on")
@@ -38,20 +40,29 @@ def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     # a similar set shares at least this many words
     needed = F.floor(F.lit(least) * F.col("n") + 1e-9) + 1
     slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).select("part", "class", "n", "head", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")).alias("short"))
-    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select("part", "class", "n", F.explode("short").alias("x")).select("class", "n", F.xxhash64("part", "x").alias("key"))
+    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select("part", "class", "n", F.posexplode("short").alias("i", "x"))
+    single = single.select("class", "n", F.xxhash64("part", "x").alias("key"), "i", (F.col("i") + 1).alias("j"), (F.col("i") + 2).alias("k"))
     first = slim.filter(F.col("n").between(4, LONG - 1)).select("part", "class", "n", "head", F.posexplode("head").alias("i", "a"))
-    second = first.select("part", "class", "n", "head", "a", F.posexplode("head").alias("j", "b"), "i").filter("j > i")
-    third = second.select("class", "n", "part", "a", "b", F.explode(F.slice("head", F.col("j") + 2, F.size("head"))).alias("c"))
-    triples = third.select("class", "n", F.xxhash64("part", "a", "b", "c").alias("key"))
+    second = first.select("part", "class", "n", "head", "a", "i", F.posexplode("head").alias("j", "b")).filter("j > i")
+    third = second.select("class", "n", "part", "head", "a", "b", "i", "j", F.posexplode("head").alias("k", "c")).filter("k > j")
+    triples = third.select("class", "n", F.xxhash64("part", "a", "b", "c").alias("key"), "i", "j", "k")
     small, long = single.filter("n <= 4"), single.filter(F.col("n") >= LONG)
-
-    def met(keys: DataFrame, others: DataFrame, ordered: bool) -> DataFrame:
-        left, right = keys.select("key", F.col("class").alias("l"), F.col("n").alias("nl")), others.select("key", F.col("class").alias("r"), F.col("n").alias("nr"))
-        pairs = left.join(right, "key").filter(F.least("nl", "nr") > least * F.greatest("nl", "nr"))
-        return (pairs.filter("l < r") if ordered else pairs).select(F.least("l", "r").alias("class_a"), F.greatest("l", "r").alias("class_b"))
+    # two sets that meet on words at these places share at most so many: between two places no more than the shorter gap
+    # holds (the places that a single word lacks follow it, which comes to the same)
+    shorter = lambda a, b: F.least(F.expr(a.format("l")) - F.expr(b.format("l")), F.expr(a.format("r")) - F.expr(b.format("r")))
+    most = F.least("il", "ir") + shorter("j{}", "i{}") + shorter("k{}", "j{}") + shorter("n{}", "k{}")
+    enough = most * (1 + least) > least * (F.col("nl") + F.col("nr")) + 1e-9
+
+    def met(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
+        left = left.select("key", "_block", F.col("class").alias("l"), *[F.col(c).alias(f"{c}l") for c in "nijk"])
+        right = right.select("key", "_block", F.col("class").alias("r"), *[F.col(c).alias(f"{c}r") for c in "nijk"])
+        pairs = left.join(right, ["key", "_block"]).filter(F.least("nl", "nr") > least * F.greatest("nl", "nr"))
+        return (pairs.filter("l < r") if ordered else pairs).filter(enough).select(F.least("l", "r").alias("class_a"), F.greatest("l", "r").alias("class_b"))
 
     alike = small.unionByName(triples).unionByName(long)
-    candidates = met(alike, alike, True).unionByName(met(single.filter(F.col("n").between(5, LONG - 1)), long, False)).distinct()
+    with_long = in_blocks(single.filter(F.col("n") > 4), "key", "class")
+    below, beyond = with_long[0].filter(F.col("n") < LONG), with_long[1].filter(F.col("n") >= LONG)
+    candidates = met(*in_blocks(alike, "key", "class"), True).unionByName(met(below, beyond, False)).distinct()
     w = ordered.select("class", "part", "w")
     a, b = w.select(F.col("class").alias("class_a"), F.col("w").alias("wa"), F.col("part").alias("pa")), w.select(F.col("class").alias("class_b"), F.col("w").alias("wb"), F.col("part").alias("pb"))
     both = F.size(F.array_intersect("wa", "wb"))
