@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 import ahocorasick
@@ -24,6 +25,17 @@ def best(hits: DataFrame, query: str, item: str, score: str, k: int) -> DataFram
     return hits.withColumn("hit_rank", F.row_number().over(order)).filter(F.col("hit_rank") <= k)
 
 
+def united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def gather(parts: list[DataFrame], part: DataFrame, most: int = 32) -> None:
+    """Add ``part``; many parts are written as one, so that no plan grows with their number."""
+    parts.append(part)
+    if len(parts) >= most:
+        parts[:] = [cut(united(parts))]
+
+
 def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """(query_id, id, similarity, hit_rank) by shared words.
 
@@ -37,7 +49,7 @@ def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float) -> Dat
     q = queries.select("query_id", words(F.lower("text")).alias("q")).filter(F.size("q") > 0)
     n_blocks = max(1, ceil(q.count() / QUERY_BLOCK))
     t = texts.select("id", F.lower("text").alias("t")).withColumn("n", F.size(words("t"))).filter("n > 0")
-    found: DataFrame | None = None
+    found: list[DataFrame] = []
     for b in range(n_blocks):
         own = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()
         lists = own.column("q").to_pylist()
@@ -71,8 +83,8 @@ def text_hits(queries: DataFrame, texts: DataFrame, k: int, least: float) -> Dat
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[keep])), ids.take(pa.array(keep)), pa.array(s[keep])], ["query_id", "id", "similarity"])
 
         part = t.mapInArrow(search, f"query_id {kind}, id {item}, similarity double")
-        found = part if found is None else found.unionByName(part)
-    return best(found, "query_id", "id", "similarity", k).select("query_id", "id", "similarity", "hit_rank")
+        gather(found, part)
+    return best(united(found), "query_id", "id", "similarity", k).select("query_id", "id", "similarity", "hit_rank")
 
 
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +146,7 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, dims: int, least
     n_blocks = max(1, ceil(queries.count() / QUERY_BLOCK))
     item = dict(vectors.dtypes)["id"]
     item_type = to_arrow_type(vectors.schema["id"].dataType)
-    found: DataFrame | None = None
+    found: list[DataFrame] = []
     for b in range(n_blocks):
         own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).select("query_id", "vector").toArrow()
         right, matrix = _matrix(own.column("vector").combine_chunks(), dims)
@@ -162,8 +174,8 @@ def vector_hits(queries: DataFrame, vectors: DataFrame, k: int, dims: int, least
             yield pa.RecordBatch.from_arrays([names.take(pa.array(rows)), pa.array(ids.tolist(), item_type), pa.array(s)], ["query_id", "id", "similarity"])
 
         part = vectors.select("id", "vector").mapInArrow(search, f"query_id {kind}, id {item}, similarity double")
-        found = part if found is None else found.unionByName(part)
-    return best(found, "query_id", "id", "similarity", k)
+        gather(found, part)
+    return best(united(found), "query_id", "id", "similarity", k)
 
 
 def _jaccard(a: Column, b: Column) -> Column:
