@@ -192,9 +192,9 @@ def mapped(values: DataFrame, value: str, reference: DataFrame, by: str, name: s
     rows = values.filter(~is_blank(value))
     # a column of its own name, so that no column of the rows clashes
     spark = values.sparkSession
-    # a value is short and its walk is long: AQE would put them into one task by their size
+    # a value is short and its walk is long: by their size AQE would put them into one task, which it leaves to a number given
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = rows.select(F.col(value).alias("_value")).distinct().repartition(tasks, "_value")
+    distinct = rows.select(F.col(value).alias("_value")).distinct().repartition(tasks)
     # written, so that no filter above makes Spark walk the values again
     found = cut(distinct.withColumn("_entry", closest_entry(spark, "_value", reference)))
     keyed = rows.drop(name).withColumn("_value", F.col(value))
