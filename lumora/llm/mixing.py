@@ -87,7 +87,8 @@ class Mix:
         self._rows = bounded_rows(p, MAX_SOURCES, "the plan of the mix")
         keys = spark.createDataFrame([(r.key,) for r in self._rows], "key string")
         # written once: the counts, sums and positions below all start from it
-        self._docs = cut(slim.join(F.broadcast(keys), "key").filter("tokens > 0").withColumn("h", F.xxhash64("doc_id")))
+        # (the filter follows, as below it Spark would count the tokens twice)
+        self._docs = cut(slim.join(F.broadcast(keys), "key").withColumn("h", F.xxhash64("doc_id"))).filter("tokens > 0")
         # one row for each source of the plan
         sums = {r.key: r for r in self._docs.groupBy("key").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
         self._tokens = {r.key: sums[r.key].t if r.key in sums else 0 for r in self._rows}
