@@ -152,6 +152,24 @@ def p5_subset(spark: SparkSession, d: str, share: float = 0.01) -> DataFrame:
     return got.select("id", "project", trimmed("extracted_intent").alias("extracted_intent"), F.col("_cell").alias("cell"), F.col("_cell_rank").alias("cell_rank"))
 
 
+def p5_variety(spark: SparkSession, d: str, share: float = 0.01, common: float = 0.001) -> DataFrame:
+    """How much of all episodes and of the subset the eight largest groups of alike intents hold.
+
+    Alike are intents with the same words among those that at least ``common`` of all episodes hold, numbers being one word.
+    """
+    e = _episodes(spark, d).filter("id is not null").select("id", F.coalesce("intent.extracted_intent", F.lit("")).alias("text")).groupBy("id").agg(F.min("text").alias("text"))
+    e = cut(e.select("id", F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("text"), r"\p{N}+", "0"), r"[^\p{L}0]+"), lambda w: w != "")).alias("ws")))
+    n = e.count()
+    words = e.select("id", F.explode("ws").alias("w"))
+    usual = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= common * n).select("w")  # bounded by the words of an intent / common
+    alike = words.join(F.broadcast(usual), "w").groupBy("id").agg(F.array_sort(F.collect_set("w")).alias("ws")).select("id", F.xxhash64("ws").alias("g"))
+    chosen = p5_subset(spark, d, share).select("id", F.lit(1).alias("chosen"))
+    groups = alike.join(chosen, "id", "left").groupBy("g").agg(F.count(F.lit(1)).alias("n_episodes"), F.count("chosen").alias("n_chosen"))
+    top = groups.orderBy(F.desc("n_episodes"), "g").limit(8)
+    size = -(-n * int(share * 10_000) // 10_000)
+    return top.select("n_episodes", "n_chosen", F.round(F.col("n_episodes") / n, 6).alias("share_of_all"), F.round(F.col("n_chosen") / max(size, 1), 6).alias("share_of_subset"))
+
+
 # -- 6: most similar vectors
 
 
@@ -230,7 +248,7 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return h.select(F.col("key").alias("source"), "unit", "length", "n", F.round("expected", 4).alias("expected"), "at_risk")
 
 
-QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p6_found, p6_neighbours, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix, p9_found, p9_rates, p9_limits)}
+QUERIES = {q.__name__: q for q in (p2_found, p2_unmatched, p3_found, p3_current, p4_found, p4_pairs, p5_subset, p5_variety, p6_found, p6_neighbours, p7_ids, p7_counts, p7_roundtrip, p8_found, p8_shares, p8_mix, p9_found, p9_rates, p9_limits)}
 _STAND_INS = ", ".join(f"'{x}'" for x in ["", *survivor.STAND_INS])
 _TRIM = "regexp_replace({}, '^[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{2000}}-\\x{{200A}}\\x{{3000}}]+$', '', 'g')"
 

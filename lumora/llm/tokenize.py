@@ -220,6 +220,9 @@ def token_ids(spark: SparkSession, text: Column | str, path: str = DEFAULT_VOCAB
 
     def ids(texts: pa.Array) -> pa.Array:
         values, counts = shared.value.encode(texts.to_pylist())
+        # no text has more ids than bytes, and a batch of strings fewer than 2^31 bytes, so this holds for any batch that can arrive
+        if len(values) >= 1 << 31:
+            raise ValueError("a batch has too many ids for one list column; lower spark.sql.execution.arrow.maxRecordsPerBatch")
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 

@@ -5,8 +5,8 @@
    neighbouring lengths; a Poisson tail tests each length against them, and the tests are held to a false-discovery
    rate (Benjamini-Hochberg). Lengths that stand out, and at which a good part of the endings is incomplete on its own
    evidence, are field limits.
-2. *Endings.* ``broken``: a replacement character, an open fence, bracket or JSON value, a heading or label without
-   content, a path without its extension. ``closed``: a closing mark or a symbol. ``line``: a form that needs no closing
+2. *Endings.* ``broken``: a replacement character, a fence, bracket (on whichever line) or JSON value left open, a heading
+   or label without content, a path without its extension. ``closed``: a closing mark or a symbol. ``line``: a form that needs no closing
    mark (list item, table row, trailer, quote, one-line remark or commit, and last lines usual for the source).
    ``open``: running text without a closing mark.
 3. *Verdict.* broken and open endings are cut. A line is cut if its last word isn't known from the inside of any text
