@@ -27,9 +27,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 def near_episodes(spark: SparkSession, d: str, k: int, least: float) -> DataFrame:
     """(source, target, similarity, hit_rank): the k most similar existing episodes of each, over all rows of ``vectors``."""
-    known = table(spark, d, "episodes").select(F.col("id").alias("episode_id")).distinct()
-    v = table(spark, d, "vectors").select("episode_id", "vector", "indexed_at").join(known, "episode_id", "left_semi")
-    return nearest(v, "episode_id", "vector", "indexed_at", k, least, EPISODE_WIDTH).select(F.col("episode_id").alias("source"), F.col("neighbour").alias("target"), "similarity", "hit_rank")
+    known = table(spark, d, "episodes").select("id")
+    v = table(spark, d, "vectors").select("episode_id", "vector", "indexed_at")
+    return nearest(v, "episode_id", "vector", "indexed_at", k, least, EPISODE_WIDTH, known).select(F.col("episode_id").alias("source"), F.col("neighbour").alias("target"), "similarity", "hit_rank")
 
 
 def near_sql(k: int, least: float) -> str:
