@@ -46,7 +46,7 @@ SAMPLE_ROWS, SAMPLE_CELLS = 20_000, 5_000
 MAX_LEFT_OUT = 1_000_000
 WINDOW_P = 0.95
 #: The radii searched, as parts of the radius of the least similarity.
-RADII = (0.25, 0.5, 1.0)
+RADII = (0.5, 1.0)
 #: Half-width, in radii, to which the sorted first array is cut; 6 in 100,000 vectors at the radius lie beyond it.
 REACH = 4.0
 
@@ -304,8 +304,8 @@ def neighbours(
     few = left_out.count() <= MAX_LEFT_OUT
     chosen = keyed.join(F.broadcast(left_out), ["id", "row"], "left_anti") if few else keyed.join(wanted, ["id", "row"], "left_semi")
     visits = chosen.select("id", "packed", F.inline("visits"))
-    # as many partitions as the cells ask for, so that a task is no larger on a larger table
-    visits = visits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), fitted.n // 2), "c", "p", "r")
+    # as many partitions as there are cells, so that a task is no larger on a larger table
+    visits = visits.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), fitted.n), "c", "p", "r")
 
     def search(group: pa.Table) -> pa.Table:
         ids = np.array(group.column("id").to_pylist(), dtype=object)
