@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: A reference list is broadcast up to this many rows; beyond it Spark joins by shuffle.
-MAX_BROADCAST_ROWS = 100_000
+from lumora.operators.joins import bounded_broadcast, spread_join
 
-
-def bounded_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+__all__ = ["bounded_broadcast", "bounded_rows", "spread_join"]
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -20,13 +15,3 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     if len(rows) > limit:
         raise ValueError(f"{what} has over {limit} rows")
     return rows
-
-
-def spread_join(rows: DataFrame, few: DataFrame, keys: list[str], by: str, how: str = "inner", spread: int = 16) -> DataFrame:
-    """``rows`` joined with ``few`` on ``keys``, a hot key (null ones too) spread over ``spread`` tasks by a digest of ``by``.
-
-    ``few`` is sent ``spread`` times, so it is meant for tables with few rows for each key.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

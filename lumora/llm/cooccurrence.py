@@ -2,7 +2,8 @@
 
 Each record's items become one sorted, deduplicated array. Equal arrays are collapsed into one basket with a weight, so
 a basket that holds a third of all records is enumerated once. Items below the support threshold leave the baskets
-first (a pair can't be more frequent than its items), which collapses them further. Pairs are enumerated within the
+first (a pair can't be more frequent than its items), which collapses them further; rows of an item that very many
+baskets hold are spread by basket. Pairs are enumerated within the
 distinct baskets only, weighted, and summed with map-side partial sums before the shuffle.
 
 Scores: lift = n_ab * n / (n_a * n_b); conviction(a -> b) = (1 - p_b) / (1 - n_ab / n_a), null where it is infinite.
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.operators.joins import spread_join
+
 
 def pair_counts(items: DataFrame, sizes: DataFrame, min_support: int = 1) -> DataFrame:
     """Counts and scores of pairs.
@@ -34,7 +37,7 @@ def pair_counts(items: DataFrame, sizes: DataFrame, min_support: int = 1) -> Dat
     numbered = weighted.filter(F.size("basket") > 1).withColumn("b", F.xxhash64("basket", F.lit(1))).withColumn("b2", F.xxhash64("basket", F.lit(2)))
     kept = (
         numbered.select("part", "b", "b2", "w", F.explode("basket").alias("item"))
-        .join(frequent.select("part", "item"), ["part", "item"], "left_semi")
+        .transform(lambda d: spread_join(d, frequent.select("part", "item"), ["part", "item"], "b", "left_semi"))
         .groupBy("part", "b", "b2", "w")
         .agg(F.array_sort(F.collect_list("item")).alias("basket"))
         .groupBy("part", "basket")
@@ -45,7 +48,8 @@ def pair_counts(items: DataFrame, sizes: DataFrame, min_support: int = 1) -> Dat
     together = pairs.groupBy("part", "item_a", "item_b").agg(F.sum("w").alias("n_ab")).filter(F.col("n_ab") >= min_support)
     a = frequent.select("part", F.col("item").alias("item_a"), F.col("n_item").alias("n_a"))
     b = frequent.select("part", F.col("item").alias("item_b"), F.col("n_item").alias("n_b"))
-    scored = together.join(a, ["part", "item_a"]).join(b, ["part", "item_b"]).join(sizes, "part")
+    scored = spread_join(spread_join(together, a, ["part", "item_a"], "item_b"), b, ["part", "item_b"], "item_a")
+    scored = spread_join(scored, sizes, ["part"], "item_a")
     miss = 1 - F.col("n_ab") / F.col("n_a")
     return scored.select(
         "part", "item_a", "item_b", "n_ab", "n_a", "n_b", "n",
