@@ -41,16 +41,17 @@ def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     words_of = sets.select("part", "class", F.size("w").alias("n"), F.explode("w").alias("x"))
     frequency = words_of.groupBy("part", "x").agg(F.count(F.lit(1)).alias("df"))
     by_rarity = words_of.join(frequency, ["part", "x"]).groupBy("part", "class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
-    ordered = cut(by_rarity.select("part", "class", "n", F.col("o.x").alias("w")))
+    # pairs are formed of numbers, which are shorter than digests
+    ordered = cut(by_rarity.select("part", "class", "n", F.col("o.x").alias("w"), F.monotonically_increasing_id().alias("no")))
     # a similar set shares at least this many words
     needed = F.floor(F.lit(least) * F.col("n") + 1e-9) + 1
-    slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).select("part", "class", "n", "head", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")).alias("short"))
-    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select("part", "class", "n", F.posexplode("short").alias("i", "x"))
-    single = single.select("class", "n", F.xxhash64("part", "x").alias("key"), "i", (F.col("i") + 1).alias("j"), (F.col("i") + 2).alias("k"))
-    first = slim.filter(F.col("n").between(4, LONG - 1)).select("part", "class", "n", "head", F.posexplode("head").alias("i", "a"))
-    second = first.select("part", "class", "n", "head", "a", "i", F.posexplode("head").alias("j", "b")).filter("j > i")
-    third = second.select("class", "n", "part", "head", "a", "b", "i", "j", F.posexplode("head").alias("k", "c")).filter("k > j")
-    triples = third.select("class", "n", F.xxhash64("part", "a", "b", "c").alias("key"), "i", "j", "k")
+    slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).select("part", "no", "n", "head", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")).alias("short"))
+    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select("part", "no", "n", F.posexplode("short").alias("i", "x"))
+    single = single.select("no", "n", F.xxhash64("part", "x").alias("key"), "i", (F.col("i") + 1).alias("j"), (F.col("i") + 2).alias("k"))
+    first = slim.filter(F.col("n").between(4, LONG - 1)).select("part", "no", "n", "head", F.posexplode("head").alias("i", "a"))
+    second = first.select("part", "no", "n", "head", "a", "i", F.posexplode("head").alias("j", "b")).filter("j > i")
+    third = second.select("no", "n", "part", "head", "a", "b", "i", "j", F.posexplode("head").alias("k", "c")).filter("k > j")
+    triples = third.select("no", "n", F.xxhash64("part", "a", "b", "c").alias("key"), "i", "j", "k")
     small, long = single.filter("n <= 4"), single.filter(F.col("n") >= LONG)
     # two sets that meet on words at these places share at most so many: between two places no more than the shorter gap
     # holds (the places that a single word lacks follow it, which comes to the same)
@@ -59,20 +60,20 @@ def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
     enough = most * (1 + least) > least * (F.col("nl") + F.col("nr")) + 1e-9
 
     def met(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        left = left.select("key", "_block", F.col("class").alias("l"), *[F.col(c).alias(f"{c}l") for c in "nijk"])
-        right = right.select("key", "_block", F.col("class").alias("r"), *[F.col(c).alias(f"{c}r") for c in "nijk"])
+        left = left.select("key", "_block", F.col("no").alias("l"), *[F.col(c).alias(f"{c}l") for c in "nijk"])
+        right = right.select("key", "_block", F.col("no").alias("r"), *[F.col(c).alias(f"{c}r") for c in "nijk"])
         pairs = left.join(right, ["key", "_block"]).filter(F.least("nl", "nr") > least * F.greatest("nl", "nr"))
-        return (pairs.filter("l < r") if ordered else pairs).filter(enough).select(F.least("l", "r").alias("class_a"), F.greatest("l", "r").alias("class_b"))
+        return (pairs.filter("l < r") if ordered else pairs).filter(enough).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
 
-    alike = small.unionByName(triples).unionByName(long)
-    with_long = in_blocks(single.filter(F.col("n") > 4), "key", "class")
+    # written once: the hot keys are counted in it, and it is both sides of the join
+    alike = cut(small.unionByName(triples).unionByName(long))
+    with_long = in_blocks(single.filter(F.col("n") > 4), "key", "no")
     below, beyond = with_long[0].filter(F.col("n") < LONG), with_long[1].filter(F.col("n") >= LONG)
-    candidates = met(*in_blocks(alike, "key", "class"), True).unionByName(met(below, beyond, False)).distinct()
-    w = ordered.select("class", "part", "w")
-    a, b = w.select(F.col("class").alias("class_a"), F.col("w").alias("wa"), F.col("part").alias("pa")), w.select(F.col("class").alias("class_b"), F.col("w").alias("wb"), F.col("part").alias("pb"))
+    candidates = met(*in_blocks(alike, "key", "no"), True).unionByName(met(below, beyond, False)).distinct()
+    a, b = (ordered.select(F.col("no").alias(x), F.col("w").alias(f"w{x}"), F.col("part").alias(f"p{x}"), F.col("class").alias(f"c{x}")) for x in "ab")
     both = F.size(F.array_intersect("wa", "wb"))
-    scored = candidates.join(a, "class_a").join(b, "class_b").filter("pa = pb").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both))
-    return scored.filter(F.col("similarity") > least).select("class_a", "class_b", "similarity")
+    scored = candidates.join(a, "a").join(b, "b").filter("pa = pb").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both)).filter(F.col("similarity") > least)
+    return scored.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "similarity")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
