@@ -72,15 +72,19 @@ def _fold(batches: Iterator[pa.RecordBatch], step: float, least: float) -> Itera
         yield out([(current, value, taken, seen)])
 
 
+def sources(e: DataFrame) -> DataFrame:
+    """Episodes from which utility spreads: retrieved at least twice and found helpful in over half of the cases."""
+    return e.filter((F.col("retrievals") >= 2) & (F.col("helpful") * 2 > F.col("retrievals")))
+
+
 def similarity_propagated(e: DataFrame, edges: DataFrame, least_similarity: float = LEAST_SIMILARITY, discount: float = DISCOUNT, step: float = STEP, least_change: float = LEAST_CHANGE) -> DataFrame:
     """(id, new_learned, n_steps, n_sources): learned utilities of episodes similar to helpful ones.
 
-    ``edges``: (source, target, similarity, hit_rank), one row for each pair. Sources were retrieved at least twice and
-    found helpful in over half of the cases. The steps of a target are taken in order (newest source first), each from
+    ``edges``: (source, target, similarity, hit_rank), one row for each pair. Only ``sources`` spread. The steps of a target are taken in order (newest source first), each from
     the value that the last one left, so they are a fold and no sum. The rows of a target are sorted by Spark's
     spilling sort and pass one by one; a target with any number of sources needs no memory of its own.
     """
-    source = e.filter((F.col("retrievals") >= 2) & (F.col("helpful") * 2 > F.col("retrievals"))).select(F.col("id").alias("source"), _wilson().alias("w"), F.col("started").alias("source_started"))
+    source = sources(e).select(F.col("id").alias("source"), _wilson().alias("w"), F.col("started").alias("source_started"))
     target = e.select(F.col("id").alias("target"), F.coalesce("learned", F.lit(0.5)).alias("old"))
     hits = edges.filter((F.col("similarity") >= least_similarity) & (F.col("source") != F.col("target"))).join(source, "source").join(target, "target")
     newest = -F.coalesce(micros("source_started"), F.lit(0))

@@ -25,11 +25,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.agg(F.max(F.col("similarity_score").cast("double")).alias("similarity"), F.min("hit_rank").alias("hit_rank"))
 
 
-def near_episodes(spark: SparkSession, d: str, k: int, least: float) -> DataFrame:
-    """(source, target, similarity, hit_rank): the k most similar existing episodes of each, over all rows of ``vectors``."""
+def near_episodes(spark: SparkSession, d: str, k: int, least: float, asking: DataFrame | None = None) -> DataFrame:
+    """(source, target, similarity, hit_rank): the k most similar existing episodes of each (or of those ``asking``), over all rows of ``vectors``."""
     known = table(spark, d, "episodes").select("id")
     v = table(spark, d, "vectors").select("episode_id", "vector", "indexed_at")
-    return nearest(v, "episode_id", "vector", "indexed_at", k, least, EPISODE_WIDTH, known).select(F.col("episode_id").alias("source"), F.col("neighbour").alias("target"), "similarity", "hit_rank")
+    return nearest(v, "episode_id", "vector", "indexed_at", k, least, EPISODE_WIDTH, known, asking).select(F.col("episode_id").alias("source"), F.col("neighbour").alias("target"), "similarity", "hit_rank")
 
 
 def near_sql(k: int, least: float) -> str:
@@ -73,7 +73,8 @@ def bellman_propagation(spark: SparkSession, d: str) -> DataFrame:
 )
 def bellman_propagation_knn(spark: SparkSession, d: str) -> DataFrame:
     """Propagation to the nine nearest of each episode (the ten of the reference hold the episode itself), whoever searched before."""
-    got = propagation.similarity_propagated(episodes(spark, d), near_episodes(spark, d, 9, propagation.LEAST_SIMILARITY))
+    e = episodes(spark, d)
+    got = propagation.similarity_propagated(e, near_episodes(spark, d, 9, propagation.LEAST_SIMILARITY, propagation.sources(e).select("id")))
     return got.select("id", F.round("new_learned", 6).alias("learned"), "n_sources")
 
 
