@@ -129,5 +129,6 @@ def propagation_summary(spark: SparkSession, d: str) -> DataFrame:
 @registered(_summary_sql(_EXACT_EDGES), episodes=True)
 def propagation_summary_knn(spark: SparkSession, d: str) -> DataFrame:
     """The same over the nine nearest of each episode."""
-    after = propagation.propagated(episodes(spark, d), near_episodes(spark, d, 9, propagation.LEAST_SIMILARITY), F.lit(AS_OF).cast("timestamp"))
+    e = episodes(spark, d)
+    after = propagation.propagated(e, near_episodes(spark, d, 9, propagation.LEAST_SIMILARITY, propagation.sources(e).select("id")), F.lit(AS_OF).cast("timestamp"))
     return after.groupBy("changed_by").agg(F.count(F.lit(1)).alias("n"), F.count("learned").alias("n_learned"))
