@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ from lumora.session import cut
 LONG = 20
 #: Edges that a task connects at a time.
 CHUNK = 200_000
+#: Edges that one task connects when chunks have made them few.
+IN_ONE = 500_000
 
 
 def word_classes(e: DataFrame) -> DataFrame:
@@ -24,59 +27,64 @@ def word_classes(e: DataFrame) -> DataFrame:
     return e.select("id", "part", w.alias("w")).filter(F.size("w") > 0).withColumn("class", F.sha2(F.to_json(F.struct("part", "w")), 256))
 
 
-def similar_classes(classes: DataFrame, least: float = 0.6) -> DataFrame:
-    """(class_a, class_b, similarity) of distinct word sets within a part whose Jaccard similarity exceeds ``least``.
+def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
+    """(a, b, similarity), a < b: distinct word sets within a part whose Jaccard similarity exceeds ``least``.
 
-    Exact for ``least`` from 0.6 on, without meeting all pairs. Words are ordered by rarity, and similar sets share some
-    of the rarest words of either (how many follows from ``least``). Sets of 4 to LONG - 1 words share at least three of
-    them: they meet on triples, so words that a third of all sets hold don't bring sets together. Sets of up to 4 words
-    meet on single rare words. So do pairs of which one has LONG words or more, whose rarest words are rare indeed;
-    their triples would be too many. Where a pair meets its places tell how many words it can share at most; a pair that
-    can't share enough goes no further, and a key that very many sets hold is split into blocks.
+    ``sets``: (no, part, w), ``no`` a name of any ordered type. Exact for ``least`` from 0.6 on, without meeting all pairs.
+    Words are ordered by rarity, and similar sets share some of the rarest words of either (how many follows from ``least``).
+    Sets of 4 to LONG - 1 words share at least three of them: they meet on triples, so words that a third of all sets hold
+    don't bring sets together. Sets of up to 4 words meet on single rare words. So do pairs of which one has LONG words or
+    more, whose rarest words are rare indeed; their triples would be too many. Where a pair meets, its places and a digest
+    of its words in 64 bits tell how many words it can share at most; if that is enough, the words themselves, which travel
+    with the keys, decide. A pair that meets on several keys is taken at the rarest words it shares only, so pairs aren't
+    shuffled at all. A key that very many sets hold is split into blocks.
     """
     if least < 0.6:
         raise ValueError("exact from 0.6 on")
-    sets = classes.groupBy("part", "class").agg(F.first("w").alias("w"))
-    sets = cut(sets)
-    words_of = sets.select("part", "class", F.size("w").alias("n"), F.explode("w").alias("x"))
-    frequency = words_of.groupBy("part", "x").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = words_of.join(frequency, ["part", "x"]).groupBy("part", "class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("o"))
-    # pairs are formed of numbers, which are shorter than digests
-    ordered = cut(by_rarity.select("part", "class", "n", F.col("o.x").alias("w"), F.monotonically_increasing_id().alias("no")))
+    words_of = sets.select("part", "no", F.explode("w").alias("x"))
+    # words are numbers from here on; a number belongs to one part
+    numbered = cut(words_of.groupBy("part", "x").agg(F.count(F.lit(1)).alias("df")).withColumn("x_no", F.monotonically_increasing_id()))
+    by_rarity = words_of.join(numbered, ["part", "x"]).groupBy("no").agg(F.array_sort(F.collect_list(F.struct("df", "x_no"))).alias("o"))
+    bits = F.expr("aggregate(w, 0L, (acc, x) -> acc | shiftleft(1L, cast(pmod(xxhash64(x), 64) as int)))")
+    ordered = cut(by_rarity.select("no", F.col("o.x_no").alias("w")).withColumns({"n": F.size("w"), "bits": bits}))
     # a similar set shares at least this many words
     needed = F.floor(F.lit(least) * F.col("n") + 1e-9) + 1
-    slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).select("part", "no", "n", "head", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")).alias("short"))
-    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select("part", "no", "n", F.posexplode("short").alias("i", "x"))
-    single = single.select("no", "n", F.xxhash64("part", "x").alias("key"), "i", (F.col("i") + 1).alias("j"), (F.col("i") + 2).alias("k"))
-    first = slim.filter(F.col("n").between(4, LONG - 1)).select("part", "no", "n", "head", F.posexplode("head").alias("i", "a"))
-    second = first.select("part", "no", "n", "head", "a", "i", F.posexplode("head").alias("j", "b")).filter("j > i")
-    third = second.select("no", "n", "part", "head", "a", "b", "i", "j", F.posexplode("head").alias("k", "c")).filter("k > j")
-    triples = third.select("no", "n", F.xxhash64("part", "a", "b", "c").alias("key"), "i", "j", "k")
+    own = ["no", "n", "w", "bits"]
+    slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).withColumn("short", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")))
+    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select(*own, F.posexplode("short").alias("i", "x"))
+    single = single.select(*own, F.xxhash64("x").alias("key"), "i", (F.col("i") + 1).alias("j"), (F.col("i") + 2).alias("k"), F.lit(False).alias("t"))
+    first = slim.filter(F.col("n").between(4, LONG - 1)).select(*own, "head", F.posexplode("head").alias("i", "a"))
+    second = first.select(*own, "head", "a", "i", F.posexplode("head").alias("j", "b")).filter("j > i")
+    third = second.select(*own, "a", "b", "i", "j", F.posexplode("head").alias("k", "c")).filter("k > j")
+    triples = third.select(*own, F.xxhash64("a", "b", "c").alias("key"), "i", "j", "k", F.lit(True).alias("t"))
     small, long = single.filter("n <= 4"), single.filter(F.col("n") >= LONG)
     # two sets that meet on words at these places share at most so many: between two places no more than the shorter gap
     # holds (the places that a single word lacks follow it, which comes to the same)
     shorter = lambda a, b: F.least(F.expr(a.format("l")) - F.expr(b.format("l")), F.expr(a.format("r")) - F.expr(b.format("r")))
     most = F.least("il", "ir") + shorter("j{}", "i{}") + shorter("k{}", "j{}") + shorter("n{}", "k{}")
-    enough = most * (1 + least) > least * (F.col("nl") + F.col("nr")) + 1e-9
+    # and a bit that one has and the other lacks is a word that they don't share
+    also = F.least(F.expr("nl - bit_count(bitsl & ~bitsr)"), F.expr("nr - bit_count(bitsr & ~bitsl)"))
+    enough = lambda shared: shared * (1 + least) > least * (F.col("nl") + F.col("nr")) + 1e-9
+    # the words they meet on are the rarest they share; sets of four words meet on single ones
+    same = lambda at, side: F.get("both", F.lit(at)) == F.get(f"w{side}", F.col(f"{'ijk'[at]}{side}"))
+    rarest = same(0, "l") & same(0, "r") & (~F.col("tl") | (same(1, "l") & same(1, "r") & same(2, "l") & same(2, "r") & (F.greatest("nl", "nr") > 4)))
 
     def met(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        left = left.select("key", "_block", F.col("no").alias("l"), *[F.col(c).alias(f"{c}l") for c in "nijk"])
-        right = right.select("key", "_block", F.col("no").alias("r"), *[F.col(c).alias(f"{c}r") for c in "nijk"])
-        pairs = left.join(right, ["key", "_block"]).filter(F.least("nl", "nr") > least * F.greatest("nl", "nr"))
-        return (pairs.filter("l < r") if ordered else pairs).filter(enough).select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b"))
-
-    # written once: the hot keys are counted in it, and it is both sides of the join
-    alike = cut(small.unionByName(triples).unionByName(long))
+        fields = ("no", "n", "w", "bits", "i", "j", "k", "t")
+        left, right = (df.select("key", "_block", *[F.col(c).alias(f"{c}{side}") for c in fields]) for df, side in ((left, "l"), (right, "r")))
+        pairs = left.join(right, ["key", "_block"]).filter((F.col("nol") < F.col("nor")) if ordered else F.lit(True))
+        pairs = pairs.filter((F.least("nl", "nr") > least * F.greatest("nl", "nr")) & (F.col("tl") == F.col("tr")) & enough(most) & enough(also))
+        pairs = pairs.withColumn("both", F.array_intersect("wl", "wr")).filter(rarest)
+        similarity = F.size("both") / (F.col("nl") + F.col("nr") - F.size("both"))
+        return pairs.select(F.least("nol", "nor").alias("a"), F.greatest("nol", "nor").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") > least)
+
+    alike = small.unionByName(triples).unionByName(long)
     with_long = in_blocks(single.filter(F.col("n") > 4), "key", "no")
     below, beyond = with_long[0].filter(F.col("n") < LONG), with_long[1].filter(F.col("n") >= LONG)
-    candidates = met(*in_blocks(alike, "key", "no"), True).unionByName(met(below, beyond, False)).distinct()
-    a, b = (ordered.select(F.col("no").alias(x), F.col("w").alias(f"w{x}"), F.col("part").alias(f"p{x}"), F.col("class").alias(f"c{x}")) for x in "ab")
-    both = F.size(F.array_intersect("wa", "wb"))
-    scored = candidates.join(a, "a").join(b, "b").filter("pa = pb").withColumn("similarity", both / (F.size("wa") + F.size("wb") - both)).filter(F.col("similarity") > least)
-    return scored.select(F.least("ca", "cb").alias("class_a"), F.greatest("ca", "cb").alias("class_b"), "similarity")
+    return met(*in_blocks(alike, "key", "no"), True).unionByName(met(below, beyond, False))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """(node, other) edges as stars: each node of a chunk with the smallest node that the chunk connects it to."""
     above: dict = {}
     read = 0
@@ -97,7 +105,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, high = sorted((top(x), top(y)))
             above[high] = low
         read += batch.num_rows
-        if read >= CHUNK:
+        if read >= chunk:
             yield stars(schema)
             above.clear()
             read = 0
@@ -109,13 +117,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """(node, component): the smallest node of each connected group.
 
     First each task replaces the edges it reads, CHUNK at a time, by a star around the smallest node of each group that they
-    connect: as many groups, by fewer edges and shorter ways. Then in each round every node takes the smallest label among
+    connect: as many groups, by fewer edges and shorter ways. As long as that makes them fewer by a quarter at least, it is
+    done again with the edges of several chunks together; up to IN_ONE edges are connected by one task, and that is all.
+    Many rounds would cost the driver memory for each of their jobs. Edges that stay more go on: in each round every node takes the smallest label among
     its neighbours' and its own, then the label of its label, so long chains take a logarithmic number of rounds. Each round
     is written to the shared folder; only a count of changes reaches the driver. Minima are formed with partial results, so
     a node with very many edges is no bottleneck.
     """
     kind = dict(edges.dtypes)[a]
     stars = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).filter("node <> other").mapInArrow(_stars, f"node {kind}, other {kind}")
+    stars, before = cut(stars), float("inf")
+    while (n := stars.count()) <= 0.75 * before:
+        parts, before, most = ceil(n / IN_ONE) or 1, n, IN_ONE
+        stars = cut(stars.repartition(parts).mapInArrow(lambda batches: _stars(batches, 2 * most), f"node {kind}, other {kind}"))
+        if parts == 1:
+            roots = stars.select("other").distinct()
+            return stars.withColumnRenamed("other", "component").unionByName(roots.select(F.col("other").alias("node"), F.col("other").alias("component")))
     both = cut(stars.unionByName(stars.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
     labels = cut(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("component")))
     for _ in range(most_rounds):
@@ -137,11 +154,14 @@ def clusters(e: DataFrame, least: float = 0.6) -> DataFrame:
     class is similar to. The cluster is named by its smallest id.
     """
     named = cut(word_classes(e).select("id", "part", "class", "w"))
-    pairs = cut(similar_classes(named, least))
-    groups = components(pairs, "class_a", "class_b").withColumnRenamed("node", "class")
-    links = pairs.select(F.col("class_a").alias("class")).unionByName(pairs.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    members = named.select("id", "class").join(groups, "class", "left").join(links, "class", "left")
-    members = members.select("id", F.coalesce("component", "class").alias("g"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # pairs are formed of numbers, which are shorter than digests
+    sets = cut(named.groupBy("class").agg(F.first("part").alias("part"), F.first("w").alias("w")).withColumn("no", F.monotonically_increasing_id()))
+    pairs = cut(similar_sets(sets.select("no", "part", "w"), least).select("a", "b"))
+    groups = components(pairs).withColumnRenamed("node", "no")
+    links = pairs.select(F.explode(F.array("a", "b")).alias("no")).groupBy("no").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = sets.select("class", "no").join(groups, "no", "left").join(links, "no", "left")
+    members = named.select("id", "class").join(linked, "class")
+    members = members.select("id", F.coalesce("component", "no").alias("g"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("cluster")).filter("n >= 2")
     return members.join(sizes, "g").select("id", "cluster", "n_links")
 

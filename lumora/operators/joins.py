@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumora.session import cut
+
 #: A side is broadcast up to this many rows; beyond it Spark joins by shuffle.
 MAX_BROADCAST_ROWS = 100_000
 
@@ -31,6 +33,7 @@ def in_blocks(rows: DataFrame, key: str, member: str, most: int = 2_000) -> tupl
     number at most one in ``most`` rows.
     """
     hot = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_n")).filter("_n > 1")
+    hot = cut(hot)
     sized = rows.join(bounded_broadcast(hot), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     left = sized.withColumn("_block", F.pmod(F.xxhash64(member), F.col("_n")).cast("int")).drop("_n")
     right = sized.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")

@@ -14,6 +14,7 @@ from lumora.plans.check import Registry
 from lumora.plans.learning import edges, near_episodes, near_sql
 from lumora.plans.nested import inlined_episodes
 from lumora.schema import AS_OF, episodes
+from lumora.session import cut
 from lumora.tables import table
 
 registered = Registry()
@@ -32,9 +33,8 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 def dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of distinct intents of one task type with over 0.6 of their words in common; copies stand behind their smallest id."""
     named = duplicates.word_classes(_texts(spark, d))
-    first = named.groupBy("class").agg(F.min("id").alias("rep"))
-    pairs = duplicates.similar_classes(named).join(first.select(F.col("class").alias("class_a"), F.col("rep").alias("ra")), "class_a").join(first.select(F.col("class").alias("class_b"), F.col("rep").alias("rb")), "class_b")
-    return pairs.select(F.least("ra", "rb").alias("id_a"), F.greatest("ra", "rb").alias("id_b"), F.round("similarity", 6).alias("similarity"))
+    sets = cut(named.groupBy("class").agg(F.min("id").alias("no"), F.first("part").alias("part"), F.first("w").alias("w")).drop("class"))
+    return duplicates.similar_sets(sets).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 
 @registered(

@@ -63,3 +63,25 @@ def test_same_work_needs_common_tags(spark):
     new = spark.createDataFrame([("n", "P", "docs", ["A", "b", "c", "c"]), ("m", "P", "test", ["a", "b", "c"])], schema)
     stored = spark.createDataFrame([("s", "p", "docs", ["a", "B", "c"]), ("t", "p", "docs", ["a", "b"])], "id string, project string, task_type string, tags array<string>").selectExpr("*", "timestamp_seconds(1) AS started")
     assert [tuple(r) for r in duplicates.same_work(new, stored).collect()] == [("n", "s", 3)]
+
+
+def test_components_by_chunks_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 560)]
+    want = {i: g for i, g in groups(edges, range(600)).items() if any(i in e and e[0] != e[1] for e in edges)}
+    df = spark.createDataFrame(edges, "a long, b long")
+    jobs = {}
+    for most in (500_000, 90, 4):
+        monkeypatch.setattr(duplicates, "IN_ONE", most)
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        assert {r.node: r.component for r in duplicates.components(df).collect()} == want
+        jobs[most] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}"))
+    # few edges take no rounds
+    assert jobs[500_000] <= 10 < jobs[4]
+
+
+def test_a_pair_comes_once_though_it_meets_often(spark):
+    sets = [(i, "a", [f"w{j}" for j in range(n)] + [f"own{i}"] * extra) for i, (n, extra) in enumerate([(3, 1), (4, 0), (4, 1), (9, 1), (10, 0), (19, 0), (20, 0), (21, 1), (26, 1)])]
+    got = [(r.a, r.b, round(r.similarity, 6)) for r in duplicates.similar_sets(spark.createDataFrame(sets, "no long, part string, w array<string>")).collect()]
+    share = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    assert sorted(got) == [(a, b, round(s, 6)) for a, _, x in sets for b, _, y in sets if a < b and (s := share(x, y)) > 0.6]
