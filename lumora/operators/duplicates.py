@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import count
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.functions.text import words
-from lumora.operators.joins import in_blocks
+from lumora.operators import overlaps
+from lumora.operators.joins import block_pairs
 from lumora.session import cut
 
-#: Words from which on a set counts as long.
-LONG = 20
 #: Edges that a task connects at a time.
 CHUNK = 200_000
 #: Edges that one task connects when chunks have made them few.
@@ -30,58 +32,39 @@ def word_classes(e: DataFrame) -> DataFrame:
 def similar_sets(sets: DataFrame, least: float = 0.6) -> DataFrame:
     """(a, b, similarity), a < b: distinct word sets within a part whose Jaccard similarity exceeds ``least``.
 
-    ``sets``: (no, part, w), ``no`` a name of any ordered type. Exact for ``least`` from 0.6 on, without meeting all pairs.
-    Words are ordered by rarity, and similar sets share some of the rarest words of either (how many follows from ``least``).
-    Sets of 4 to LONG - 1 words share at least three of them: they meet on triples, so words that a third of all sets hold
-    don't bring sets together. Sets of up to 4 words meet on single rare words. So do pairs of which one has LONG words or
-    more, whose rarest words are rare indeed; their triples would be too many. Where a pair meets, its places and a digest
-    of its words in 64 bits tell how many words it can share at most; if that is enough, the words themselves, which travel
-    with the keys, decide. A pair that meets on several keys is taken at the rarest words it shares only, so pairs aren't
-    shuffled at all. A key that very many sets hold is split into blocks.
+    ``sets``: (no, part, w), ``no`` a name of any ordered type. Exact, without meeting all pairs: the words of a set are
+    ordered, rare ones first, and two similar sets share one of the first words of either (how many follows from
+    ``least``). A set is sent to those words and there compared with the others (``overlaps``), so pairs aren't shuffled. A
+    pair that meets on several words is taken at the rarest it shares only. A word to which very many sets are sent is
+    split into blocks. What travels is short: words are numbers of 64 bits, of 16 for the frequent ones.
     """
-    if least < 0.6:
-        raise ValueError("exact from 0.6 on")
-    words_of = sets.select("part", "no", F.explode("w").alias("x"))
-    # words are numbers from here on; a number belongs to one part
-    numbered = cut(words_of.groupBy("part", "x").agg(F.count(F.lit(1)).alias("df")).withColumn("x_no", F.monotonically_increasing_id()))
-    by_rarity = words_of.join(numbered, ["part", "x"]).groupBy("no").agg(F.array_sort(F.collect_list(F.struct("df", "x_no"))).alias("o"))
-    bits = F.expr("aggregate(w, 0L, (acc, x) -> acc | shiftleft(1L, cast(pmod(xxhash64(x), 64) as int)))")
-    ordered = cut(by_rarity.select("no", F.col("o.x_no").alias("w")).withColumns({"n": F.size("w"), "bits": bits}))
-    # a similar set shares at least this many words
-    needed = F.floor(F.lit(least) * F.col("n") + 1e-9) + 1
-    own = ["no", "n", "w", "bits"]
-    slim = ordered.withColumn("head", F.slice("w", F.lit(1), (F.col("n") - needed + 3).cast("int"))).withColumn("short", F.slice("w", F.lit(1), (F.col("n") - needed + 1).cast("int")))
-    single = slim.filter((F.col("n") <= 4) | (F.col("n") > least * LONG)).select(*own, F.posexplode("short").alias("i", "x"))
-    single = single.select(*own, F.xxhash64("x").alias("key"), "i", (F.col("i") + 1).alias("j"), (F.col("i") + 2).alias("k"), F.lit(False).alias("t"))
-    first = slim.filter(F.col("n").between(4, LONG - 1)).select(*own, "head", F.posexplode("head").alias("i", "a"))
-    second = first.select(*own, "head", "a", "i", F.posexplode("head").alias("j", "b")).filter("j > i")
-    third = second.select(*own, "a", "b", "i", "j", F.posexplode("head").alias("k", "c")).filter("k > j")
-    triples = third.select(*own, F.xxhash64("a", "b", "c").alias("key"), "i", "j", "k", F.lit(True).alias("t"))
-    small, long = single.filter("n <= 4"), single.filter(F.col("n") >= LONG)
-    # two sets that meet on words at these places share at most so many: between two places no more than the shorter gap
-    # holds (the places that a single word lacks follow it, which comes to the same)
-    shorter = lambda a, b: F.least(F.expr(a.format("l")) - F.expr(b.format("l")), F.expr(a.format("r")) - F.expr(b.format("r")))
-    most = F.least("il", "ir") + shorter("j{}", "i{}") + shorter("k{}", "j{}") + shorter("n{}", "k{}")
-    # and a bit that one has and the other lacks is a word that they don't share
-    also = F.least(F.expr("nl - bit_count(bitsl & ~bitsr)"), F.expr("nr - bit_count(bitsr & ~bitsl)"))
-    enough = lambda shared: shared * (1 + least) > least * (F.col("nl") + F.col("nr")) + 1e-9
-    # the words they meet on are the rarest they share; sets of four words meet on single ones
-    same = lambda at, side: F.get("both", F.lit(at)) == F.get(f"w{side}", F.col(f"{'ijk'[at]}{side}"))
-    rarest = same(0, "l") & same(0, "r") & (~F.col("tl") | (same(1, "l") & same(1, "r") & same(2, "l") & same(2, "r") & (F.greatest("nl", "nr") > 4)))
-
-    def met(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        fields = ("no", "n", "w", "bits", "i", "j", "k", "t")
-        left, right = (df.select("key", "_block", *[F.col(c).alias(f"{c}{side}") for c in fields]) for df, side in ((left, "l"), (right, "r")))
-        pairs = left.join(right, ["key", "_block"]).filter((F.col("nol") < F.col("nor")) if ordered else F.lit(True))
-        pairs = pairs.filter((F.least("nl", "nr") > least * F.greatest("nl", "nr")) & (F.col("tl") == F.col("tr")) & enough(most) & enough(also))
-        pairs = pairs.withColumn("both", F.array_intersect("wl", "wr")).filter(rarest)
-        similarity = F.size("both") / (F.col("nl") + F.col("nr") - F.size("both"))
-        return pairs.select(F.least("nol", "nor").alias("a"), F.greatest("nol", "nor").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") > least)
-
-    alike = small.unionByName(triples).unionByName(long)
-    with_long = in_blocks(single.filter(F.col("n") > 4), "key", "no")
-    below, beyond = with_long[0].filter(F.col("n") < LONG), with_long[1].filter(F.col("n") >= LONG)
-    return met(*in_blocks(alike, "key", "no"), True).unionByName(met(below, beyond, False))
+    if least <= 0:
+        raise ValueError("sets that share nothing don't meet")
+    sets = sets.filter("part is not null")
+    words_of = sets.select("part", F.explode("w").alias("x"))
+    total = sets.agg(F.sum(F.size("w"))).first()[0] or 0
+    often = max(2, ceil(total / overlaps.FREQUENT))
+    for seed in count():
+        # a number belongs to one word of one part, or another seed is taken; ranks are numbers too
+        number = partial(F.xxhash64, F.lit(seed), "part")
+        counted = words_of.select(number("x").alias("h"), F.xxhash64("x", "part", F.lit(seed)).alias("o")).groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("o").alias("low"), F.max("o").alias("high"))
+        clash = (F.col("low") != F.col("high")) | F.col("h").between(0, overlaps.FREQUENT)
+        # no more than FREQUENT words are frequent
+        known = counted.filter((F.col("df") >= often) | clash).select("h", "df", clash.alias("clash")).collect()
+        if not any(r.clash for r in known):
+            break
+    known.sort(key=lambda r: r.h)
+    frequent, df = np.array([r.h for r in known], np.int64), np.array([r.df for r in known], np.int64)
+    rank = np.empty(len(df), np.int64)
+    rank[np.lexsort((frequent, df))] = np.arange(len(df))
+    kind = dict(sets.dtypes)["no"]
+    numbered = sets.select("no", F.transform("w", lambda x: number(x)).alias("numbers"))
+    schema = f"key long, no {kind}, n int, rare array<long>, often array<short>"
+    keys = numbered.mapInArrow(lambda batches: overlaps.keyed(batches, least, frequent, rank), schema)
+    # what a key costs grows faster than its sets, so there are more tasks than otherwise
+    tasks = 4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = block_pairs(keys, "key", "no", "n", overlaps.BLOCK).repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return met.mapInArrow(lambda batches: overlaps.similar(batches, least), f"a {kind}, b {kind}, similarity double")
 
 
 def _stars(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:

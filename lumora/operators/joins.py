@@ -38,3 +38,17 @@ def in_blocks(rows: DataFrame, key: str, member: str, most: int = 2_000) -> tupl
     left = sized.withColumn("_block", F.pmod(F.xxhash64(member), F.col("_n")).cast("int")).drop("_n")
     right = sized.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     return left, right
+
+
+def block_pairs(rows: DataFrame, key: str, member: str, weight: str, most: int) -> DataFrame:
+    """``rows`` with ``i``, ``j`` and ``own``, so that rows of one key meet in groups of a bounded size and each pair once.
+
+    Rows of a key whose ``weight`` sums up to over ``most`` lie in blocks, ``own`` is a row's. Within a group of one key, i
+    and j, all rows meet where i = j, and those of different ``own`` where not. A row is sent as often as its key has
+    blocks. Hot keys number at most one in ``most`` of the whole weight.
+    """
+    hot = cut(rows.groupBy(key).agg(F.ceil(F.sum(weight) / most).cast("int").alias("_n")).filter("_n > 1"))
+    sized = rows.join(bounded_broadcast(hot), key, "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    own = sized.withColumn("own", F.pmod(F.xxhash64(member), F.col("_n")).cast("int"))
+    met = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return met.withColumns({"i": F.least("own", "_o"), "j": F.greatest("own", "_o")}).drop("_n", "_o")

@@ -33,7 +33,8 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 def dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of distinct intents of one task type with over 0.6 of their words in common; copies stand behind their smallest id."""
     named = duplicates.word_classes(_texts(spark, d))
-    sets = cut(named.groupBy("class").agg(F.min("id").alias("no"), F.first("part").alias("part"), F.first("w").alias("w")).drop("class"))
+    # words hold no blanks, so a set is written as one text, which is shorter than a list
+    sets = cut(named.groupBy("part", F.array_join("w", " ").alias("text")).agg(F.min("id").alias("no"))).withColumn("w", F.split("text", " "))
     return duplicates.similar_sets(sets).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), F.round("similarity", 6).alias("similarity"))
 
 

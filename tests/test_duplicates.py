@@ -85,3 +85,40 @@ def test_a_pair_comes_once_though_it_meets_often(spark):
     got = [(r.a, r.b, round(r.similarity, 6)) for r in duplicates.similar_sets(spark.createDataFrame(sets, "no long, part string, w array<string>")).collect()]
     share = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
     assert sorted(got) == [(a, b, round(s, 6)) for a, _, x in sets for b, _, y in sets if a < b and (s := share(x, y)) > 0.6]
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of ``run`` write for others to read."""
+    context = spark.sparkContext._jsc.sc()
+
+    def stages():
+        context.listenerBus().waitUntilEmpty(30_000)
+        every = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return {every.apply(i).stageId(): every.apply(i).shuffleWriteBytes() for i in range(every.size())}
+
+    before = stages()
+    run()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_sets_are_sent_to_few_words(spark):
+    rng = random.Random(3)
+    topics = [[f"topic{i}{j}" for j in range(3)] for i in range(20)]
+    rows = [(f"{i:036}", "a", [f"m{i % 1500}", f"v{i}", *rng.choice(topics), "find", "out", "why", "in", "the"]) for i in range(3000)]
+    sets = spark.createDataFrame(rows, "no string, part string, w array<string>")
+    got = []
+    sent = shuffled(spark, lambda: got.extend(duplicates.similar_sets(sets).collect()))
+    assert len(got) == len({(r.a, r.b) for r in got}) > 100_000
+    # the name, the words and a key four times, and little more
+    assert sent < 700 * len(rows)
+
+
+def test_similar_sets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates.overlaps, "BLOCK", 150)
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(12)]
+    texts = {(p, frozenset(rng.sample(pool, rng.randrange(1, 9)))) for p in "ab" for _ in range(150)}
+    rows = [(i, p, sorted(w)) for i, (p, w) in enumerate(sorted(texts, key=lambda x: (x[0], sorted(x[1]))))] + [(9999, None, ["w1"]), (9998, None, ["w1", "w2"])]
+    got = [(r.a, r.b, r.similarity) for r in duplicates.similar_sets(spark.createDataFrame(rows, "no long, part string, w array<string>"), 0.5).collect()]
+    share = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    assert sorted(got) == [(a, b, share(x, y)) for a, p, x in rows for b, q, y in rows if a < b and p and p == q and share(x, y) > 0.5]

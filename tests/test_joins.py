@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lumora.operators import duplicates, retrieval
-from lumora.operators.joins import in_blocks, spread_join
+from lumora.operators.joins import block_pairs, in_blocks, spread_join
 
 
 def test_blocks_meet_each_pair_once(spark):
@@ -48,3 +48,12 @@ def test_many_parts_are_written_as_one(spark):
     for i in range(10):
         retrieval.gather(parts, spark.range(i, i + 1), 4)
     assert len(parts) < 4 and sorted(r.id for r in retrieval.united(parts).collect()) == list(range(10))
+
+
+def test_pairs_of_blocks_meet_each_pair_once(spark):
+    rows = spark.createDataFrame([("hot", i, 2) for i in range(150)] + [("cold", i, 2) for i in range(5)], "key string, m int, weight int")
+    met = block_pairs(rows, "key", "m", "weight", 50)
+    meet = met.alias("l").join(met.alias("r"), ["key", "i", "j"]).filter("l.m < r.m and (i = j or l.own <> r.own)")
+    pairs = meet.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l.m", "r.m").alias("d")).collect()
+    assert sorted(map(tuple, pairs)) == [("cold", 10, 10), ("hot", 150 * 149 // 2, 150 * 149 // 2)]
+    assert met.filter("key = 'hot'").select("own").distinct().count() == 6
